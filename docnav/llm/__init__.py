@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from docnav.llm.op1_toxicity import op1_toxicity
     from docnav.llm.op2_quality import op2_quality
+    from docnav.llm.op3_licenses import op3_licenses
     from docnav.llm.op4_bpe import op4_bpe
     from docnav.llm.op5_mixing import op5_mixing
     from docnav.llm.op6_ngram_join import op6_ngram_join
+    from docnav.llm.op7_secrets import op7_secrets
+    from docnav.llm.op8_warc import op8_warc
     from docnav.llm.op9_exact_topk import op9_exact_topk
     from docnav.llm.op10_fingerprint import op10_fingerprint
 
-    found = (op1_toxicity, op2_quality, op4_bpe, op5_mixing, op6_ngram_join, op9_exact_topk, op10_fingerprint)
+    found = (op1_toxicity, op2_quality, op3_licenses, op4_bpe, op5_mixing, op6_ngram_join, op7_secrets, op8_warc, op9_exact_topk, op10_fingerprint)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from docnav.llm import op9_exact_topk
+    from docnav.llm import op7_secrets, op8_warc, op9_exact_topk
 
-    return {"op9_exact_topk": op9_exact_topk.ORACLE}
+    return {"op7_secrets": op7_secrets.ORACLE, "op8_warc": op8_warc.ORACLE, "op9_exact_topk": op9_exact_topk.ORACLE}

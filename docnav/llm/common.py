@@ -20,9 +20,14 @@ ARROW_ROWS = 1000
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Rows that one Arrow batch holds in the plans made from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, through Spark's reader only (the path may be in a store that Python cannot open)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    arrow_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
