@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from docnav.plans import retrieval
+
+_PARTS = (retrieval,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for part in _PARTS for f in part.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for part in _PARTS for k, s in part.ORACLES.items() if s}
