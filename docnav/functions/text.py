@@ -98,8 +98,8 @@ def normalize_answer(c: Column) -> Column:
 
 
 def remove_quotes(c: Column) -> Column:
-    s = strip(c)
-    return F.when((F.length(s) >= 2) & s.rlike("(?s)^(['\"]).*\\1$"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    """Without a pair of equal quotes around the text."""
+    return F.regexp_replace(strip(c), "(?s)^(['\"])(.*)\\1$", "$2")
 
 
 def clean_str(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docnav.plans import retrieval
+from docnav.plans import retrieval, runs, scoring
 
-_PARTS = (retrieval,)
+_PARTS = (retrieval, scoring, runs)
 
 
 def queries() -> dict:
