@@ -9,7 +9,7 @@ Reading: files are cut by the records' Content-Length, never by searching, so pa
 joining the three kinds of record on the identifiers; the result is one row per capture with nested request and
 metadata.
 
-Archives are split so that a file holds about FILE_BYTES, since a file is parsed in one piece.
+Archives are gzipped, and split so that a file holds about FILE_BYTES before compression, since a file is parsed in one piece.
 
 Defined results: null html is an empty payload; equal pages with the same (largest) id are all responses; a null page_id
 counts as smaller than any, and rows that have only null ids are all responses; repeated rows repeat; an empty
@@ -19,6 +19,7 @@ table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from docnav.llm.common import load, shared_dir
 
 END = "\r\n\r\n"
-FILE_BYTES = 8 << 20
+FILE_BYTES, _HEADERS = 16 << 20, 1500
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -85,10 +86,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     # one small row for each payload that comes more than once; the join can split a payload that is very common
     firsts = rows.where(F.col("bytes") >= least).groupBy("sum").agg(F.max("page_id").alias("origin"), F.count("*").alias("n")).where("n > 1").select("sum", "origin")
     rows = rows.join(firsts, "sum", "left").withColumn("revisit", F.coalesce(F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin")), F.lit(False)))
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-    files = max(1, -(-(total[0] + 1500 * total[1]) // FILE_BYTES))
-    dealt = rows.repartition(files).withColumn("number", F.monotonically_increasing_id())
-    dealt.select("page_id", "url", "html", "origin", "revisit", "number").mapInPandas(_records, "value string").write.option("lineSep", END).text(path)
+    mean = pages.agg(F.avg(F.octet_length(text("html")))).first()[0] or 0
+    numbered = rows.withColumn("number", F.monotonically_increasing_id()).select("page_id", "url", "html", "origin", "revisit", "number")
+    # three records a page; a task starts a new file when one is full
+    out = numbered.mapInPandas(_records, "value string").write.option("maxRecordsPerFile", max(3, int(3 * FILE_BYTES / (mean + _HEADERS))))
+    out.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -111,8 +113,8 @@ RECORDS = "kind string, record_id string, concurrent_to string, target_uri strin
 def _parsed(payloads: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
-                out = []
+            for content in batch["content"]:
+                data, out = gzip.decompress(content), []
                 for head, block in parse(data):
                     http, _, payload = block.partition(b"\r\n\r\n") if head["WARC-Type"] != "metadata" else (b"", b"", b"")
                     told = head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
