@@ -176,16 +176,25 @@ SELECT corpus_id AS conv_id, page FROM x WHERE i <= 3"""
 
 
 def quote_exact_match(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages that stand in a document after normalisation. Passages are cut to windows of their length by no one:
-    a passage's first eight words are the join key, so only documents that hold them are compared."""
+    """Benchmark passages that stand in a document after normalisation. A passage's first eight words are the join key, so only
+    documents that hold them are compared."""
     n = 8
+
+    def windows(words):
+        """Hashes of n words in a row: n shifted copies side by side, as a slice of its own for each window would copy the array."""
+        h = F.transform(words, lambda x: F.xxhash64(x))
+        shifted = F.arrays_zip(*[F.slice(h, F.lit(k + 1), F.size(words) - (n - 1)).alias(f"w{k}") for k in range(n)])
+        return F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
+
     words = lambda c: F.split(norm_quote(c), " ")
     items = A.table(spark, d, "benchmark").select("item_id", norm_quote(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    items = items.select("item_id", "quote", F.xxhash64(F.concat_ws(" ", F.slice("w", 1, n))).alias("h"))
-    docs = A.table(spark, d, "documents").select("doc_id", norm_quote(F.col("text")).alias("t"), words(F.col("text")).alias("w")).where(F.size("w") >= n)
-    keys = docs.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, n)))))).alias("h"))
-    # the passages are joined first by key alone, so texts travel only with their matches
-    return keys.join(items, "h").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id").distinct()
+    items = items.select("item_id", "quote", F.element_at(windows(F.col("w")), 1).alias("h"))
+    docs = A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", norm_quote(F.col("text")).alias("t"), words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    # windows are exploded and joined without the texts, which meet only the quotes they may hold
+    keys = docs.select("doc_id", F.explode(F.array_distinct(windows(F.col("w")))).alias("h"))
+    may = keys.join(items, "h").select("doc_id", "item_id", "quote").distinct()
+    return docs.select("doc_id", "t").join(may, "doc_id").where(F.contains("t", F.col("quote"))).select("doc_id", "item_id").distinct()
+
 
 
 _QUOTE = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9%$., ]+', ' ', 'g'), '\\s+', ' ', 'g'))"

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if the scan has fewer splits than there are cores (one small file); a large scan is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corpus_id, page, text): line i of a document is its page i, from 1."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("corpus_id"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return docs.select("corpus_id", (F.col("i") + 1).alias("page"), "text")
 
 
