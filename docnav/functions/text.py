@@ -63,11 +63,11 @@ def references(c: Column) -> Column:
 
 
 def norm_caption(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), " +", " "))  # only spaces are left to squeeze
 
 
 def norm_quote(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(c), "[^a-z0-9%$., ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9%$., ]+", " "), " +", " "))
 
 
 def caption(line: Column) -> Column:
