@@ -10,11 +10,10 @@ sizes a <= b and similarity >= T the overlap is at least c(b) = ceil(T * b), so
   classes share one.
 
 The boundary is the one of least cost: subsets emitted below it, and list entries times the expected length of a list
-above it, both summed over all classes. Classes that share a key and have compatible sizes are chained (in order of size,
-so a list of any length gives as many edges as entries, never all pairs). Each chained group is dealt into blocks, each
-pair of blocks is one task's work, and there links are verified exactly: bitmaps give upper bounds of
-overlaps, sorted sets the overlaps, and only a spanning forest of the links is returned. No cap drops anything: long
-lists and large groups only make more block pairs.
+above it, both summed over all classes. Within a list, parity bitmaps of the sets give upper bounds of overlaps; the pairs
+that the bounds allow are returned as a spanning forest, never as all pairs. Forests of all lists make groups, and
+in a group links are verified exactly on the sorted sets, again as a forest. Lists and groups are dealt into
+blocks, each pair of blocks is one task's work, so no cap drops anything: long ones only make more block pairs.
 
 Defined results: null texts and texts without words have n_shingles 0 and link with nothing; repeated rows share a class;
 a null doc_id takes part, but cannot name a component unless it stands alone; an empty table gives no rows; further columns are
@@ -35,9 +34,11 @@ from pyspark.sql import functions as F
 
 from docnav.llm.common import Scratch, connected_components, load, mix, shingle_hashes
 
-#: Sizes that may be light, classes in a block, elements ranked as frequent (a broadcast of 16 bytes each at most).
-MOST_LIGHT, BLOCK, FREQUENT = 32, 256, 1 << 17
-_LOCAL, _FLUSH, _SEEN_BITS = 3, 1 << 21, 1 << 20
+#: Sizes that may be light, classes in a block of a group and of a list, elements ranked as frequent (16 bytes each, sent
+#: to all tasks), and bits in the maps of small and of large sets.
+MOST_LIGHT, BLOCK, LIST, FREQUENT = 32, 256, 1024, 1 << 17
+NARROW, WIDE = 1024, 8192
+_LOCAL, _FLUSH, _SEEN_BITS, _MOST_ENTERED, _SHORT_LIST = 3, 1 << 21, 1 << 20, 1 << 17, 64
 
 
 def least_overlap(n: int, t: tuple[int, int]) -> int:
@@ -58,6 +59,19 @@ def _class_of(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
+def _short(cls: bytes) -> int:
+    """Half of a class's digest. Lists hold these; classes that share one would only be compared once more."""
+    return int.from_bytes(cls[:8], "big", signed=True)
+
+
+def _parity(h: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of elements fall on i. The bits in which two sets' maps differ are at most as
+    many as the elements in which the sets do."""
+    width = NARROW if len(h) <= 2 * NARROW else WIDE
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _survey(k: int):
     """One pass over the texts: a row per document, and the elements that are common within a part of a task."""
 
@@ -68,11 +82,11 @@ def _survey(k: int):
         def common() -> pd.DataFrame:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             some = count >= _LOCAL
-            return pd.DataFrame({"rid": value[some].view(np.int64), "n": count[some].astype(np.int64), "cls": None})
+            return pd.DataFrame({"rid": value[some].view(np.int64), "n": count[some].astype(np.int64), "cls": None, "bits": None})
 
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, k)) for x in batch["text"]]
-            yield pd.DataFrame({"rid": batch["doc_id"].astype("Int64"), "n": -1 - np.array([len(s) for s in sets], np.int64), "cls": [_class_of(s) for s in sets]})
+            yield pd.DataFrame({"rid": batch["doc_id"].astype("Int64"), "n": -1 - np.array([len(s) for s in sets], np.int64), "cls": [_class_of(s) for s in sets], "bits": [_parity(s) for s in sets]})
             held += sets
             size += sum(map(len, sets))
             if size >= _FLUSH:
@@ -95,16 +109,22 @@ def _rank(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def _keys(k: int, t: tuple[int, int], boundary: int, known: np.ndarray, counts: np.ndarray):
-    """Subset keys of light classes, list entries of heavy ones and of those light ones they can link to."""
+    """Subset keys of light classes, list entries of heavy ones and of those light ones they can link to. A task enters a
+    class once, so copies are taken together before they are dealt out (the memory for that is bounded; a class entered
+    again costs a row)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entered: set[bytes] = set()
         for batch in batches:
-            key, cls, size = [], [], []
+            key, cid = [], []
             for x in batch["text"]:
                 s = np.unique(shingle_hashes(x, k))
-                n = len(s)
-                if not n:
+                n, cls = len(s), _class_of(s)
+                if not n or cls in entered:
                     continue
+                if len(entered) >= _MOST_ENTERED:
+                    entered.clear()
+                entered.add(cls)
                 own = []
                 if n <= boundary:
                     for m, c in subset_sizes(n, t, boundary):
@@ -112,9 +132,8 @@ def _keys(k: int, t: tuple[int, int], boundary: int, known: np.ndarray, counts:
                 if n > boundary or largest_partner(n, t) > boundary:
                     own += s[_rank(s, known, counts)[: n - least_overlap(n, t) + 1]].tolist()
                 key += own
-                cls += [_class_of(s)] * len(own)
-                size += [n] * len(own)
-            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64), "cls": cls, "n": np.array(size, np.int32)})
+                cid += [_short(cls)] * len(own)
+            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64), "cid": np.array(cid, np.int64)})
 
     return run
 
@@ -130,10 +149,6 @@ def _boundary(sizes: dict[int, int], expected: float, t: tuple[int, int]) -> int
     return min(range(MOST_LIGHT + 1), key=cost)
 
 
-def _bitmap(cls_first: pd.Series) -> int:
-    return int.from_bytes(cls_first, "little") % _SEEN_BITS
-
-
 def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(_SEEN_BITS)).astype(np.int64)
 
@@ -158,22 +173,27 @@ def _sets(k: int, bits: np.ndarray):
     return run
 
 
-def _forest(names: list[bytes], sets: list[np.ndarray], sides: np.ndarray, t: tuple[int, int]) -> list[tuple[bytes, bytes]]:
-    """Links that span the same components as all links across the sides (or within the one side)."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    names, sets, sides = [names[i] for i in order], [sets[i] for i in order], sides[order]
-    size = np.array([len(s) for s in sets])
-    n, across = len(sets), len(np.unique(sides)) > 1
-    words = 16
-    maps = np.zeros((n, words), np.uint64)
-    if n > 4:
-        for i, s in enumerate(sets):
-            bit = s & np.uint64(words * 64 - 1)
-            np.bitwise_xor.at(maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+def _fold(bits: bytes) -> np.ndarray:
+    """A map in its narrow form: parities add up when positions are taken together."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, NARROW // 64), axis=0)
+
+
+def forest(names: list, size: np.ndarray, bits: list[bytes], sides: np.ndarray, t: tuple[int, int], sets: list[np.ndarray] | None = None) -> list[tuple]:
+    """Pairs that span the same components as all linked pairs across the sides (or within the one side).
+
+    Without sets a pair counts as linked if the maps allow it; with sets, if it is.
+    """
+    order = np.argsort(size, kind="stable")
+    names, size, bits, sides = [names[i] for i in order], size[order], [bits[i] for i in order], sides[order]
+    sets = [sets[i] for i in order] if sets is not None else None
+    n, across = len(names), len(set(sides.tolist())) > 1
+    maps = np.stack([_fold(b) for b in bits])
+    big = np.array([len(b) * 8 == WIDE for b in bits])
+    wide = {i: np.frombuffer(bits[i], np.uint64) for i in np.flatnonzero(big)}
     part = np.arange(n)
     found = []
     for i in range(1, n):
-        lo = np.searchsorted(size[:i], least_overlap(int(size[i]), t))
+        lo = int(np.searchsorted(size[:i], least_overlap(int(size[i]), t)))
         if lo == i:
             continue
         total = size[lo:i] + size[i]
@@ -181,78 +201,94 @@ def _forest(names: list[bytes], sets: list[np.ndarray], sides: np.ndarray, t: tu
         ok = part[lo:i] != part[i]
         if across:
             ok &= sides[lo:i] != sides[i]
-        if n > 4:
+        if ok.any():
             ok &= (total - np.bitwise_count(maps[lo:i] ^ maps[i]).sum(1, dtype=np.int64)) // 2 >= need
         while ok.any():
             j = int(ok.argmax())
             ok[j] = False
-            a, b = sets[lo + j], sets[i]
-            if (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum() >= need[j]:
-                found.append((names[i], names[lo + j]))
-                part[part == part[lo + j]] = part[i]
-                ok &= part[lo:i] != part[i]
+            if big[i] and big[lo + j] and (total[j] - int(np.bitwise_count(wide[i] ^ wide[lo + j]).sum(dtype=np.int64))) // 2 < need[j]:
+                continue
+            if sets is not None:
+                a, b = sets[lo + j], sets[i]
+                if (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum() < need[j]:
+                    continue
+            found.append((names[i], names[lo + j]))
+            part[part == part[lo + j]] = part[i]
+            ok &= part[lo:i] != part[i]
     return found
 
 
-def _verify(t: tuple[int, int]):
-    """Groups (comp, i, j) arrive one after the other, sorted; a group holds two blocks at most."""
+def _forests(t: tuple[int, int], columns: tuple[str, ...], exact: bool):
+    """Groups arrive one after the other, sorted by ``columns``; a group holds two blocks at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, names, sets, sides = None, [], [], []
+        at, held, found = None, {}, []
 
-        def links() -> pd.DataFrame:
-            got = _forest(names, sets, np.array(sides), t) if len(names) > 1 else []
-            return pd.DataFrame(got, columns=["a", "b"])
+        def close() -> None:
+            if len(held) > 1:
+                sides, size, bits, sets = zip(*held.values(), strict=True)
+                found.extend(forest(list(held), np.array(size, np.int64), list(bits), np.array(sides), t, list(sets) if exact else None))
 
         for batch in batches:
-            for comp, i, j, own, cls, elements in zip(batch["comp"], batch["i"], batch["j"], batch["own"], batch["cls"], batch["elements"], strict=True):
-                if (comp, i, j) != at:
-                    if len(names) > 1 and len(got := links()):
-                        yield got
-                    at, names, sets, sides = (comp, i, j), [], [], []
-                if not names or names[-1] != cls:  # repeated rows stand next to each other
-                    names.append(cls)
-                    sets.append(np.frombuffer(elements, np.uint64))
-                    sides.append(own)
-        if len(names) > 1 and len(got := links()):
-            yield got
+            sets = [np.frombuffer(e, np.uint64) for e in batch["elements"]] if exact else [None] * len(batch)
+            for key, cls, own, n, bits, s in zip(zip(*(batch[c] for c in columns), strict=True), batch["cls"], batch["own"], batch["n"], batch["bits"], sets, strict=True):
+                if key != at:
+                    close()
+                    at, held = key, {}
+                held[cls] = (own, n, bits, s)
+            if len(found) > 10_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        close()
+        yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
+def _deal(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
+    """Rows of a key dealt by a hash into blocks, and each block sent to each pair of blocks that it is part of."""
+    blocks = F.ceil(F.col(count) / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", count)
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs(doc_id, text)``; documents link at a similarity of t[0] / t[1]."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = scratch.keep(texts.mapInPandas(_survey(k), "rid long, n long, cls binary"))
-    rows = survey.where("n < 0").select(F.col("rid").alias("doc_id"), (-1 - F.col("n")).cast("int").alias("n"), "cls")
-    classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rid")))
+    survey = scratch.keep(texts.mapInPandas(_survey(k), "rid long, n long, cls binary, bits binary"))
+    rows = survey.where("n < 0").select(F.col("rid").alias("doc_id"), (-1 - F.col("n")).cast("int").alias("n"), "cls", "bits")
+    classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("n", "bits")).alias("first"), F.min("doc_id").alias("rid")).select("cls", "first.n", "first.bits", "rid"))
 
-    often = survey.where("n > 0").groupBy("rid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "rid").limit(FREQUENT).toPandas().sort_values("rid", key=lambda c: pd.Series(c.to_numpy(np.int64).view(np.uint64), index=c.index))
+    often = survey.where("n > 0").groupBy("rid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "rid").limit(FREQUENT).toPandas()
     known, counts = often["rid"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
+    known, counts = known[order := np.argsort(known)], counts[order]
     mass = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT * t[1] // t[0] + 1).groupBy("n").count().collect()}
     boundary = _boundary(sizes, 1 + float((counts.astype(float) ** 2).sum()) / max(1, mass), t)
 
-    known, counts = known.copy(), counts.copy()
-    keys = texts.mapInPandas(_keys(k, t, boundary, known, counts), "key long, cls binary, n int")
-    chain = Window.partitionBy("key").orderBy("n", "cls")
-    keys = keys.withColumn("pc", F.lag("cls").over(chain)).withColumn("pn", F.lag("n").over(chain))
-    near = keys.where((F.col("pc") != F.col("cls")) & (F.col("pn") * t[1] >= F.col("n") * t[0])).select(F.col("cls").alias("a"), F.col("pc").alias("b")).distinct()
-    groups = scratch.keep(connected_components(near, scratch).withColumnRenamed("root", "comp"))
+    # dealt by key once; the entries of a key stay together for the count, the collection and the copies
+    keys = texts.mapInPandas(_keys(k, t, boundary, known, counts), "key long, cid long").repartition("key").groupBy("key", "cid").agg(F.lit(1).alias("one")).drop("one")
+    shared = keys.withColumn("entries", F.count("*").over(Window.partitionBy("key"))).where("entries > 1")
+    # near copies share many short lists with the same entries: each such list is looked at once
+    short = shared.where(F.col("entries") <= _SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
+    short = short.select(F.xxhash64("cids").alias("key"), F.explode("cids").alias("cid"), F.size("cids").cast("long").alias("entries"))
+    lists = short.union(shared.where(F.col("entries") > _SHORT_LIST).select("key", "cid", "entries"))
+    brief = classes.drop("rid").withColumn("cid", F.expr("cast(conv(substring(hex(cls), 1, 16), 16, -10) as long)"))
+    lists = _deal(lists.join(brief, "cid").drop("cid"), "key", "entries", LIST)
+    near = scratch.keep(lists.mapInPandas(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
 
-    count = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = scratch.keep(groups.withColumnRenamed("node", "cls").join(count, "comp").join(classes.select("cls", "rid"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    groups = scratch.keep(connected_components(near, scratch).withColumnRenamed("root", "comp"))
+    count = groups.groupBy("comp").agg(F.count("*").alias("entries"))
+    wanted = scratch.keep(groups.withColumnRenamed("node", "cls").join(count, "comp").join(classes, "cls"))
     bits = np.zeros(_SEEN_BITS, bool)
     parts = wanted.select(F.coalesce("rid", F.lit(0)).alias("rid")).coalesce(32).mapInPandas(_mark, "bits binary")
     for r in parts.toLocalIterator():
         bits |= np.unpackbits(np.frombuffer(r[0], np.uint8)).astype(bool)
     sets = texts.mapInPandas(_sets(k, bits), "cls binary, elements binary")
-    each = wanted.join(sets, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "elements")
-    dealt = each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
-    links = scratch.keep(dealt.mapInPandas(_verify(t), "a binary, b binary"))
+    links = scratch.keep(_deal(wanted.drop("rid").join(sets, "cls"), "comp", "entries", BLOCK).mapInPandas(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
 
     comps = connected_components(links, scratch)
     rooted = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rid", F.coalesce("root", "cls").alias("root"))

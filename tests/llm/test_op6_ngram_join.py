@@ -47,7 +47,8 @@ def family(seed, n, copies, edits):
 
 @pytest.mark.parametrize(("k", "t"), [(3, (90, 100)), (5, (80, 100))])
 def test_components_equal_brute_force(spark, k, t, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 16)  # several block pairs in a group
+    monkeypatch.setattr(op, "BLOCK", 16)  # several block pairs in a group, and in a list
+    monkeypatch.setattr(op, "LIST", 24)
     texts = [x for s, (n, c, e) in enumerate([(12, 8, 1), (13, 6, 1), (22, 12, 1), (25, 9, 2), (33, 9, 2), (60, 20, 3), (150, 70, 8), (400, 12, 15)]) for x in family(s, n, c, e)]
     texts += [prose(900 + i, 5 + i % 30, 6) for i in range(60)]  # few words: many common shingles
     rows = [(1000 - i, x, "en", "s", None, "", "", 0) for i, x in enumerate(texts)]
@@ -79,4 +80,19 @@ def test_forest_of_a_group_has_fewer_links_than_rows():
     import numpy as np
 
     sets = [np.unique(np.r_[np.arange(100), 1000 + i].astype(np.uint64)) for i in range(50)]
-    assert len(op._forest([bytes([i]) for i in range(50)], sets, np.zeros(50), (90, 100))) == 49
+    size, maps = np.array([len(s) for s in sets]), [op._parity(s) for s in sets]
+    for given in (None, sets):
+        assert len(op.forest(list(range(50)), size, maps, np.zeros(50), (90, 100), given)) == 49
+
+
+def test_maps_never_rule_out_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (10, 300, 2500, 9000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[int(n * 0.05) :], rng.integers(0, 2**63, int(n * 0.04)).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        linked = 100 * both >= 90 * (len(a) + len(b) - both)
+        found = op.forest([0, 1], np.array([len(a), len(b)]), [op._parity(a), op._parity(b)], np.zeros(2), (90, 100))
+        assert found or not linked
