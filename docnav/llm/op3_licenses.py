@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Sentences around words that licenses use (and what little stands between two such sentences) are candidate blocks. Each
-block is compressed by zstandard alone and with each template as a raw dictionary; the share of bytes that a
-template saves ranks the templates. The first few are confirmed by exact wording: words of block and template are aligned, the words that differ are listed, and a
-template is confirmed if enough of its words are there, few others stand between them, and none of those that differ
-is a number or a name that tells licenses apart.
+Sentences around words that licenses use (and what little stands between two such sentences) are candidate blocks. The words
+of each block are aligned with those of each template, wherever in the block they stand; the words that differ are listed, and a template
+is confirmed if enough of its words are there, few others stand between them, and none of those that differ is a number or a name
+that tells licenses apart. The aligned words are then compressed by zstandard alone and with the template as a raw
+dictionary: of the confirmed templates the one that saves the most bytes names the license. Only the aligned words
+are compressed, so what else a block holds decides nothing.
 
 Defined results: null and empty texts have no blocks; blocks that no template confirms are counted but name no
 license; of templates that confirm one block equally well the earlier in TEMPLATES wins; repeated rows repeat; a null doc_id
@@ -13,10 +14,11 @@ stays null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -58,26 +60,45 @@ TEMPLATES = (
 #: Words that tell licenses apart.
 NAMES = frozenset("mit apache gnu lesser affero mozilla bsd 3-clause 2-clause cc cc0 by by-sa by-nc by-nd by-nc-sa creative commons unencumbered granted neither".split())
 TRIGGER = re.compile(r"licen[cs]|copyright|warrant|redistribut|permission|public domain|\bGNU\b|\bCC[ -]?BY|\bCC0|released under|SPDX", re.I)
+_MARKS = ".,;:!?\"'()[]*#/ "
 _BOUND = re.compile(r"(?<!\s[A-Za-z])[.!?][\"')\]]*\s|\n")
-#: Characters: reach of a sentence without an end, and gap over which blocks are one. Shares: least saving that a
-#: candidate needs, least of a template's words that must be there, most words that may stand between them.
+#: Characters: reach of a sentence without an end, and gap over which blocks are one. Shares of a template's words: least
+#: that must be there, most others that may stand between them.
 REACH, GAP = 600, 200
-RANKED, LEAST_SAVING, LEAST_SHARE, MOST_OTHER = 4, 0.15, 0.8, 0.25
+LEAST_SHARE, MOST_OTHER = 0.8, 0.25
+#: Cost of a word that tells licenses apart, and costs of a missing word: few differences, or few missing words.
+_NEVER, _MISSING = 10**7, (1, 3)
+
+
+def placed_words(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) without the marks around it."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        left = m.group().lstrip(_MARKS)
+        if bare := left.rstrip(_MARKS):
+            start = m.end() - len(left)
+            out.append((bare.lower(), start, start + len(bare)))
+    return out
 
 
 def words(text: str) -> list[str]:
-    return [w for w in (x.strip(".,;:!?\"'()[]*#/ ").lower() for x in text.split()) if w]
+    return [w for w, _, _ in placed_words(text)]
+
+
+def telling(word: str) -> bool:
+    return word in NAMES or any(c.isdigit() for c in word)
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans of sentences with a trigger; neighbours with a small gap are one block."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
+        end = b.start() + 1 if (b := _BOUND.search(text, m.end(), m.end() + REACH)) else min(len(text), m.end() + REACH)
         if out and m.start() < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
             continue
         low = max(0, m.start() - REACH, out[-1][1] if out else 0)
         start = max([low, *(low + b.end() for b in _BOUND.finditer(text[low : m.start()]))])
-        end = b.start() + 1 if (b := _BOUND.search(text, m.end(), m.end() + REACH)) else min(len(text), m.end() + REACH)
         if out and start - out[-1][1] <= GAP:
             out[-1][1] = end
         else:
@@ -93,39 +114,84 @@ class Matcher:
         self.plain = zstandard.ZstdCompressor(compression_params=options)
         self.each = [(name, words(text), zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share of bytes saved, template), the most first."""
-        data = block.lower().encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, i) for i, (_, _, c) in enumerate(self.each)), key=lambda x: (-x[0], x[1]))
-
-    def compare(self, block: str, i: int) -> tuple[float, list[str]] | None:
-        """(share of the template's words found, words that differ), or None if the wording rules the template out."""
-        own, wanted = words(block), self.each[i][1]
-        pieces = [p for p in difflib.SequenceMatcher(None, own, wanted, autojunk=False).get_matching_blocks() if p.size]
-        if not pieces:
-            return None
-        found = sum(p.size for p in pieces)
-        missing, other, a, b = [], [], pieces[0].a, 0
-        for p in pieces:
-            missing += wanted[b : p.b]
-            other += own[a : p.a]
-            a, b = p.a + p.size, p.b + p.size
-        missing += wanted[b:]
-        # a name right before or after the aligned words belongs to the notice as well
-        edge = [w for w in [*own[max(0, pieces[0].a - 1) : pieces[0].a], *own[a : a + 1]] if w in NAMES]
-        telling = [w for w in [*missing, *other, *edge] if w in NAMES or any(c.isdigit() for c in w)]
-        if telling or found < LEAST_SHARE * len(wanted) or len(other) > MOST_OTHER * len(wanted):
-            return None
-        return found / len(wanted), [*(f"-{w}" for w in missing), *(f"+{w}" for w in other)]
-
-    def identify(self, block: str) -> tuple[str, float, list[str]] | None:
-        """The license of a block, the share of bytes that its template saves, and the words that differ."""
-        best = None
-        for saving, i in self.rank(block)[:RANKED]:
-            if saving >= LEAST_SAVING and (got := self.compare(block, i)) and (best is None or got[0] * len(self.each[i][1]) > best[0]):
-                best = (got[0] * len(self.each[i][1]), self.each[i][0], saving, got[1])
-        return best[1:] if best else None
+    def saving(self, text: str, i: int) -> int:
+        """Bytes that a template saves."""
+        data = text.lower().encode("utf-8", "surrogatepass")
+        return len(self.plain.compress(data)) - len(self.each[i][2].compress(data))
+
+    def compare(self, own: list[str], i: int) -> list[tuple[int, int, list[str]]]:
+        """(first word, word after the last, words that differ) of each place where the wording confirms the template."""
+        wanted = self.each[i][1]
+        have = Counter(own)
+        # what an alignment can find at most
+        if any(w not in have for w in wanted if telling(w)) or (Counter(wanted) & have).total() < LEAST_SHARE * len(wanted):
+            return []
+        out: list[tuple[int, int, list[str]]] = []
+        seen = np.zeros(len(own), bool)
+        for _, end, start in sorted({x for cost in _MISSING for x in ends(own, wanted, cost)}):
+            if seen[start:end].any():
+                continue
+            seen[start:end] = True
+            missing, other, before, after = differences(own[start:end], wanted)
+            # names right before or after the aligned words belong to the notice as well, and so does what stands for missing words
+            edge = [w for w in [*own[max(0, start - 1) : start], *own[end : end + 1]] if w in NAMES]
+            edge += [*own[max(0, start - before - 1) : start]] * (before > 0) + own[end : end + after + 1] * (after > 0)
+            if not any(telling(w) for w in [*missing, *other, *edge]):
+                out.append((start, end, [*(f"-{w}" for w in missing), *(f"+{w}" for w in other)]))
+        return out
+
+    def identify(self, block: str) -> tuple[str, int, list[str]] | None:
+        """The license of a block, the bytes that its template saves, and the words that differ."""
+        placed = placed_words(block)
+        own = [w for w, _, _ in placed]
+        got = [(self.saving(block[placed[s][1] : placed[e - 1][2]], i), -i, diff) for i in range(len(self.each)) for s, e, diff in self.compare(own, i)]
+        best = max(got, default=None, key=lambda x: x[:2])
+        return (self.each[-best[1]][0], best[0], best[2]) if best else None
+
+
+def ends(own: list[str], wanted: list[str], cost: int) -> list[tuple[int, int, int]]:
+    """(words that differ, word after the last, first word) of the best alignment up to each word, if enough words are there.
+    A column holds, for each number of template words, 1000 * cost + missing words, and below 32 bits where it starts."""
+    n = len(wanted)
+    gap = np.cumsum([0, *(_NEVER if telling(w) else 1000 * cost + 1 for w in wanted)], dtype=np.int64) << 32
+    at: dict[str, np.ndarray] = {w: np.array([x == w for x in wanted]) for w in set(wanted)}
+    column, out = gap.copy(), []
+    never = np.int64(_NEVER << 32)
+    for j, w in enumerate(own):
+        new = column + ((_NEVER if telling(w) else 1000) << 32)
+        if w in at:
+            new[1:] = np.where(at[w], np.minimum(new[1:], column[:-1]), new[1:])
+        new[0] = j + 1
+        column = np.minimum(np.minimum.accumulate(new - gap) + gap, never)
+        if w not in at or column[n] >= never:
+            continue
+        total, start = int(column[n]) >> 32, int(column[n]) & 0xFFFFFFFF
+        missing = total % 1000
+        other = total // 1000 - cost * missing
+        if n - missing >= LEAST_SHARE * n and other <= MOST_OTHER * n:
+            out.append((missing + other, j + 1, start))
+    return out
+
+
+def differences(own: list[str], wanted: list[str]) -> tuple[list[str], list[str], int, int]:
+    """(missing words, other words, missing ones before the first found and after the last) of the alignment with the fewest."""
+    n, m = len(own), len(wanted)
+    left = [[0] * (m + 1) for _ in range(n + 1)]  # most words found from here on
+    for a in range(n - 1, -1, -1):
+        for b in range(m - 1, -1, -1):
+            left[a][b] = left[a + 1][b + 1] + 1 if own[a] == wanted[b] else max(left[a + 1][b], left[a][b + 1])
+    missing, other, found, a, b = [], [], [], 0, 0
+    while a < n or b < m:
+        if a < n and b < m and own[a] == wanted[b]:
+            found.append(b)
+            a, b = a + 1, b + 1
+        elif b < m and (a == n or left[a][b + 1] >= left[a + 1][b]):
+            missing.append(wanted[b])
+            b += 1
+        else:
+            other.append(own[a])
+            a += 1
+    return missing, other, found[0], m - 1 - found[-1]
 
 
 _MATCHER: list[Matcher] = []

@@ -46,3 +46,18 @@ def test_odd_rows(spark, odd, none):
     two = spark.createDataFrame([(i, "Licensed under CC BY 4.0.", None, None, None, None, None, None) for i in (1, 1, None)], DOCS)
     assert [r.licenses for r in op.scan(two).collect()] == ["CC-BY-4.0"] * 3
     assert op.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 20, 200, 3000])
+@pytest.mark.parametrize(("name", "text"), op.TEMPLATES)
+def test_other_words_of_a_block_hide_no_notice(name, text, n):
+    # neighbours within GAP characters and a line without an end are one block
+    chained = " ".join(f"{prose(i, 12)} copyright." for i in range(n // 14))
+    assert op.scan_text(f"{chained} {text} {chained}", M)[1] == name
+    assert op.scan_text(f"{prose(1, n)} {text.rstrip('.')} {prose(2, n)}", M)[1] == name
+
+
+def test_differing_words_far_from_others_are_listed():
+    far = f"This fee. {prose(1, 30)} copyright. {prose(2, 25)} version 4. "
+    assert op.scan_text(f"{far}This book was licensed under the GNU General Public License, version 3. {far}", M)[1::2] == ("GPL-3.0", "-work -is +book +was")
+    assert op.scan_text(f"{far}Licensed under the MIT 2.0 License. {far}", M)[1] == ""
