@@ -4,8 +4,9 @@ Sentences around words that licenses use (and what little stands between two suc
 of each block are aligned with those of each template, wherever in the block they stand; the words that differ are listed, and a template
 is confirmed if enough of its words are there, few others stand between them, and none of those that differ is a number or a name
 that tells licenses apart. The aligned words are then compressed by zstandard alone and with the template as a raw
-dictionary: of the confirmed templates the one that saves the most bytes names the license. Only the aligned words
-are compressed, so what else a block holds decides nothing.
+dictionary: of overlapping notices the one whose template saves the most bytes is taken. Only the aligned words
+are compressed, so what else a block holds decides nothing. What stands between the notices of a block is searched
+again until nothing is confirmed; spans are those of the aligned words.
 
 Defined results: null and empty texts have no blocks; blocks that no template confirms are counted but name no
 license; of templates that confirm one block equally well the earlier in TEMPLATES wins; repeated rows repeat; a null doc_id
@@ -140,13 +141,28 @@ class Matcher:
                 out.append((start, end, [*(f"-{w}" for w in missing), *(f"+{w}" for w in other)]))
         return out
 
-    def identify(self, block: str) -> tuple[str, int, list[str]] | None:
-        """The license of a block, the bytes that its template saves, and the words that differ."""
+    def identify(self, block: str) -> list[tuple[int, int, str, list[str]]]:
+        """(start, end, license, words that differ) of each notice in a block. Of notices that overlap, the one whose template
+        saves the most bytes is taken; what stands between notices is searched again until nothing is confirmed."""
         placed = placed_words(block)
-        own = [w for w, _, _ in placed]
-        got = [(self.saving(block[placed[s][1] : placed[e - 1][2]], i), -i, diff) for i in range(len(self.each)) for s, e, diff in self.compare(own, i)]
-        best = max(got, default=None, key=lambda x: x[:2])
-        return (self.each[-best[1]][0], best[0], best[2]) if best else None
+        out, todo = [], [(0, len(placed))]
+        while todo:
+            low, high = todo.pop()
+            own = [w for w, _, _ in placed[low:high]]
+            got = []
+            for i in range(len(self.each)):
+                for s, e, diff in self.compare(own, i):
+                    start, end = placed[low + s][1], placed[low + e - 1][2]
+                    got.append((-self.saving(block[start:end], i), i, low + s, low + e, start, end, diff))
+            taken = np.zeros(high - low, bool)
+            for _, i, s, e, start, end, diff in sorted(got):
+                if not taken[s - low : e - low].any():
+                    taken[s - low : e - low] = True
+                    out.append((start, end, self.each[i][0], diff))
+            if taken.any():
+                edges = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8))) + low
+                todo += [(int(s), int(e)) for s, e in edges.reshape(-1, 2)]
+        return sorted(out, key=lambda x: x[:2])
 
 
 def ends(own: list[str], wanted: list[str], cost: int) -> list[tuple[int, int, int]]:
@@ -200,8 +216,8 @@ SCHEMA = "doc_id long, n_blocks int, licenses string, spans string, differences
 
 def scan_text(text: str | None, matcher: Matcher) -> tuple[int, str, str, str]:
     found = blocks(text or "")
-    named = [(s, e, got) for s, e in found if (got := matcher.identify(text[s:e]))]
-    return len(found), ",".join(sorted({g[0] for _, _, g in named})), ",".join(f"{g[0]}:{s}:{e}" for s, e, g in named), " ".join(d for _, _, g in named for d in g[2])
+    named = [(s + a, s + b, name, diff) for s, e in found for a, b, name, diff in matcher.identify(text[s:e])]
+    return len(found), ",".join(sorted({n for _, _, n, _ in named})), ",".join(f"{n}:{a}:{b}" for a, b, n, _ in named), " ".join(d for *_, diff in named for d in diff)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

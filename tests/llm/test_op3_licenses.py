@@ -61,3 +61,20 @@ def test_differing_words_far_from_others_are_listed():
     far = f"This fee. {prose(1, 30)} copyright. {prose(2, 25)} version 4. "
     assert op.scan_text(f"{far}This book was licensed under the GNU General Public License, version 3. {far}", M)[1::2] == ("GPL-3.0", "-work -is +book +was")
     assert op.scan_text(f"{far}Licensed under the MIT 2.0 License. {far}", M)[1] == ""
+
+
+def test_all_notices_of_a_block_are_found():
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    text = f"{mit}\n{apache} {mit} Also: {apache[:-1]} or {mit[:-1]}"
+    got = op.scan_text(text, M)
+    assert got[:2] == (1, "Apache-2.0,MIT") and got[3] == ""
+    spans = [x.rsplit(":", 2) for x in got[2].split(",")]
+    assert [(n, text[int(a) : int(b)]) for n, a, b in spans] == [("MIT", mit[:-1]), ("Apache-2.0", apache[:-1]), ("MIT", mit[:-1]), ("Apache-2.0", apache[:-1]), ("MIT", mit[:-1])]
+    for one, x in op.TEMPLATES:
+        for two, y in op.TEMPLATES:
+            found = op.scan_text(f"{x}\n{prose(1, 3)}. {y}", M)
+            assert (found[1], found[2].count(":"), found[3]) == (",".join(sorted({one, two})), 4, ""), (x, y)
+
+
+def test_many_notices_of_one_block_are_found_in_time_that_grows_with_it():
+    assert op.scan_text("\n".join(["Released under the MIT License."] * 4000), M)[2].count("MIT:") == 4000
