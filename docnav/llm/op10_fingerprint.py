@@ -1,9 +1,10 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed b-bit values.
 
 A text's 5-word shingles are hashed once. The high bits of a hash name one of BINS bins and each bin keeps its
-least hash. An empty bin copies the bin that comes first in an order of its own (the same in every text) among the
-filled ones. Of each bin the low BITS bits are stored; likeness counts equal bins and takes off the share
-that would be equal by chance.
+least hash. An empty bin borrows from the bin that comes first in an order of its own (the same in every text) among the
+filled ones. Of each filled bin the low BITS bits are stored, of an empty one BITS bits of a hash of the borrowed 64 bits
+and the bin's number, so that bins are equal by chance independently of each other, however few are filled; likeness counts
+equal bins and takes off the share that would be equal by chance.
 
 Defined results: null text counts as empty; texts without words have the fingerprint "" (like 1 to each other, 0 to
 others); equal texts have equal fingerprints; repeated rows give repeated rows; a null doc_id sorts last; rows
@@ -28,6 +29,13 @@ _SHIFT = np.uint64(64 - 8)
 _ORDER = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1).argsort(axis=1).astype(np.int16)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit values (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(text: str | None) -> bytes:
     """BINS values of BITS bits, packed two to a byte; empty for a text without words."""
     h = np.sort(shingle_hashes(text, WORDS))
@@ -40,7 +48,8 @@ def fingerprint(text: str | None) -> bytes:
     value[full] = (h[first] & np.uint64(15)).astype(np.uint8)
     if len(full) < BINS:
         empty = np.setdiff1d(np.arange(BINS), full, assume_unique=True)
-        value[empty] = value[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
+        donor = h[first][_ORDER[np.ix_(empty, full)].argmin(axis=1)]
+        value[empty] = (mixed(donor ^ mixed(empty.astype(np.uint64) + np.uint64(1))) & np.uint64(15)).astype(np.uint8)
     return (value[0::2] << 4 | value[1::2]).tobytes()
 
 

@@ -50,3 +50,11 @@ def test_odd_rows(spark, odd, none):
     one = op.fingerprints(odd.where("doc_id = 12"), 3).first()
     assert one.near_next == 1.0
     assert op.likeness(b"", b"") == 1.0 and op.likeness(b"", op.fingerprint("a")) == 0.0
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 8, 12])
+def test_texts_of_few_shingles_that_share_none_are_not_alike(n):
+    marks = [op.fingerprint(prose(seed, n, 10**6)) for seed in range(300)]
+    assert len(set(marks)) == len(marks)
+    near = [op.likeness(a, b) for a, b in zip(marks, marks[1:], strict=False)]
+    assert max(near) < 0.1 and np.mean(near) < 0.02
