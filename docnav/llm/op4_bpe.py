@@ -1,14 +1,13 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens: it accepts exactly the token sequences that merging by rank produces. It starts as one
-state in which every base symbol loops. The merges are then added one after the other, in order of rank, each by a
-gadget: for the merge (u, v) -> w, the state after u is cloned without its arc v, every state that has an arc u gets
-an arc w, and w leads where v led. A clone differs from its original by the one arc that it lost, so states are stored as
-these differences (two spines and a step for each token, one step for each lost arc), and whether a state has an
-arc is read back along them once and then kept in a table of transitions.
-
-A word is encoded by following, from each position, the arcs whose labels spell its next symbols: each prefix has one
-path, so each position is entered once and the time is linear in the word's length. Texts are cut into words as the
+The automaton reads tokens: it accepts exactly the token sequences that merging by rank produces. It is not compiled: there
+are no explicit states and no table of all transitions. In their place each merge (u, v) -> w notes the step at which it
+took the arc v from the state after u, and from which tokens w was born. Whether token w may follow token t is read back
+along these notes (the merge trees of both) and memoised for the pairs that occur.
+
+A word is encoded by a search over a trie of the vocabulary from each position that is entered, left to right; each prefix has
+one path, so each position is entered once, and the tokens are read off backward. A position looks at no more symbols than the
+longest token has. Texts are cut into words as the
 tokenizer's file says (NFC, lower case by code point, pattern), words are cached, and special tokens in the text are
 cut out first. Decoding emits the labels of the arcs, joined by spaces, as a file without decoder asks.
 
@@ -77,7 +76,7 @@ class Automaton:
         self.words: dict[str, tuple[bytes, str, int]] = {}
 
     def _gadget(self, step: int, u: int, v: int, w: int) -> None:
-        """The state after u is cloned and loses v; w gets the spines along which its arcs and its state derive from u's and v's."""
+        """Note that the state after u loses its arc v, and that w's arcs derive from u's and its state from v's."""
         self.lost.setdefault((u, v), step)
         if self.born[w] < 0:
             self.left[w], self.right[w], self.born[w] = u, v, step
