@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,21 @@ def test_latest_and_pending(spark):
     r = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", None), (2, 1, "c", "bad")], "run_id int, ord int, v string, error string")
     assert sorted((x.run_id, x.v) for x in P.latest(r, "run_id", "ord").collect()) == [(1, "b"), (2, "c")]
     assert [x.run_id for x in P.pending(r.select("run_id").distinct(), r, "run_id").collect()] == [2]
+
+
+def test_quotes_of_any_length_match_by_containment(spark, tmp_path):
+    from docnav.plans.retrieval import quote_exact_match
+
+    line = "Revenue of the northern region grew by 4.5% in 2021, mostly in spring; costs did not."
+    texts = [line, f"before {line} after", "grew by 4.5%", "spring", "", None, "a b", "the northern region grew, by"]
+    words = line.split()
+    quotes = [None, "", "§§", *(" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)), *(line[i:] for i in range(1, 30)), *(line[3:j] for j in range(5, len(line)))]
+    for name, column, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", quotes)):
+        spark.createDataFrame(list(enumerate(rows)), f"{column} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def norm(x):
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9%$., ]+", " ", (x or "").lower())).strip()
+
+    want = {(i, k) for i, t in enumerate(texts) for k, q in enumerate(quotes) if norm(q) and norm(q) in norm(t)}
+    got = quote_exact_match(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
