@@ -1,42 +1,52 @@
 """Helpers shared by the training-data operators.
 
 Everything that outlives one job is written below the folder named by ``spark.checkpoint.dir``; a folder of
-our own is set only where that setting is missing (tests, notebooks).
+our own is set only where that setting is missing and Spark is one local process (tests, notebooks).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts are up to a few hundred kB, so a batch stays in the tens of MB.
-ARROW_ROWS = 1000
+#: Bytes of one Arrow batch on its way to Python; Spark's own bound is 64 MB.
+ARROW_BYTES = 4 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Rows that one Arrow batch holds in the plans made from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES unless the session sets another bound. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, through Spark's reader only (the path may be in a store that Python cannot open)."""
-    arrow_rows(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docnav-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docnav-")
-        spark.sparkContext.setCheckpointDir(found)
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_dir()
     return found
 
 
@@ -93,7 +103,7 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return mix(out)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, most: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each end of ``edges(a, b)``; root is the smallest node of the component.
 
     Alternates the large-star and small-star steps. Each step takes a minimum by key (combined before the shuffle)
@@ -102,7 +112,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int = 40) ->
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -115,6 +125,4 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int = 40) ->
         if seen == before:
             break
         before = seen
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

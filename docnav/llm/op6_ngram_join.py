@@ -5,15 +5,18 @@ sizes a <= b and similarity >= T the overlap is at least c(b) = ceil(T * b), so
 
 * light classes (a size up to the boundary) emit every subset of the fixed size c(m), for each size m that a linked
   larger class can have; two linked light classes share a subset;
-* heavy classes, and the light ones whose size a heavy class can link to, are entered in inverted lists by the
-  first n - c(n) + 1 elements in one global order (rare first); a heavy class scans its lists, and linked
-  classes share one.
-
-The boundary is the one of least cost: subsets emitted below it, and list entries times the expected length of a list
-above it, both summed over all classes. Within a list, parity bitmaps of the sets give upper bounds of overlaps; the pairs
+* heavy classes, and the light ones whose size a heavy class can link to, scan inverted lists. Lists of single shingles hold
+  chance pairs, whose number grows with the square of the input, so an entry is a segment: sizes are cut into ranges, each range
+  (with the one above it) into segments by the hash of an element, and a set enters its D + 1 largest segments, where D is the most elements
+  in which two linked sets of the range can differ. A differing element spoils one segment, so linked sets share an entered one. A
+  set with no more than D segments enters all of them and, for its like, its first n - c(n) + 1 elements in one global order.
+
+The boundary is the one of least cost: rows that subsets make below it, and list entries above it, summed over all classes.
+Within a list, parity bitmaps of the sets give upper bounds of overlaps; the pairs
 that the bounds allow are returned as a spanning forest, never as all pairs. Forests of all lists make groups, and
 in a group links are verified exactly on the sorted sets, again as a forest. Lists and groups are dealt into
-blocks, each pair of blocks is one task's work, so no cap drops anything: long ones only make more block pairs.
+blocks bounded by rows and by elements; each pair of blocks is one piece of work, the pairs of a group go to tasks in turn, and no cap drops
+anything: long lists only make more block pairs.
 
 Defined results: null texts and texts without words have n_shingles 0 and link with nothing; repeated rows share a class;
 a null doc_id takes part, but cannot name a component unless it stands alone; an empty table gives no rows; further columns are
@@ -23,22 +26,31 @@ ignored.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docnav.llm.common import Scratch, connected_components, load, mix, shingle_hashes
 
-#: Sizes that may be light, classes in a block of a group and of a list, elements ranked as frequent (16 bytes each, sent
-#: to all tasks), and bits in the maps of small and of large sets.
-MOST_LIGHT, BLOCK, LIST, FREQUENT = 32, 256, 1024, 1 << 17
+#: Sizes that may be light, rows in a block of a group and of a list, and elements in a block of a group.
+MOST_LIGHT, BLOCK, LIST, ELEMENTS = 32, 256, 1024, 1 << 18
+#: Bits in the maps of small and of large sets.
 NARROW, WIDE = 1024, 8192
-_LOCAL, _FLUSH, _SEEN_BITS, _MOST_ENTERED, _SHORT_LIST = 3, 1 << 21, 1 << 20, 1 << 17, 64
+#: Classes that a task remembers, rows in a batch that it returns, and entries up to which equal lists are looked at once.
+_MOST_ENTERED, _FLUSH, _SHORT_LIST = 1 << 16, 1 << 16, 64
+#: Bits in the filter of wanted ids: for each id, at least, at most (8 MB in each task).
+_ID_BITS, _LEAST_BITS, _MOST_BITS, _PROBES = 12, 16, 26, 4
+#: Sizes up to which the grid of ranges goes, and standard deviations by which a set's segments exceed D.
+_LARGEST, _SURE = 1 << 40, 3.0
 
 
 def least_overlap(n: int, t: tuple[int, int]) -> int:
@@ -51,8 +63,88 @@ def largest_partner(n: int, t: tuple[int, int]) -> int:
 
 
 def subset_sizes(n: int, t: tuple[int, int], boundary: int) -> list[tuple[int, int]]:
-    """(m, c(m)) for each size m >= n of a light class that can link to one of size n."""
-    return [(m, c) for m in range(n, min(boundary, largest_partner(n, t)) + 1) if 0 < (c := least_overlap(m, t)) <= n]
+    """(m, c(m)) for each size m >= n of a light class that can link to a different one of size n."""
+    return [(m, c) for m in range(n, min(boundary, largest_partner(n, t)) + 1) if 0 < (c := least_overlap(m, t)) <= n and (m > n or c < n)]
+
+
+@cache
+def grid(t: tuple[int, int]) -> list[int]:
+    """First sizes of the ranges. A range reaches over at least one step of T, so partners are in the same or in neighbouring ranges; of the
+    widths in steps the one with the fewest entries for an average set is taken."""
+    step = math.log(t[1] / t[0])
+
+    def entries(k: int) -> float:
+        return (math.exp(k * step) - 1) / (k * step) + (1 - t[0] / t[1]) / (k * step)
+
+    ratio = (t[1] / t[0]) ** min(range(1, 7), key=entries)
+    out = [1]
+    while out[-1] < _LARGEST:
+        out.append(max(out[-1] + 1, math.floor(out[-1] * ratio)))
+    return out
+
+
+def _occupied(n: int, s: int) -> tuple[float, float]:
+    """Mean and standard deviation of the number of segments that n elements fall into."""
+    empty, two = (1 - 1 / s) ** n, (1 - 2 / s) ** n
+    return s * (1 - empty), math.sqrt(max(0.0, s * (s - 1) * two + s * empty - (s * empty) ** 2))
+
+
+@cache
+def meeting(i: int, t: tuple[int, int]) -> tuple[int, int]:
+    """(D, segments) of the sets that meet in range i: the smaller of two linked sets is of this range."""
+    a = grid(t)[i + 1] - 1
+    d = (a + largest_partner(a, t)) * (t[1] - t[0]) // (t[1] + t[0])
+    s = d + 1
+    while s < 8 * d + 16:
+        mean, sd = _occupied(grid(t)[i], s)
+        if mean - _SURE * sd > d:
+            break
+        s += max(1, s // 16)
+    return d, s
+
+
+def meetings(n: int, t: tuple[int, int]) -> list[int]:
+    """Ranges in which a set of n elements meets sets that it can link to without being equal."""
+    i = bisect_right(grid(t), n) - 1
+    return [j for j in (i - 1, i) if j >= 0 and meeting(j, t)[0] and (j == i or least_overlap(n, t) < grid(t)[i])]
+
+
+def list_keys(s: np.ndarray, t: tuple[int, int]) -> list[np.ndarray]:
+    """Keys of the lists that a sorted set enters."""
+    out, mixed = [], mix(s + np.uint64(1))
+    for i in meetings(len(s), t):
+        d, parts = meeting(i, t)
+        tag = np.uint64(xxhash.xxh3_64_intdigest(f"{t} {i}"))
+        # the set is sorted, so the elements of a segment stand together
+        segment = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        key = mix(np.add.reduceat(mixed, first) + tag)
+        size = np.diff(np.r_[first, len(s)])
+        out.append(key[np.lexsort((key, -size))[: d + 1]])
+        if len(first) <= d:
+            out.append(mix(s[: len(s) - least_overlap(len(s), t) + 1] ^ tag))
+    return out
+
+
+def list_entries(n: int, t: tuple[int, int]) -> float:
+    """Lists that a set of n elements enters, about."""
+    total = 0.0
+    for i in meetings(n, t):
+        d, s = meeting(i, t)
+        mean, sd = _occupied(n, s)
+        few = 0.5 * math.erfc((mean - d - 0.5) / (sd * math.sqrt(2))) if sd else float(mean <= d)
+        total += d + 1 + few * (n - least_overlap(n, t) + 1)
+    return total
+
+
+def _boundary(sizes: dict[int, int], t: tuple[int, int]) -> int:
+    """The light sizes end where subsets get dearer than list entries; of equal ones the largest is taken."""
+
+    def cost(x: int) -> float:
+        light = sum(c * sum(math.comb(n, s) for _, s in subset_sizes(n, t, x)) for n, c in sizes.items() if n <= x)
+        return light + sum(c * list_entries(n, t) for n, c in sizes.items() if n > x or largest_partner(n, t) > x)
+
+    return min(range(MOST_LIGHT, -1, -1), key=cost)
 
 
 def _class_of(h: np.ndarray) -> bytes:
@@ -73,52 +165,41 @@ def _parity(h: np.ndarray) -> bytes:
 
 
 def _survey(k: int):
-    """One pass over the texts: a row per document, and the elements that are common within a part of a task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def common() -> pd.DataFrame:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            some = count >= _LOCAL
-            return pd.DataFrame({"rid": value[some].view(np.int64), "n": count[some].astype(np.int64), "cls": None, "bits": None})
+    """(doc_id, n, cls, bits) of each document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, k)) for x in batch["text"]]
-            yield pd.DataFrame({"rid": batch["doc_id"].astype("Int64"), "n": -1 - np.array([len(s) for s in sets], np.int64), "cls": [_class_of(s) for s in sets], "bits": [_parity(s) for s in sets]})
-            held += sets
-            size += sum(map(len, sets))
-            if size >= _FLUSH:
-                yield common()
-                held, size = [], 0
-        if held:
-            yield common()
+            n, cls, bits = [], [], []
+            for x in batch.column("text"):
+                s = np.unique(shingle_hashes(x.as_py(), k))
+                n.append(len(s))
+                cls.append(_class_of(s) if len(s) else None)
+                bits.append(_parity(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "cls", "bits"])
 
     return run
 
 
-def _rank(values: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of the elements in the global order: unlisted ones first, then listed ones by count; ties by a hash."""
-    if len(known):
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        freq = np.where(known[at] == values, counts[at], 0)
-    else:
-        freq = np.zeros(len(values), np.int64)
-    return np.lexsort((mix(values), freq))
-
-
-def _keys(k: int, t: tuple[int, int], boundary: int, known: np.ndarray, counts: np.ndarray):
+def _keys(k: int, t: tuple[int, int], boundary: int):
     """Subset keys of light classes, list entries of heavy ones and of those light ones they can link to. A task enters a
     class once, so copies are taken together before they are dealt out (the memory for that is bounded; a class entered
-    again costs a row)."""
+    again costs rows)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered: set[bytes] = set()
+        key: list[np.ndarray] = []
+        cid: list[np.ndarray] = []
+
+        def full() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(cid))], ["key", "cid"])
+            key.clear()
+            cid.clear()
+            return out
+
+        held = 0
         for batch in batches:
-            key, cid = [], []
-            for x in batch["text"]:
-                s = np.unique(shingle_hashes(x, k))
+            for x in batch.column("text"):
+                s = np.unique(shingle_hashes(x.as_py(), k))
                 n, cls = len(s), _class_of(s)
                 if not n or cls in entered:
                     continue
@@ -127,48 +208,69 @@ def _keys(k: int, t: tuple[int, int], boundary: int, known: np.ndarray, counts:
                 entered.add(cls)
                 own = []
                 if n <= boundary:
-                    for m, c in subset_sizes(n, t, boundary):
-                        own += [xxhash.xxh3_64_intdigest(s[list(pick)].tobytes(), seed=m) for pick in combinations(range(n), c)]
+                    own = [np.array([xxhash.xxh3_64_intdigest(s[list(pick)].tobytes(), seed=m) for pick in combinations(range(n), c)], np.uint64) for m, c in subset_sizes(n, t, boundary)]
                 if n > boundary or largest_partner(n, t) > boundary:
-                    own += s[_rank(s, known, counts)[: n - least_overlap(n, t) + 1]].tolist()
+                    own += list_keys(s, t)
                 key += own
-                cid += [_short(cls)] * len(own)
-            yield pd.DataFrame({"key": np.array(key, np.uint64).view(np.int64), "cid": np.array(cid, np.int64)})
+                cid += [np.full(len(a), _short(cls), np.int64) for a in own]
+                held += sum(map(len, own))
+                if held >= _FLUSH:
+                    yield full()
+                    held = 0
+        if key:
+            yield full()
 
     return run
 
 
-def _boundary(sizes: dict[int, int], expected: float, t: tuple[int, int]) -> int:
-    """The light sizes end where subsets get dearer than list entries and their scans."""
-
-    def cost(x: int) -> float:
-        light = sum(c * sum(math.comb(n, s) for _, s in subset_sizes(n, t, x)) for n, c in sizes.items() if n <= x)
-        lists = sum(c * (n - least_overlap(n, t) + 1) for n, c in sizes.items() if n > x or largest_partner(n, t) > x)
-        return light + lists * expected
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64))
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(j) * step) % np.uint64(1 << bits) for j in range(_PROBES)]).astype(np.int64)
 
-    return min(range(MOST_LIGHT + 1), key=cost)
 
+def _mark(bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[_slots(batch["rid"].to_numpy(np.int64), bits)] = True
+        yield pd.DataFrame({"bits": [np.packbits(seen).tobytes()]})
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(_SEEN_BITS)).astype(np.int64)
+    return run
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(_SEEN_BITS, bool)
-    for batch in batches:
-        bits[_slots(batch["rid"].to_numpy(np.int64))] = True
-    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A filter of bounded size that lets the wanted ids pass, and others the more often the more ids it holds."""
+    ids = wanted.select(F.coalesce("rid", F.lit(0)).alias("rid"))
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (_ID_BITS * ids.count()).bit_length()))
+    seen = np.zeros(1 << bits >> 3, np.uint8)
+    for r in ids.coalesce(16).mapInPandas(_mark(bits), "bits binary").toLocalIterator():
+        seen |= np.frombuffer(r[0], np.uint8)
+    return seen
 
 
-def _sets(k: int, bits: np.ndarray):
-    """(cls, set) of the documents whose id may be wanted: a filter of fixed size in front of the exact join."""
+def _sets(k: int, seen: np.ndarray):
+    """(cls, elements, bits) of the documents whose id may be wanted: a filter of bounded size in front of the exact join."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = (len(seen) << 3).bit_length() - 1
+        sent: set[bytes] = set()
         for batch in batches:
-            ids = batch["doc_id"]
-            keep = ids.isna().to_numpy() | bits[_slots(ids.fillna(0).to_numpy(np.int64))]
-            sets = [np.unique(shingle_hashes(x, k)) for x in batch["text"][keep]]
-            yield pd.DataFrame({"cls": [_class_of(s) for s in sets], "elements": [s.tobytes() for s in sets]})
+            ids = batch.column("doc_id")
+            at = _slots(pc.fill_null(ids, 0).to_numpy(), bits)
+            keep = ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
+            cls, elements, maps = [], [], []
+            for x in batch.column("text").filter(pa.array(keep)):
+                s = np.unique(shingle_hashes(x.as_py(), k))
+                if (own := _class_of(s)) in sent:
+                    continue
+                if len(sent) >= _MOST_ENTERED:
+                    sent.clear()
+                sent.add(own)
+                cls.append(own)
+                elements.append(s.tobytes())
+                maps.append(_parity(s))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(elements, pa.binary()), pa.array(maps, pa.binary())], ["cls", "elements", "bits"])
 
     return run
 
@@ -245,50 +347,43 @@ def _forests(t: tuple[int, int], columns: tuple[str, ...], exact: bool):
     return run
 
 
-def _deal(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """Rows of a key dealt by a hash into blocks, and each block sent to each pair of blocks that it is part of."""
-    blocks = F.ceil(F.col(count) / block).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", count)
-    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+def _deal(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Rows of a key dealt by a hash into blocks, and each block sent to each pair of blocks that it is part of. The pairs of a key go to
+    partitions in turn, so one large key fills them evenly."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), blocks.cast("int"))).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    turn = F.pmod(F.xxhash64(key), F.lit(parts)) + F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i")
+    return rows.repartitionById(parts, F.pmod(turn.cast("long"), F.lit(parts)).cast("int")).sortWithinPartitions(key, "i", "j")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs(doc_id, text)``; documents link at a similarity of t[0] / t[1]."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = scratch.keep(texts.mapInPandas(_survey(k), "rid long, n long, cls binary, bits binary"))
-    rows = survey.where("n < 0").select(F.col("rid").alias("doc_id"), (-1 - F.col("n")).cast("int").alias("n"), "cls", "bits")
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = scratch.keep(texts.mapInArrow(_survey(k), "doc_id long, n long, cls binary, bits binary"))
     classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("n", "bits")).alias("first"), F.min("doc_id").alias("rid")).select("cls", "first.n", "first.bits", "rid"))
-
-    often = survey.where("n > 0").groupBy("rid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "rid").limit(FREQUENT).toPandas()
-    known, counts = often["rid"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
-    known, counts = known[order := np.argsort(known)], counts[order]
-    mass = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT * t[1] // t[0] + 1).groupBy("n").count().collect()}
-    boundary = _boundary(sizes, 1 + float((counts.astype(float) ** 2).sum()) / max(1, mass), t)
+    boundary = _boundary(sizes, t)
 
     # dealt by key once; the entries of a key stay together for the count, the collection and the copies
-    keys = texts.mapInPandas(_keys(k, t, boundary, known, counts), "key long, cid long").repartition("key").groupBy("key", "cid").agg(F.lit(1).alias("one")).drop("one")
+    keys = texts.mapInArrow(_keys(k, t, boundary), "key long, cid long").repartition("key").groupBy("key", "cid").agg(F.lit(1).alias("one")).drop("one")
     shared = keys.withColumn("entries", F.count("*").over(Window.partitionBy("key"))).where("entries > 1")
     # near copies share many short lists with the same entries: each such list is looked at once
     short = shared.where(F.col("entries") <= _SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
     short = short.select(F.xxhash64("cids").alias("key"), F.explode("cids").alias("cid"), F.size("cids").cast("long").alias("entries"))
-    lists = short.union(shared.where(F.col("entries") > _SHORT_LIST).select("key", "cid", "entries"))
+    lists = scratch.keep(short.union(shared.where(F.col("entries") > _SHORT_LIST).select("key", "cid", "entries")))
     brief = classes.drop("rid").withColumn("cid", F.expr("cast(conv(substring(hex(cls), 1, 16), 16, -10) as long)"))
-    lists = _deal(lists.join(brief, "cid").drop("cid"), "key", "entries", LIST)
-    near = scratch.keep(lists.mapInPandas(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
-
-    groups = scratch.keep(connected_components(near, scratch).withColumnRenamed("root", "comp"))
-    count = groups.groupBy("comp").agg(F.count("*").alias("entries"))
-    wanted = scratch.keep(groups.withColumnRenamed("node", "cls").join(count, "comp").join(classes, "cls"))
-    bits = np.zeros(_SEEN_BITS, bool)
-    parts = wanted.select(F.coalesce("rid", F.lit(0)).alias("rid")).coalesce(32).mapInPandas(_mark, "bits binary")
-    for r in parts.toLocalIterator():
-        bits |= np.unpackbits(np.frombuffer(r[0], np.uint8)).astype(bool)
-    sets = texts.mapInPandas(_sets(k, bits), "cls binary, elements binary")
-    links = scratch.keep(_deal(wanted.drop("rid").join(sets, "cls"), "comp", "entries", BLOCK).mapInPandas(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
+    near = _deal(lists.join(brief, "cid").drop("cid"), "key", F.ceil(F.col("entries") / LIST)).drop("entries")
+    near = scratch.keep(near.mapInPandas(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
+
+    groups = connected_components(near, scratch).withColumnRenamed("root", "comp").withColumnRenamed("node", "cls")
+    wanted = scratch.keep(groups.join(classes.select("cls", "n", "rid"), "cls"))
+    blocks = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks_of"))
+    sets = texts.mapInArrow(_sets(k, _filter(wanted)), "cls binary, elements binary, bits binary")
+    found = wanted.join(blocks, "comp").drop("rid").join(sets, "cls")
+    links = scratch.keep(_deal(found, "comp", F.col("blocks_of")).drop("blocks_of").mapInPandas(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
 
     comps = connected_components(links, scratch)
     rooted = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rid", F.coalesce("root", "cls").alias("root"))
