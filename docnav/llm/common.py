@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch on its way to Python; Spark's own bound is 64 MB.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -50,6 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 class Scratch:
     """Written tables that cut the lineage: a lost executor costs a reread, not the work before it."""
 

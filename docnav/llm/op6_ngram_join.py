@@ -32,7 +32,6 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -230,11 +229,11 @@ def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _mark(bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            seen[_slots(batch["rid"].to_numpy(np.int64), bits)] = True
-        yield pd.DataFrame({"bits": [np.packbits(seen).tobytes()]})
+            seen[_slots(batch.column("rid").to_numpy(), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     return run
 
@@ -244,7 +243,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
     ids = wanted.select(F.coalesce("rid", F.lit(0)).alias("rid"))
     bits = min(_MOST_BITS, max(_LEAST_BITS, (_ID_BITS * ids.count()).bit_length()))
     seen = np.zeros(1 << bits >> 3, np.uint8)
-    for r in ids.coalesce(16).mapInPandas(_mark(bits), "bits binary").toLocalIterator():
+    for r in ids.coalesce(16).mapInArrow(_mark(bits), "bits binary").toLocalIterator():
         seen |= np.frombuffer(r[0], np.uint8)
     return seen
 
@@ -323,7 +322,7 @@ def forest(names: list, size: np.ndarray, bits: list[bytes], sides: np.ndarray,
 def _forests(t: tuple[int, int], columns: tuple[str, ...], exact: bool):
     """Groups arrive one after the other, sorted by ``columns``; a group holds two blocks at most."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, found = None, {}, []
 
         def close() -> None:
@@ -331,18 +330,22 @@ def _forests(t: tuple[int, int], columns: tuple[str, ...], exact: bool):
                 sides, size, bits, sets = zip(*held.values(), strict=True)
                 found.extend(forest(list(held), np.array(size, np.int64), list(bits), np.array(sides), t, list(sets) if exact else None))
 
+        def links() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            sets = [np.frombuffer(e, np.uint64) for e in batch["elements"]] if exact else [None] * len(batch)
-            for key, cls, own, n, bits, s in zip(zip(*(batch[c] for c in columns), strict=True), batch["cls"], batch["own"], batch["n"], batch["bits"], sets, strict=True):
+            keys = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            sets = batch.column("elements") if exact else [None] * batch.num_rows
+            for key, cls, own, n, bits, s in zip(keys, *(batch.column(c).to_pylist() for c in ("cls", "own", "n", "bits")), sets, strict=True):
                 if key != at:
                     close()
                     at, held = key, {}
-                held[cls] = (own, n, bits, s)
+                held[cls] = (own, n, bits, np.frombuffer(s.as_py(), np.uint64) if exact else None)
             if len(found) > 10_000:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield links()
                 found = []
         close()
-        yield pd.DataFrame(found, columns=["a", "b"])
+        yield links()
 
     return run
 
@@ -376,14 +379,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 10
     lists = scratch.keep(short.union(shared.where(F.col("entries") > _SHORT_LIST).select("key", "cid", "entries")))
     brief = classes.drop("rid").withColumn("cid", F.expr("cast(conv(substring(hex(cls), 1, 16), 16, -10) as long)"))
     near = _deal(lists.join(brief, "cid").drop("cid"), "key", F.ceil(F.col("entries") / LIST)).drop("entries")
-    near = scratch.keep(near.mapInPandas(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
+    near = scratch.keep(near.mapInArrow(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
 
     groups = connected_components(near, scratch).withColumnRenamed("root", "comp").withColumnRenamed("node", "cls")
     wanted = scratch.keep(groups.join(classes.select("cls", "n", "rid"), "cls"))
     blocks = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks_of"))
     sets = texts.mapInArrow(_sets(k, _filter(wanted)), "cls binary, elements binary, bits binary")
     found = wanted.join(blocks, "comp").drop("rid").join(sets, "cls")
-    links = scratch.keep(_deal(found, "comp", F.col("blocks_of")).drop("blocks_of").mapInPandas(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
+    links = scratch.keep(_deal(found, "comp", F.col("blocks_of")).drop("blocks_of").mapInArrow(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
 
     comps = connected_components(links, scratch)
     rooted = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rid", F.coalesce("root", "cls").alias("root"))

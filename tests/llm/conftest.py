@@ -30,3 +30,13 @@ def odd(spark):
 @pytest.fixture
 def none(spark):
     return spark.createDataFrame([], DOCS)
+
+
+LARGE = 2**53 + 1
+
+
+@pytest.fixture
+def large(spark):
+    """Ids that doubles cannot hold, beside a null, in one batch."""
+    rows = [(LARGE, prose(1, 30), "en", "s", None, "k", "c", 1), (LARGE + 2, prose(1, 30), "en", "s", None, "k", "c", 1), (None, "no id", "en", "s", None, "k", "c", 1)]
+    return spark.createDataFrame(rows, DOCS).coalesce(1)
