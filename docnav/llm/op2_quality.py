@@ -9,7 +9,7 @@ Rows for learning are a bounded sample of the learning fold: up to PER_CLASS of
 weighing what they stand for. Only their statistics reach the driver.
 
 Defined results: null and empty texts have statistics of 0 and are scored like any; repeated rows repeat; a null doc_id is
-not held out; null labels are left out, repeated ones each count; without labels of both kinds every score is 0; an
+not held out; null labels are left out, and of the rows of a repeated id the one with the smallest text is learned from; without labels of both kinds every score is 0; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
     order = F.xxhash64("doc_id", F.lit(2))
     picked = known.where("label = 1").orderBy(order).limit(PER_CLASS).union(known.where("label = 0").orderBy(order).limit(PER_CLASS))
     # at most 2 * PER_CLASS small rows are broadcast, so the texts stay where they are
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_measure, "doc_id long, label int, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # an id that is repeated gives one row, so that the sample stays bounded
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("r")).select("doc_id", "r.*")
+    rows = rows.mapInPandas(_measure, "doc_id long, label int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     y = rows["label"].to_numpy(np.int64)
     if len(set(y)) < 2:
@@ -157,11 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Forest | None:
 
 
 def _score(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = model.value
         for batch in batches:
-            x = np.array([statistics(t) for t in batch["text"]]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": forest.score(x) if forest else 0.0})
+            x = np.array([statistics(t.as_py()) for t in batch.column("text")]).reshape(-1, len(FEATURES))
+            score = forest.score(x) if forest else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -169,7 +174,7 @@ def _score(model):
 def score_documents(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """(doc_id, score) of each row of ``docs(doc_id, text)``."""
     model = docs.sparkSession.sparkContext.broadcast(forest)
-    return docs.select("doc_id", "text").mapInPandas(_score(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
