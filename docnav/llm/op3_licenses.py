@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Sentences around words that licenses use (and what little stands between two such sentences) are candidate blocks. The words
+What stands around words that licenses use, as far as the longest notice can reach, is a candidate block; every template holds such a word, so no notice lies
+outside. SPDX expressions are cut into one short notice for each identifier. The words
 of each block are aligned with those of each template, wherever in the block they stand; the words that differ are listed, and a template
 is confirmed if enough of its words are there, few others stand between them, and none of those that differ is a number or a name
 that tells licenses apart. The aligned words are then compressed by zstandard alone and with the template as a raw
@@ -20,61 +21,60 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from docnav.llm.common import load
 
-_WARRANTY = 'is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.'
+#: Names of licenses and the wording of their notices.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_REST = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 _REDISTRIBUTE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 _FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, version {}."
-#: Names of licenses and the wording of their notices.
+_WORK = "This work is licensed under the GNU {} Public License, version {}."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_GNU = (("GPL-3.0", "General", "3"), ("GPL-2.0", "General", "2"), ("LGPL-3.0", "Lesser General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("AGPL-3.0", "Affero General", "3"))
+_NAMED = (
+    ("MIT", "the MIT License"), ("Apache-2.0", "the Apache License, Version 2.0"), ("Apache", "the Apache License"), ("BSD-3-Clause", "the BSD 3-Clause License"), ("BSD-2-Clause", "the BSD 2-Clause License"), ("ISC", "the ISC License"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"), ("CC0-1.0", "CC0 1.0"),
+)
+_SPDX = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC0-1.0", "Unlicense")
 TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software. The Software {_WARRANTY}"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", _FREE.format("General", 3)),
-    ("GPL-2.0", _FREE.format("General", 2)),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", f"{_REDISTRIBUTE} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-2-Clause", _REDISTRIBUTE),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC0-1.0", "Released under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, f"{lead} {of}.") for name, of in _NAMED for lead in ("Released under", "Licensed under", "Available under")), ("Apache", "or the Apache License"), ("MIT", "or the MIT License"),
+    ("MIT", f"{_MIT} {_MIT_NOTICE} {_WARRANTY}"), ("MIT", f"{_MIT} {_MIT_NOTICE}"), ("MIT", _MIT), ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
+    *((name, _WORK.format(kind, v)) for name, kind, v in _GNU), *((name, _FREE.format(kind, v)) for name, kind, v in _GNU),
+    ("MPL-2.0", _MPL.split(" If ")[0]), ("MPL-2.0", _MPL), ("BSD-3-Clause", f"{_REDISTRIBUTE} {_NEITHER}"), ("BSD-2-Clause", _REDISTRIBUTE), ("ISC", _ISC),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("Unlicense", _UNLICENSE.split(" Anyone")[0]), ("Unlicense", _UNLICENSE),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
 )
 #: Words that tell licenses apart.
-NAMES = frozenset("mit apache gnu lesser affero mozilla bsd 3-clause 2-clause cc cc0 by by-sa by-nc by-nd by-nc-sa creative commons unencumbered granted neither".split())
+NAMES = frozenset("mit isc apache gnu lesser affero mozilla bsd 3-clause 2-clause cc cc0 by by-sa by-nc by-nd by-nc-sa creative commons unencumbered granted neither".split())
 TRIGGER = re.compile(r"licen[cs]|copyright|warrant|redistribut|permission|public domain|\bGNU\b|\bCC[ -]?BY|\bCC0|released under|SPDX", re.I)
 _MARKS = ".,;:!?\"'()[]*#/ "
-_BOUND = re.compile(r"(?<!\s[A-Za-z])[.!?][\"')\]]*\s|\n")
-#: Characters: reach of a sentence without an end, and gap over which blocks are one. Shares of a template's words: least
-#: that must be there, most others that may stand between them.
-REACH, GAP = 600, 200
+#: The mark of a list item: it begins a line, after a line that ended.
+_ITEM = re.compile(r"(?:(?<=[.:;,]\n)|(?<=\n\n)|\A)[ \t]*\(?(?:[0-9]{1,2}|[a-z])[.)](?=[ \t])")
+#: An SPDX expression, and the identifiers in it.
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)", re.I)
+_OPERAND = re.compile(r"(?:(WITH)[ \t]+)?(?!(?:AND|OR|WITH)\b)([A-Za-z0-9.+-]+)", re.I)
+#: Shares of a template's words: least that must be there, most others that may stand between them.
 LEAST_SHARE, MOST_OTHER = 0.8, 0.25
+#: Characters of a notice at most: the longest template, with other words between its own and marks and white space around them.
+REACH = int(2 * (1 + MOST_OTHER) * max(len(t) for _, t in TEMPLATES))
 #: Cost of a word that tells licenses apart, and costs of a missing word: few differences, or few missing words.
 _NEVER, _MISSING = 10**7, (1, 3)
 
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
-    """(word, start, end) without the marks around it."""
+    """(word, start, end) without the marks around it, and without the numbers of list items."""
     out = []
-    for m in re.finditer(r"\S+", text):
+    for m in re.finditer(r"\S+", _ITEM.sub(lambda m: " " * len(m[0]), text)):
         left = m.group().lstrip(_MARKS)
         if bare := left.rstrip(_MARKS):
             start = m.end() - len(left)
@@ -91,16 +91,11 @@ def telling(word: str) -> bool:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of sentences with a trigger; neighbours with a small gap are one block."""
+    """Spans within REACH of a trigger, those that meet as one."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        end = b.start() + 1 if (b := _BOUND.search(text, m.end(), m.end() + REACH)) else min(len(text), m.end() + REACH)
-        if out and m.start() < out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-            continue
-        low = max(0, m.start() - REACH, out[-1][1] if out else 0)
-        start = max([low, *(low + b.end() for b in _BOUND.finditer(text[low : m.start()]))])
-        if out and start - out[-1][1] <= GAP:
+        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and start <= out[-1][1]:
             out[-1][1] = end
         else:
             out.append([start, end])
@@ -136,6 +131,7 @@ class Matcher:
             missing, other, before, after = differences(own[start:end], wanted)
             # names right before or after the aligned words belong to the notice as well, and so does what stands for missing words
             edge = [w for w in [*own[max(0, start - 1) : start], *own[end : end + 1]] if w in NAMES]
+            edge += own[end + 1 : end + 2] if own[end : end + 1] in (["version"], ["v"]) else []
             edge += [*own[max(0, start - before - 1) : start]] * (before > 0) + own[end : end + after + 1] * (after > 0)
             if not any(telling(w) for w in [*missing, *other, *edge]):
                 out.append((start, end, [*(f"-{w}" for w in missing), *(f"+{w}" for w in other)]))
@@ -214,24 +210,40 @@ _MATCHER: list[Matcher] = []
 SCHEMA = "doc_id long, n_blocks int, licenses string, spans string, differences string"
 
 
+def expressions(text: str, matcher: Matcher) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, license, words that differ) of each identifier in SPDX expressions; "-only", "-or-later" and "+" are left off."""
+    out = []
+    for m in _EXPRESSION.finditer(text):
+        for o in _OPERAND.finditer(m[1]):
+            name = re.sub(r"(?i)(-only|-or-later|\+)$", "", o[2])
+            if not o[1]:
+                at = m.start(1) + o.start(2)
+                out += [(at, at + len(o[2]), license, diff) for _, _, license, diff in matcher.identify(f"SPDX-License-Identifier: {name}")]
+    return out
+
+
 def scan_text(text: str | None, matcher: Matcher) -> tuple[int, str, str, str]:
-    found = blocks(text or "")
-    named = [(s + a, s + b, name, diff) for s, e in found for a, b, name, diff in matcher.identify(text[s:e])]
+    text = text or ""
+    found = blocks(text)
+    named = expressions(text, matcher) if found else []
+    # an expression is read once, by its identifiers
+    plain = _EXPRESSION.sub(lambda m: " " * len(m[0]), text) if named else text
+    named += [(s + a, s + b, name, diff) for s, e in found for a, b, name, diff in matcher.identify(plain[s:e])]
+    named.sort(key=lambda x: x[:2])
     return len(found), ",".join(sorted({n for _, _, n, _ in named})), ",".join(f"{n}:{a}:{b}" for a, b, n, _ in named), " ".join(d for *_, diff in named for d in diff)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _MATCHER:
         _MATCHER.append(Matcher())
     for batch in batches:
-        out = pd.DataFrame([scan_text(t, _MATCHER[0]) for t in batch["text"]], columns=["n_blocks", "licenses", "spans", "differences"])
-        out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-        yield out.astype({"doc_id": "Int64"})
+        out = list(zip(*(scan_text(t.as_py(), _MATCHER[0]) for t in batch.column("text")), strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int32()), *(pa.array(c, pa.string()) for c in out[1:])], ["doc_id", "n_blocks", "licenses", "spans", "differences"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_blocks, licenses, spans, differences) of each document."""
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(_scan, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

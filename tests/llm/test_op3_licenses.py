@@ -13,7 +13,7 @@ def test_each_template_is_found_in_prose(name, text):
     got = op.scan_text(body, M)
     assert got[1] == name and got[3] == ""
     _, start, end = got[2].rsplit(":", 2)
-    assert text.rstrip(".") in body[int(start) : int(end)]
+    assert text.rstrip(".:/").removeprefix("SPDX-License-Identifier: ") in body[int(start) : int(end)]
 
 
 @pytest.mark.parametrize(
@@ -48,8 +48,8 @@ def test_odd_rows(spark, odd, none):
     assert op.scan(none).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 20, 200, 3000])
-@pytest.mark.parametrize(("name", "text"), op.TEMPLATES)
+@pytest.mark.parametrize("n", [0, 20, 3000])
+@pytest.mark.parametrize(("name", "text"), op.TEMPLATES[::3])
 def test_other_words_of_a_block_hide_no_notice(name, text, n):
     # neighbours within GAP characters and a line without an end are one block
     chained = " ".join(f"{prose(i, 12)} copyright." for i in range(n // 14))
@@ -70,11 +70,93 @@ def test_all_notices_of_a_block_are_found():
     assert got[:2] == (1, "Apache-2.0,MIT") and got[3] == ""
     spans = [x.rsplit(":", 2) for x in got[2].split(",")]
     assert [(n, text[int(a) : int(b)]) for n, a, b in spans] == [("MIT", mit[:-1]), ("Apache-2.0", apache[:-1]), ("MIT", mit[:-1]), ("Apache-2.0", apache[:-1]), ("MIT", mit[:-1])]
-    for one, x in op.TEMPLATES:
-        for two, y in op.TEMPLATES:
+    for one, x in op.TEMPLATES[::7]:
+        for two, y in op.TEMPLATES[3::5]:
             found = op.scan_text(f"{x}\n{prose(1, 3)}. {y}", M)
             assert (found[1], found[2].count(":"), found[3]) == (",".join(sorted({one, two})), 4, ""), (x, y)
 
 
 def test_many_notices_of_one_block_are_found_in_time_that_grows_with_it():
     assert op.scan_text("\n".join(["Released under the MIT License."] * 4000), M)[2].count("MIT:") == 4000
+
+
+VERBATIM = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+""",
+}
+
+
+@pytest.mark.parametrize("name", VERBATIM)
+def test_verbatim_notices_are_found(name):
+    for n in (0, 300):
+        assert op.scan_text(f"{prose(1, n)}\n{VERBATIM[name]}\n{prose(2, n)}", M)[1] == name
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", "Apache-2.0,MIT"), ("Released under the MIT License. Licensed under CC BY 4.0.", "CC-BY-4.0,MIT"), ("It is available under the MIT License or the Apache License.", "Apache,MIT"),
+        ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: (Apache-2.0 OR GPL-3.0-only) AND CC0-1.0", "Apache-2.0,CC0-1.0,GPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0"), ("SPDX-License-Identifier: Foo-9.0", ""),
+    ],
+)
+def test_several_licenses_and_expressions(text, names):
+    assert op.scan_text(text, M)[1] == names
+
+
+def exact(text):
+    """Every template as a sequence of words in the whole text, without blocks, ranks or alignment; not those within a longer one."""
+    own = op.words(text)
+    at = [(i, i + len(want), name) for name, t in op.TEMPLATES for want in [op.words(t)] for i in range(len(own) - len(want) + 1) if own[i : i + len(want)] == want]
+    return {name for a, b, name in at if not any(c <= a and b <= d and d - c > b - a for c, d, _ in at)}
+
+
+def test_recall_against_an_exact_scan_of_whole_texts():
+    import random
+
+    r, found, there = random.Random(8), 0, 0
+    for i in range(150):
+        words = prose(i, 50 * (1 + i % 12)).split()
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(words))
+            words[at:at] = [r.choice(op.TEMPLATES)[1]]
+        text = " ".join(words)
+        want, got = exact(text), set(op.scan_text(text, M)[1].split(","))
+        found, there = found + len(want & got), there + len(want)
+    assert found >= 0.97 * there, (found, there)
