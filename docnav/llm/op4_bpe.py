@@ -1,16 +1,19 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The automaton reads tokens: it accepts exactly the token sequences that merging by rank produces. It is not compiled: there
-are no explicit states and no table of all transitions. In their place each merge (u, v) -> w notes the step at which it
-took the arc v from the state after u, and from which tokens w was born. Whether token w may follow token t is read back
-along these notes (the merge trees of both) and memoised for the pairs that occur.
-
-A word is encoded by a search over a trie of the vocabulary from each position that is entered, left to right; each prefix has
-one path, so each position is entered once, and the tokens are read off backward. A position looks at no more symbols than the
-longest token has. Texts are cut into words as the
+The automaton over tokens accepts exactly the sequences that merging by rank produces. It is built by one gadget for each merge
+(u, v) -> w, in order: the state after u loses its arc v, and w's arcs and state derive from u's and v's. A gadget is kept as what it
+changes (a full table of arcs would be the vocabulary's size squared); an arc's presence follows from the gadgets.
+
+Words are encoded by a deterministic automaton over bytes that is compiled from it: a state holds the tokens under way (places
+in a trie of the vocabulary, each with the token before it) and the one token that ends here. States and transitions are put into a table
+when a word first needs them, as the whole table has far more states than texts ever reach; encoding is one look-up a byte, and the
+tokens are read off backward from the states. Texts are cut into words as the
 tokenizer's file says (NFC, lower case by code point, pattern), words are cached, and special tokens in the text are
 cut out first. Decoding emits the labels of the arcs, joined by spaces, as a file without decoder asks.
 
+Letters, digits and lower case are those of Unicode 16 and 17 that the tokenizers library has and Python's tables lack;
+sequences of such new characters are not composed.
+
 Defined results: null text is empty, with 0 tokens; repeated rows give repeated rows; a null doc_id stays null; an
 empty table gives no rows; further columns are ignored.
 """
@@ -23,7 +26,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +34,53 @@ from docnav.llm.common import load
 
 END = "</w>"
 #: Words whose encodings a worker keeps; beyond that the table is emptied, which costs time but no results.
-MOST_CACHED = 300_000
+MOST_CACHED = 100_000
+#: States of the automaton over bytes, and arcs looked up, that a worker keeps; beyond that they are made anew.
+MOST_STATES, MOST_ARCS = 60_000, 200_000
+
+# Letters, digits and lower-case forms (first, last, distance) newer than Unicode 15.1.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+
+
+#: No character below is odd.
+_FIRST_ODD = "\u0530"
+
+
+@cache
+def character_classes() -> tuple[str, str, str, dict[int, int]]:
+    """Sets for a pattern: letters and digits (those of Python's tables, and the newer ones), and the characters of which the regex module
+    thinks otherwise; and the newer lower-case forms."""
+    every = [chr(c) for c in range(0x110000)]
+    kind = [unicodedata.category(c)[0] for c in every]
+    for k, newer in (("L", NEW_LETTERS), ("N", NEW_DIGITS)):
+        for first, last in newer:
+            kind[first : last + 1] = [k] * (last + 1 - first)
+    theirs = [unicodedata.category(c)[0] for c in every]
+    for k in "LN":
+        for m in regex.finditer(rf"\p{{{k}}}", "".join(every)):
+            theirs[m.start()] = k
+
+    def ranges(points: list[int]) -> str:
+        out: list[list[int]] = []
+        for c in points:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+    lower = {c: c + d for a, b, d in NEW_LOWER for c in range(a, b + 1)}
+    odd = [c for c in range(0x110000) if (kind[c] in "LN" or theirs[c] in "LN") and kind[c] != theirs[c] or c in lower]
+    return *(ranges([c for c in range(0x110000) if kind[c] == k]) for k in "LN"), ranges(odd), lower
+
 
 
 def byte_letters() -> list[str]:
@@ -54,7 +103,7 @@ class Automaton:
         self.left, self.right, self.born = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.lost: dict[tuple[int, int], int] = {}
         self.length, self.special = [0] * self.size, special
-        self.child: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # node * 512 + symbol to node
         self.token = [-1]
         symbols: dict[int, tuple[int, ...]] = {}
         for b, s in enumerate(letters):
@@ -66,14 +115,48 @@ class Automaton:
         for t, s in symbols.items():
             node = 0
             for x in s:
-                if x not in self.child[node]:
-                    self.child.append({})
+                key = node * 512 + x
+                if key not in self.child:
+                    self.child[key] = len(self.token)
                     self.token.append(-1)
-                    self.child[node][x] = len(self.token) - 1
-                node = self.child[node][x]
+                node = self.child[key]
             self.token[node], self.length[t] = t, len(s)
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str, int]] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        """An automaton over bytes with its first state only."""
+        self.states: dict[tuple, int] = {}
+        self.under_way: list[tuple[tuple[int, int], ...]] = []
+        self.ends: list[int] = []
+        self.table: dict[int, int] = {}  # state * 512 + symbol to state
+        self._state(-1, ((0, -1),))
+
+    def _state(self, token: int, under_way: tuple[tuple[int, int], ...]) -> int:
+        key = (token, under_way)
+        if key not in self.states:
+            self.states[key] = len(self.ends)
+            self.ends.append(token)
+            self.under_way.append(under_way)
+        return self.states[key]
+
+    def _compile(self, state: int, symbol: int) -> int:
+        """The state after ``symbol``, entered into the table. Of the tokens that end there just one may follow what is before it."""
+        ending, on = -1, []
+        for node, before in self.under_way[state]:
+            node = self.child.get(node * 512 + symbol, -1)
+            if node < 0:
+                continue
+            if symbol < 256:  # nothing follows a word's last byte
+                on.append((node, before))
+            w = self.token[node]
+            if w >= 0 and ending < 0 and (before < 0 or self.follows(before, w)):
+                ending = w
+        if symbol < 256 and ending >= 0:
+            on.append((0, ending))
+        to = self.table[state * 512 + symbol] = self._state(ending, tuple(on))
+        return to
 
     def _gadget(self, step: int, u: int, v: int, w: int) -> None:
         """Note that the state after u loses its arc v, and that w's arcs derive from u's and its state from v's."""
@@ -100,33 +183,30 @@ class Automaton:
             else:
                 t, w = self.right[t], self.left[t]
 
+    def follows(self, t: int, w: int) -> bool:
+        key = t * self.size + w
+        ok = self.arcs.get(key)
+        if ok is None:
+            if len(self.arcs) >= MOST_ARCS:
+                self.arcs.clear()
+            ok = self.arcs[key] = self.arc(t, w)
+        return ok
+
     def encode_word(self, word: bytes) -> list[int]:
-        n = len(word)
-        symbols = [*word[:-1], word[-1] + 256]
-        enter = [-1] * (n + 1)
-        child, token, arcs, size = self.child, self.token, self.arcs, self.size
-        for i in range(n):
-            t, node = enter[i], 0
-            for j in range(i, n):
-                node = child[node].get(symbols[j], -1)
-                if node < 0:
-                    break
-                w = token[node]
-                if w >= 0 and enter[j + 1] < 0:
-                    if i:
-                        key = t * size + w
-                        ok = arcs.get(key)
-                        if ok is None:
-                            if len(arcs) > 2_000_000:
-                                arcs.clear()
-                            ok = arcs[key] = self.arc(t, w)
-                        if not ok:
-                            continue
-                    enter[j + 1] = w
-        out = []
+        if len(self.ends) >= MOST_STATES:
+            self._reset()
+        table, state, path = self.table, 0, []
+        for symbol in word[:-1]:
+            to = table.get(state * 512 + symbol)
+            state = self._compile(state, symbol) if to is None else to
+            path.append(state)
+        last = word[-1] + 256
+        to = table.get(state * 512 + last)
+        path.append(self._compile(state, last) if to is None else to)
+        n, out = len(word), []
         while n:
-            out.append(enter[n])
-            n -= self.length[enter[n]]
+            out.append(self.ends[path[n - 1]])
+            n -= self.length[out[-1]]
         return out[::-1]
 
     def entry(self, word: str) -> tuple[bytes, str, int]:
@@ -143,18 +223,30 @@ class Automaton:
     @cache  # noqa: B019  one automaton a worker
     def _patterns(self):
         cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        return cut, regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        letters, digits, odd, lower = character_classes()
+        forms = r"'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\p{{White_Space}}{0}{1}]+"
+        return cut, regex.compile(forms.format(r"\p{L}", r"\p{N}")), regex.compile(forms.format(letters, digits)), regex.compile(f"[{odd}]"), lower
+
+    def _cut(self, part: str) -> list[str]:
+        """Words of a text without special tokens."""
+        _, usual, exact, odd, lower = self._patterns()
+        if part.isascii():
+            return usual.findall(part.lower())
+        part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        # the regex module's classes are quick, and the same but for the odd characters
+        if max(part, default="") < _FIRST_ODD or not odd.search(part):
+            return usual.findall(part.lower())
+        return exact.findall(part.lower().translate(lower))
 
     def pieces(self, text: str) -> list[tuple[bytes, str, int]]:
         """The entries of a text's words and special tokens, in order."""
-        cut, pattern = self._patterns()
+        cut = self._patterns()[0]
         words, out = self.words, []
         for part in cut.split(text) if cut else [text]:
             if part in self.special:
                 out.append((self.special[part].to_bytes(4, "little"), part, 1))
                 continue
-            part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            out += [words.get(x) or self.entry(x) for x in pattern.findall(part.lower())]
+            out += [words.get(x) or self.entry(x) for x in self._cut(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -184,19 +276,23 @@ def specification(path: str) -> str:
 
 
 def _tokens(spec, with_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = compiled(spec.value)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                pieces = bpe.pieces(text) if text else []
+            n, ids_sum, text_sum, all_ids, all_text = [], [], [], [], []
+            for text in batch.column("text"):
+                pieces = bpe.pieces(text.as_py() or "")
                 ids = b"".join([p[0] for p in pieces])
                 decoded = " ".join([p[1] for p in pieces])
-                row = (None if pd.isna(doc_id) else int(doc_id), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, ids, decoded) if with_ids else row)
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_ids else 4])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                n.append(len(ids) // 4)
+                ids_sum.append(hashlib.sha256(ids).hexdigest())
+                text_sum.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    all_ids.append(ids)
+                    all_text.append(decoded)
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
+            columns += [pa.array(all_ids, pa.binary()), pa.array(all_text, pa.string())] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     return run
 
@@ -205,7 +301,7 @@ def tokenize(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (little-endian unsigned 32-bit) and the decoded text."""
     spec = docs.sparkSession.sparkContext.broadcast(specification(path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(_tokens(spec, with_ids), schema)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_tokens(spec, with_ids), schema)
 
 
 def vocabulary_path() -> str:

@@ -69,3 +69,21 @@ def test_odd_rows(spark, odd, none, library):
         want.append((r.doc_id, len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), data, text))
     assert sorted((tuple(g) for g in got), key=str) == sorted(want, key=str)
     assert op.tokenize(none, op.vocabulary_path()).count() == 0
+
+
+def test_every_code_point_equals_the_library(bpe, library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4096):
+        text = " ".join(f"a{chr(c)}b" for c in points[i : i + 4096])
+        if bpe.encode(text) != library.encode(text, add_special_tokens=False).ids:
+            bad = [hex(c) for c in points[i : i + 4096] if bpe.encode(f"a{chr(c)}b") != library.encode(f"a{chr(c)}b", add_special_tokens=False).ids]
+            assert not bad, bad[:20]
+
+
+def test_states_are_made_anew_without_other_results(bpe, library, monkeypatch):
+    monkeypatch.setattr(op, "MOST_STATES", 50)
+    monkeypatch.setattr(op, "MOST_ARCS", 20)
+    for i in range(60):
+        word = "".join(random.Random(i).choice("abcdeilnorst") for _ in range(9))
+        assert bpe.encode_word(word.encode()) == library.encode(word, add_special_tokens=False).ids
+    assert len(bpe.ends) < 200
