@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docnav.llm.common import load
+from docnav.llm.common import load, unused
 
 
 @dataclass(frozen=True)
@@ -122,9 +122,14 @@ def query(pattern: str) -> list[frozenset[str]]:
     return sorted((c for c in all_of if not any(d < c for d in all_of)), key=sorted)
 
 
+def _key() -> F.Column:
+    """128 bits of a document's id and text."""
+    row = (F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.struct(*(F.xxhash64(F.lit(seed), *row).alias(name) for name, seed in (("a", 3), ("b", 5))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text", F.lit(3)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _key().alias("key"))
 
 
 def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -156,7 +161,7 @@ def _hits(rows: DataFrame, rules: tuple[Rule, ...], asked: bool) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, kind, start, end) of each different document's matches; key is a hash of doc_id and text."""
+    """(key, kind, start, end) of each different document's matches; key is 128 bits of doc_id and text."""
     keyed = _keyed(docs)
     by_query = tuple(r for r in rules if query(r.pattern))
     scanned = tuple(r for r in rules if not query(r.pattern))
@@ -201,17 +206,17 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     spans = spans.withColumn("new", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)).withColumn("g", F.sum("new").over(order))
     merged = spans.groupBy("key", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(3))).join(cuts.withColumnRenamed("key", "__key").withColumnRenamed("cuts", "__cuts"), "__key", "left")
-    n = F.size("__cuts")
+    key, at = unused(docs, "key"), unused(docs, "cuts")
+    rows = docs.withColumn(key, _key()).join(cuts.select(F.col("key").alias(key), F.col("cuts").alias(at)), key, "left")
+    n = F.size(at)
     # between the cuts: from the end of one to the start of the next
-    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), F.when(i == 0, 1).otherwise(F.element_at("__cuts", F.greatest(i, F.lit(1)))["end"] + 1).cast("int"),
-        F.greatest(F.lit(0), (F.when(i == n, F.length("text")).otherwise(F.element_at("__cuts", F.least(i + 1, n))["start"]) - F.when(i == 0, 0).otherwise(F.element_at("__cuts", F.greatest(i, F.lit(1)))["end"]))).cast("int")))
-    masked = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, MASK))
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(F.col("text"), F.when(i == 0, 1).otherwise(F.element_at(at, F.greatest(i, F.lit(1)))["end"] + 1).cast("int"),
+        F.greatest(F.lit(0), (F.when(i == n, F.length("text")).otherwise(F.element_at(at, F.least(i + 1, n))["start"]) - F.when(i == 0, 0).otherwise(F.element_at(at, F.greatest(i, F.lit(1)))["end"]))).cast("int")))
+    masked = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(kept, MASK))
     out = rows.withColumn("text", masked)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*docs.columns)
 
 
