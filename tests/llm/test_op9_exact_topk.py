@@ -46,7 +46,31 @@ def test_odd_rows(spark):
 def test_it_stops_early_only_with_proof():
     rng = np.random.default_rng(1)
     x, q = np.floor(rng.normal(0, 60, (500, 32))), np.floor(rng.normal(0, 60, (20, 32)))
-    got = op.search_block(q, np.arange(1000, 1020), x, np.arange(500), 5)
+    x[:, 1:] *= rng.random((500, 31)) < 0.2  # few large components
+    best, work = op.Best(20, 5), [0]
+    for part in np.split(np.arange(500), 5):
+        op.search_block(q, np.arange(1000, 1020), op.indexed(part, x[part]), best, work)
     for i in range(20):
         want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]))[:5]
-        assert [(-s, j) for r, _, j, s in got if r == i] == want
+        assert [(-int(s), int(j)) for s, j in zip(best.score[i], best.id[i], strict=True)] == want
+    assert work[0] < 0.9 * np.count_nonzero(x) * 20
+
+
+def test_segments_hold_each_posting_once_by_falling_impact():
+    x = np.floor(np.random.default_rng(2).normal(0, 90, (60, 8)))
+    b = op.indexed(np.arange(60), x)
+    seen = np.zeros_like(x)
+    for s in range(len(b.level)):
+        vec = b.vec[b.start[s] : b.start[s + 1]]
+        value = x[vec, b.dim[s]]
+        assert ((2.0 ** b.level[s] <= np.abs(value)) & (np.abs(value) < 2.0 ** (b.level[s] + 1))).all()
+        seen[vec, b.dim[s]] += value
+    assert (seen == x).all() and (np.diff(b.level) <= 0).all()
+
+
+def test_rounds_of_queries_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(op, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(op, "ROUND_BYTES", 300)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in rng.normal(0, 0.2, 12)], 0, 0, 0) for i in range(600)]
+    assert run(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
