@@ -15,10 +15,11 @@ input are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def fingerprint(text: str | None) -> bytes:
     first = np.flatnonzero(np.r_[True, (h[1:] >> _SHIFT) != (h[:-1] >> _SHIFT)])
     full = (h[first] >> _SHIFT).astype(np.int64)
     value = np.zeros(BINS, np.uint8)
-    # bits from the middle of the hash: the high ones name the bin, and a minimum biases those just below
+    # the lowest bits of the hash: the high ones name the bin, and a minimum biases those just below them
     value[full] = (h[first] & np.uint64(15)).astype(np.uint8)
     if len(full) < BINS:
         empty = np.setdiff1d(np.arange(BINS), full, assume_unique=True)
@@ -70,40 +71,54 @@ def edit(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(bucket, halo, doc_id, text) dealt into ``parts`` ranges of descending doc_id, each followed by the first row of
-    the range after it (halo), and the last range by the first row of all. Texts are shuffled once; what reaches
-    the driver is ``parts`` numbers."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(bucket, halo, doc_id, h, text) dealt into about ``parts`` ranges of descending doc_id (h, a hash of the text, orders rows of one id), each
+    followed by the first row of the range after it (halo), and the last range by the first row of all. An id that fills several
+    ranges, and rows without an id, are cut by h. Texts are shuffled once; what reaches the driver is ``parts`` numbers."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     at = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 10000)).first()[0] or []), reverse=True)
+    found, without, total = docs.agg(F.percentile_approx("doc_id", at, 10000), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    times = Counter(found or [])
+    cuts = sorted(times, reverse=True)
     bucket = F.lit(len(cuts))
     for i in range(len(cuts) - 1, -1, -1) if len(cuts) <= 64 else ():
         bucket = F.when(F.col("doc_id") > cuts[i], i).otherwise(bucket)
     if len(cuts) > 64:  # a search in a constant array keeps the expression small
-        bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> doc_id is null or c >= doc_id))")
-    docs = docs.withColumn("bucket", bucket)
-    first = {r[0]: r[1] for r in docs.groupBy("bucket").agg(F.max("doc_id")).collect()}
+        bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c >= doc_id))")
+    # an id that is several of the cuts is dealt into as many parts, in front of the other ids of its range
+    pieces = {c: n for c, n in times.items() if n > 1}
+    nulls = max(1, -(-without * parts // max(1, total)))
+    wide = max([nulls, *pieces.values()]) + 1
+    share = (F.shiftrightunsigned("h", 32) + (1 << 31)) % (1 << 32)  # h from the least, in 32 bits
+    part = lambda n: F.floor(share * n / (1 << 32)).cast("int")
+    sub = F.lit(wide - 1)
+    for c, n in pieces.items():
+        sub = F.when(F.col("doc_id") == c, part(n)).otherwise(sub)
+    none = (len(cuts) + 1) * wide
+    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), none + part(nulls)).otherwise(bucket * wide + sub).cast("int"))
+    first = {r["bucket"]: r["top"] for r in docs.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("not_h"))).alias("top")).collect()}
+    # at most a few times ``parts`` ranges: each with its number in order and its first row
     order = sorted(first)
-    pairs = [(b, order[(i + 1) % len(order)]) for i, b in enumerate(order)]
-    spark = docs.sparkSession
-    if not pairs:
-        return docs.select("bucket", F.lit(0).alias("halo"), "doc_id", "text")
-    halo = spark.createDataFrame([(b, of, first[of]) for b, of in pairs], "bucket int, of int, top long")
-    tops = [v for v in first.values() if v is not None]
-    near = docs.where(F.col("doc_id").isin(tops) | F.col("doc_id").isNull())
-    extra = near.withColumnRenamed("bucket", "of").join(F.broadcast(halo), "of").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    return docs.select("bucket", F.lit(0).alias("halo"), "doc_id", "text").union(extra.select("bucket", F.lit(1).alias("halo"), "doc_id", "text"))
+    ranges = docs.sparkSession.createDataFrame([(b, i, first[b]["doc_id"], ~first[b]["not_h"]) for i, b in enumerate(order)], "bucket int, number int, top long, top_h long")
+    rows = docs.join(F.broadcast(ranges), "bucket")
+    heads = rows.where(F.col("h") == F.col("top_h")).where(F.col("doc_id").eqNullSafe(F.col("top"))).dropDuplicates(["number"])
+    before = F.pmod(F.col("number") - 1, F.lit(max(1, len(order)))).cast("int")
+    columns = ("doc_id", "h", "text")
+    return rows.select(F.col("number").alias("bucket"), F.lit(0).alias("halo"), *columns).union(heads.select(before, F.lit(1), *columns))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+TYPES = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by bucket, then in order; each waits for the row after it."""
     held: tuple | None = None
     for batch in batches:
         out = []
-        for bucket, halo, doc_id, text in zip(batch["bucket"], batch["halo"], batch["doc_id"], batch["text"], strict=True):
+        for bucket, halo, doc_id, text in zip(*(batch.column(c) for c in ("bucket", "halo", "doc_id", "text")), strict=True):
+            bucket, halo, text = bucket.as_py(), halo.as_py(), text.as_py()
             if held and held[1] and held[0] == bucket and halo:
                 continue  # ties of the row that follows the bucket
             mark = fingerprint(text)
@@ -112,20 +127,18 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 changed = edit(body, text)
                 edited = print_ if changed == body else fingerprint(changed)
                 out.append((own, len(body), hashlib.sha256(changed.encode()).hexdigest(), print_.hex(), edited.hex(), likeness(print_, edited), likeness(print_, mark)))
-            held = (bucket, halo, None if pd.isna(doc_id) else int(doc_id), text, mark)
+            held = (bucket, halo, doc_id.as_py(), text, mark)
         if out:
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), TYPES, strict=True)], schema=TYPES)
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprint each text, its edited text, and their likeness (see the module's docstring)."""
     spark = docs.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = with_next(docs, parts).repartitionById(parts, F.col("bucket"))
-    ordered = dealt.sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return ordered.mapInPandas(_walk, SCHEMA)
+    dealt = with_next(docs, parts).repartitionById(parts, F.pmod("bucket", F.lit(parts)))
+    ordered = dealt.sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "h")
+    return ordered.mapInArrow(_walk, SCHEMA)
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

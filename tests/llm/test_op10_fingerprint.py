@@ -12,6 +12,21 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
 
 
+def test_hot_ids_and_rows_without_one_are_dealt_into_parts(spark):
+    texts = [prose(i, 8, 10**6) for i in range(300)]
+    rows = [(5 if i < 120 else None if i < 220 else 2**53 + 1 + i, t, "en", "s", None, "", "", 0) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, DOCS)
+    sizes = [r["count"] for r in op.with_next(frame, 12).where("halo = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 50
+    got = {r.fingerprint: r for r in op.fingerprints(frame, 12).collect()}
+    assert {r.doc_id for r in got.values()} == {r[0] for r in rows}
+    h = {r.text: r.h for r in op.with_next(frame, 12).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+    for r, after in zip(line, line[1:] + line[:1], strict=True):
+        k = len(r[1]) // 3
+        assert got[op.fingerprint(r[1]).hex()].edited_sha256 == hashlib.sha256((r[1][:-k] + after[1][:k]).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("parts", [2, 3, 90])
 def test_edits_and_neighbours_equal_brute_force(spark, parts):
     rows = [(i * 3, prose(i, i % 50, 50) + "é" * (i % 4), "en", "s", None, "", "", 0) for i in range(150)]
