@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docnav.functions.text import clean_str, normalize_answer, strip, to_float
+from docnav.functions.udfs import parse_list
 
 
 def anls(prediction: Column, gold: Column, threshold: float = 0.5) -> Column:
@@ -96,16 +97,18 @@ def score_list(gold: Column, pred: Column, gold_items: Column, pred_items: Colum
     return F.when(F.lower(strip(pred)) == "not answerable", 0.0).when(F.size(g) != F.size(p), 0.0).when(numeric, as_numbers).otherwise(as_text)
 
 
-def eval_score(gold: Column, pred: Column, kind: Column, gold_items: Column | None = None, pred_items: Column | None = None) -> Column:
-    """The rule-based score by answer format; an unknown format scores 0."""
-    out = F.when(kind == "Int", score_int(gold, pred)).when(kind == "Float", score_float(gold, pred)).when(kind.isin("Str", "None"), score_str(gold, pred))
-    if gold_items is not None:
-        out = out.when(kind == "List", score_list(gold, pred, gold_items, pred_items))
-    return out.otherwise(0.0)
+def eval_score(gold: Column, pred: Column, kind: Column) -> Column:
+    """The rule-based score by answer format; an unknown format scores 0. Only lists are sent to the parser of lists."""
+    items = lambda c: parse_list(F.when(kind == "List", c))
+    return (
+        F.when(kind == "Int", score_int(gold, pred)).when(kind == "Float", score_float(gold, pred)).when(kind.isin("Str", "None"), score_str(gold, pred))
+        .when(kind == "List", score_list(gold, pred, items(gold), items(pred))).otherwise(0.0)
+    )
 
 
-def score_extracted(extracted: Column, score: Column) -> Column:
-    return F.when(F.lower(strip(extracted)) == "fail to answer", 0.0).otherwise(score)
+def score_extracted(gold: Column, extracted: Column, kind: Column) -> Column:
+    """The rules' score of an extracted answer; one that says that it failed is wrong."""
+    return F.when(F.lower(strip(extracted)) == "fail to answer", 0.0).otherwise(eval_score(gold, extracted, kind))
 
 
 def pick_score(mode: Column, rules: Column, judged: Column, failed: Column, judge: Column, extraction: Column) -> Column:

@@ -90,7 +90,7 @@ def test_anls_and_f1_equal_plain_functions(spark):
 
 @pytest.mark.parametrize(
     ("gold", "pred", "kind", "want"),
-    [("51%", "0.51", "Float", 1.0), ("51%", "50%", "Float", 0.0), ("3.9", "3", "Int", 1.0), ("x", "3", "Int", 0.0), ("Not answerable", "not answerable", "None", 1.0), ("apple", "aple", "Str", 0.8), ("www.a.b", "www.a.c", "Str", 0.0), ("a", "a", "Date", 0.0)],
+    [("51%", "0.51", "Float", 1.0), ("51%", "50%", "Float", 0.0), ("3.9", "3", "Int", 1.0), ("x", "3", "Int", 0.0), ("Not answerable", "not answerable", "None", 1.0), ("apple", "aple", "Str", 0.8), ("www.a.b", "www.a.c", "Str", 0.0), ("a", "a", "Date", 0.0), ("['a', 'b']", "b; a", "List", 1.0), ("['a', 'b']", "a", "List", 0.0)],
 )
 def test_rule_score(spark, gold, pred, kind, want):
     assert values(spark, [(gold, pred, kind)], "g string, p string, k string", M.eval_score(F.col("g"), F.col("p"), F.col("k"))) == [pytest.approx(want)]
@@ -111,6 +111,25 @@ def test_quotes(spark):
     assert values(spark, ["A  B-c\t% $5.0"], "s string", X.norm_quote(F.col("s"))) == ["a b c % $5.0"]
 
 
+def test_quote_ratios_equal_a_plain_walk():
+    import difflib
+
+    def plain(q, t):
+        n, best = len(q), 0.0
+        for i in range(0, max(1, len(t) - n + 1), max(1, n // 4)):
+            best = max(best, difflib.SequenceMatcher(None, q, t[i : i + n]).ratio())
+            if best > 0.95:
+                break
+        return best >= 0.8, round(best, 3)
+
+    r = random.Random(6)
+    for _ in range(150):
+        text = "".join(r.choice("abcde ") for _ in range(r.randrange(1, 400)))
+        at = r.randrange(len(text))
+        quote = "".join(c if r.random() > 0.1 else r.choice("xyz") for c in text[at : at + r.randrange(1, 260)]) + "#" * (r.random() < 0.3)
+        assert quote_similarity(quote, text) == ((True, 1.0) if quote in text else plain(quote, text))
+
+
 def test_hints(spark):
     page = "Some  prose; Figure 1: the quick brown fox jumps over"
     rows = [("figure 1 - The Quick brown", page), ("fig", page), ("figure 2 the quick brown", page)]

@@ -92,18 +92,36 @@ def test_manifest_names_and_report(spark):
 
 def test_sample_sets(spark, tmp_path):
     path = tmp_path / "mini.json"
-    path.write_text(json.dumps({"name": "mini", "samples": [{"doc_id": "x.pdf", "question": "q"}, {"doc_id": "y.pdf"}], "author": "n"}))
-    s = S.resolve(str(path))
-    assert s.doc_ids() == ["x.pdf", "y.pdf"] and s.samples[1][0] == "sample02" and s.extra == {"author": "n"} and S.describe(s) == "sample set mini (2 samples)"
-    assert S.resolve("all") is None and S.resolve("3") == 3
+    path.write_text(json.dumps({"dataset": "mmlongbench_doc", "samples": [{"doc_id": "x.pdf", "question": "q", "run_id": "a"}, {"doc_id": "y.pdf"}, {"doc_id": "x.pdf", "question": "r"}], "author": "n"}))
+    for value in (str(path), "mini"):
+        s = S.select(spark, value, str(tmp_path))
+        assert [r.doc_id for r in S.documents_of(s).orderBy("ord").collect()] == ["x.pdf", "y.pdf"]
+        assert [tuple(r) for r in s.samples.orderBy("ord").collect()] == [(0, "a", "x.pdf", "q", ""), (1, "sample02", "y.pdf", None, ""), (2, "sample03", "x.pdf", "r", "")]
+        assert (s.name, s.dataset, s.extra, s.label, str(s)) == ("mini", "mmlongbench_doc", {"author": "n"}, "mini", "sample set mini: 3 samples of 2 documents")
+    assert [r.question for r in S.questions_of(s, "x.pdf").collect()] == ["q", "r"]
+    assert S.select(spark, None).label == "full" and S.select(spark, "3").first == S.select(spark, 3).first == 3 and str(S.select(spark, 2)) == "first 2 documents"
     for bad in ("0", -1):
         with pytest.raises(ValueError, match="positive"):
-            S.resolve(bad)
-    for bad in ({"name": "n", "samples": []}, {"samples": [{}]}):
+            S.select(spark, bad)
+    for n, bad in enumerate(({"name": "n", "samples": []}, {"name": "n"}, {"samples": [{"doc_id": "a"}, {}]})):
+        (tmp_path / f"bad{n}.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError, match="sample"):
-            S.SampleSet.from_dict(bad)
+            S.select(spark, f"bad{n}", str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        S.select(spark, "nowhere", str(tmp_path))
     docs, unknown = S.explicit(spark.createDataFrame([("x.pdf",), ("z.pdf",)], "doc_id string"), s)
     assert [r.doc_id for r in docs.collect()] == ["x.pdf"] and [r.doc_id for r in unknown.collect()] == ["y.pdf"]
+    rows = spark.createDataFrame([("y.pdf", 5), ("z.pdf", 1), ("x.pdf", 2), ("z.pdf", 7)], "doc_id string, ord int")
+    kept = lambda c: sorted(r.doc_id for r in S.restrict(rows, c, "mmlongbench_doc").collect())
+    assert kept(s) == ["x.pdf", "y.pdf"] and kept(S.select(spark, 1)) == ["z.pdf", "z.pdf"] and len(kept(S.select(spark, None))) == 4
+    with pytest.raises(ValueError, match="read by documents"):
+        S.restrict(rows, S.Selection(samples=s.samples, name="p"), "slidevqa")
+    with pytest.raises(ValueError, match="belongs to"):
+        S.restrict(rows, S.Selection(samples=s.samples, name="p", dataset="slidevqa"), "mmlongbench_doc")
+    numbers = spark.range(10).withColumnRenamed("id", "ord")
+    assert [r.ord for r in S.at_places(numbers, -2, None).collect()] == [8] and sorted(r.ord for r in S.at_places(numbers, 3, -4).collect()) == [3, 4, 5]
+    settings = spark.createDataFrame([("api_key", "x"), ("judge_api_key", "y"), ("max_rounds", "2")], "key string, value string")
+    assert [r.key for r in S.public_settings(settings).collect()] == ["max_rounds"]
     rows = spark.range(100)
     assert S.random_sample(rows, "id", 5).collect() == S.random_sample(rows.repartition(7), "id", 5).collect()
 
@@ -117,8 +135,8 @@ def test_answers_are_scored_once_as_they_arrive(spark, tmp_path):
         score_folder(spark, src, out, ck).awaitTermination()
 
     arrive("1.json", ("a", "51%", "Float", "The answer is: 0.51"), ("b", "x", "Str", "y"))
-    arrive("2.json", ("a", "51%", "Float", "again"), ("c", "3", "Int", "3.7"))
-    assert {r.run_id: r.score for r in spark.read.parquet(out).collect()} == {"a": 1.0, "b": 0.0, "c": 1.0}
+    arrive("2.json", ("a", "51%", "Float", "again"), ("c", "3", "Int", "3.7"), ("d", "['a', 'b']", "List", "b and a"))
+    assert {r.run_id: r.score for r in spark.read.parquet(out).collect()} == {"a": 1.0, "b": 0.0, "c": 1.0, "d": 1.0}
 
 
 def test_parsed_pages_are_written_once(spark, tmp_path):
