@@ -19,15 +19,16 @@ def sql_tokens(x: str) -> str:
     return f"list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z0-9]+'), flatten([{form} FOR z IN list_zip({kind}, {num})])))"
 
 
-def sql_bm25(units: str, queries: str, k: int) -> str:
-    """CTEs up to r: (corpus_id, qid, unit_id, ord, score, rank)."""
-    return f"""u AS (SELECT corpus_id, unit_id, ord, {sql_tokens("text")} AS toks FROM ({units})),
-s AS (SELECT corpus_id, count(*) AS n, avg(len(toks)) AS av FROM u GROUP BY corpus_id),
-q AS (SELECT DISTINCT corpus_id, qid, unnest({sql_tokens("query")}) AS term FROM ({queries})),
-e AS (SELECT corpus_id, unit_id, ord, len(toks) AS l, unnest(toks) AS term FROM u),
-h AS (SELECT e.*, q.qid, count(*) OVER (PARTITION BY e.corpus_id, q.qid, e.term) AS df FROM e JOIN q ON e.corpus_id = q.corpus_id AND e.term = q.term),
-c AS (SELECT h.corpus_id, qid, unit_id, ord, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * l / av))), 9) AS score FROM h JOIN s ON h.corpus_id = s.corpus_id GROUP BY h.corpus_id, qid, unit_id, ord),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, qid ORDER BY score DESC, ord) AS rank FROM c WHERE score > 0) WHERE rank <= {k})"""
+def sql_bm25(units: str, queries: str, k: int, name: str = "") -> str:
+    """CTEs up to r: (corpus_id, qid, unit_id, ord, score, rank). Their names end in ``name``."""
+    x = name
+    return f"""u{x} AS (SELECT corpus_id, unit_id, ord, {sql_tokens("text")} AS toks FROM ({units})),
+s{x} AS (SELECT corpus_id, count(*) AS n, avg(len(toks)) AS av FROM u{x} GROUP BY corpus_id),
+q{x} AS (SELECT DISTINCT corpus_id, qid, unnest({sql_tokens("query")}) AS term FROM ({queries})),
+e{x} AS (SELECT corpus_id, unit_id, ord, len(toks) AS l, unnest(toks) AS term FROM u{x}),
+h{x} AS (SELECT ee.*, qq.qid, count(*) OVER (PARTITION BY ee.corpus_id, qq.qid, ee.term) AS df FROM e{x} ee JOIN q{x} qq ON ee.corpus_id = qq.corpus_id AND ee.term = qq.term),
+c{x} AS (SELECT hh.corpus_id, qid, unit_id, ord, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * l / av))), 9) AS score FROM h{x} hh JOIN s{x} ss ON hh.corpus_id = ss.corpus_id GROUP BY hh.corpus_id, qid, unit_id, ord),
+r{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id, qid ORDER BY score DESC, ord) AS rank FROM c{x} WHERE score > 0) WHERE rank <= {k})"""
 
 
 _UNITS = "SELECT corpus_id, page AS unit_id, page AS ord, text FROM ({})"
@@ -71,20 +72,48 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 TOKEN_STATS = f"SELECT corpus_id AS doc_id, count(*) AS pages, CAST(sum(len({sql_tokens('text')})) AS BIGINT) AS tokens, round(avg(len({sql_tokens('text')})), 6) AS mean_tokens FROM ({A.DOCUMENT_PAGES}) GROUP BY corpus_id"
 
 
+def _located(spark: SparkSession, d: str) -> DataFrame:
+    return R.locate(A.indexed_pages(spark, d), A.nested_sections(spark, d), A.locate_questions(spark, d))
+
+
 def region_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of each conversation for its two queries together, best first."""
-    ranked = R.bm25(_units(A.conversation_pages(spark, d)), A.conversation_questions(spark, d))
-    fused = R.fuse(ranked.withColumn("question", F.lit(0)).withColumn("qno", F.col("qid")))
-    none = fused.select("corpus_id", "question").distinct().withColumn("ref_pages", F.array().cast("array<int>"))
-    got = R.anchors(fused, none)
-    return got.select(F.col("corpus_id").alias("conv_id"), F.concat_ws(",", F.col("anchors").cast("array<string>")).alias("anchors"))
+    """Sections and pages of each conversation for its question: references first, then what two queries find, then sections of the best pages."""
+    text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
+    scores = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["id"].cast("string"), F.format_string("%.3f", x["score"])))).alias(c)
+    return _located(spark, d).select(F.col("corpus_id").alias("conv_id"), text("ref_pages"), text("ref_sections"), scores("ranked_pages"), scores("ranked_sections"), text("sections"), text("anchor_pages"))
+
+
+_PAGE_CORPUS = f"SELECT corpus_id, page AS unit_id, page AS ord, concat_ws(' ', title, figures, tables, summary, role, md) AS text FROM ({A.INDEXED_PAGES})"
+_SECTION_CORPUS = f"""SELECT s.corpus_id, s.section_id AS unit_id, s.ord, s.title || ' ' || string_agg(concat_ws(' ', p.title, p.summary, p.role, p.figures, p.tables), ' ' ORDER BY p.page) AS text FROM ({A.NESTED_SECTIONS}) s JOIN ({A.INDEXED_PAGES}) p ON s.corpus_id = p.corpus_id
+AND p.page BETWEEN s.start_page AND s.end_page GROUP BY s.corpus_id, s.section_id, s.ord, s.title"""
+_LOCATE_QUERIES = f"SELECT corpus_id, qno AS qid, query FROM ({A.LOCATE_QUERIES})"
+
+
+def _sql_fused(name: str) -> str:
+    return f"""f{name} AS (SELECT corpus_id, unit_id, ord, round(sum(share), 9) AS score, min(qid * 100 + rank) AS first FROM (SELECT *, score / greatest(max(score) OVER (PARTITION BY corpus_id, qid), 1e-9) AS share FROM r{name}) GROUP BY corpus_id, unit_id, ord),
+o{name} AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY score DESC, first) AS i FROM f{name})"""
+
+
+def _region_fusion_sql() -> str:
+    # figures stand on pages 1, 4, ... by their own numbers, tables on 2, 5, ...; a mention of figure 7 stands on pages 2, 5, ... and of any on 3, 6, ...
+    return f"""WITH {sql_bm25(_PAGE_CORPUS, _LOCATE_QUERIES, 5, "p")}, {sql_bm25(_SECTION_CORPUS, _LOCATE_QUERIES, 3, "t")}, {_sql_fused("p")}, {_sql_fused("t")},
+z AS ({A.NESTED_SECTIONS}), n AS (SELECT corpus_id, max(end_page) AS n FROM z GROUP BY corpus_id), w AS (SELECT corpus_id, page, unnest(generate_series(1, 1)) AS one FROM ({A.CONVERSATION_PAGES})),
+x AS (SELECT corpus_id, 0 AS pos, 1 AS page FROM n WHERE corpus_id % 3 = 0 UNION ALL SELECT corpus_id, 1, 2 FROM n WHERE corpus_id % 3 = 0 AND n >= 2
+UNION ALL SELECT corpus_id, 0, 7 FROM n WHERE corpus_id % 3 = 1 AND n >= 7 UNION ALL SELECT w.corpus_id, 0, page FROM w JOIN n ON w.corpus_id = n.corpus_id WHERE w.corpus_id % 3 = 1 AND n.n < 7 AND page % 3 = 2),
+ix AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY pos, page) AS i, count(*) OVER (PARTITION BY corpus_id) AS refs FROM x),
+rs AS (SELECT z.corpus_id, section_id, ord, row_number() OVER (PARTITION BY z.corpus_id ORDER BY ord) AS i, count(*) OVER (PARTITION BY z.corpus_id) AS refs FROM z WHERE EXISTS (SELECT 1 FROM x WHERE x.corpus_id = z.corpus_id AND x.page BETWEEN start_page AND end_page)),
+ps AS (SELECT z.corpus_id, section_id, row_number() OVER (PARTITION BY z.corpus_id ORDER BY ord) AS i FROM z WHERE EXISTS (SELECT 1 FROM op WHERE op.corpus_id = z.corpus_id AND op.i <= 3 AND op.unit_id BETWEEN start_page AND end_page)),
+allsec AS (SELECT corpus_id, section_id, min(part * 1000 + i) AS k FROM (SELECT corpus_id, section_id, 0 AS part, i FROM rs UNION ALL SELECT corpus_id, unit_id, 1, i FROM ot UNION ALL SELECT corpus_id, section_id, 2, i FROM ps) GROUP BY corpus_id, section_id),
+cutsec AS (SELECT a.*, row_number() OVER (PARTITION BY a.corpus_id ORDER BY k) AS i, greatest(3, coalesce(m.refs, 0)) AS most FROM allsec a LEFT JOIN (SELECT DISTINCT corpus_id, refs FROM rs) m ON a.corpus_id = m.corpus_id),
+allpage AS (SELECT corpus_id, page, min(part * 1000 + i) AS k FROM (SELECT corpus_id, page, 0 AS part, i FROM ix UNION ALL SELECT corpus_id, unit_id, 1, i FROM op) GROUP BY corpus_id, page),
+cutpage AS (SELECT a.*, row_number() OVER (PARTITION BY a.corpus_id ORDER BY k) AS i, greatest(4, coalesce(m.refs, 0)) AS most FROM allpage a LEFT JOIN (SELECT DISTINCT corpus_id, refs FROM ix) m ON a.corpus_id = m.corpus_id),
+g1 AS (SELECT corpus_id, string_agg(page, ',' ORDER BY i) AS v FROM ix GROUP BY 1), g2 AS (SELECT corpus_id, string_agg(section_id, ',' ORDER BY i) AS v FROM rs GROUP BY 1), g3 AS (SELECT corpus_id, string_agg(unit_id || ':' || printf('%.3f', score), ',' ORDER BY i) AS v FROM op GROUP BY 1),
+g4 AS (SELECT corpus_id, string_agg(unit_id || ':' || printf('%.3f', score), ',' ORDER BY i) AS v FROM ot GROUP BY 1), g5 AS (SELECT corpus_id, string_agg(section_id, ',' ORDER BY i) AS v FROM cutsec WHERE i <= most GROUP BY 1), g6 AS (SELECT corpus_id, string_agg(page, ',' ORDER BY i) AS v FROM cutpage WHERE i <= most GROUP BY 1)
+SELECT n.corpus_id AS conv_id, coalesce(g1.v, '') AS ref_pages, coalesce(g2.v, '') AS ref_sections, coalesce(g3.v, '') AS ranked_pages, coalesce(g4.v, '') AS ranked_sections, coalesce(g5.v, '') AS sections, coalesce(g6.v, '') AS anchor_pages
+FROM n LEFT JOIN g1 USING (corpus_id) LEFT JOIN g2 USING (corpus_id) LEFT JOIN g3 USING (corpus_id) LEFT JOIN g4 USING (corpus_id) LEFT JOIN g5 USING (corpus_id) LEFT JOIN g6 USING (corpus_id)"""
 
 
-REGION_FUSION = f"""WITH {sql_bm25(_UNITS.format(A.CONVERSATION_PAGES), A.CONVERSATION_QUESTIONS, 5)},
-t AS (SELECT *, score / greatest(max(score) OVER (PARTITION BY corpus_id, qid), 1e-9) AS share FROM r),
-f AS (SELECT corpus_id, unit_id, round(sum(share), 9) AS score, min(qid * 100 + rank) AS first FROM t GROUP BY corpus_id, unit_id),
-o AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY score DESC, first) AS i FROM f)
-SELECT corpus_id AS conv_id, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY i) AS anchors FROM o WHERE i <= 4 GROUP BY corpus_id"""
+REGION_FUSION = _region_fusion_sql()
 
 
 def _visuals(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +177,8 @@ def page_snippets(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("corpus_id").alias("doc_id"), R.snippet(F.col("text"), tokens(F.col("query"))).alias("snippet"))
 
 
-PAGE_SNIPPETS = f"""WITH p AS ({A.DOCUMENT_PAGES}), q AS ({A.DOCUMENT_QUESTIONS}),
-m AS (SELECT p.corpus_id, arg_min(p.text, page) AS line FROM p JOIN q ON p.corpus_id = q.corpus_id WHERE list_has_any({sql_tokens("p.text")}, {sql_tokens("q.query")}) GROUP BY p.corpus_id)
+PAGE_SNIPPETS = f"""WITH p AS MATERIALIZED (SELECT corpus_id, page, text, {sql_tokens("text")} AS tokens FROM ({A.DOCUMENT_PAGES})), q AS MATERIALIZED (SELECT corpus_id, {sql_tokens("query")} AS terms FROM ({A.DOCUMENT_QUESTIONS})),
+m AS (SELECT p.corpus_id, arg_min(p.text, page) AS line FROM p JOIN q ON p.corpus_id = q.corpus_id WHERE list_has_any(tokens, terms) GROUP BY p.corpus_id)
 SELECT q.corpus_id AS doc_id, coalesce(substr(trim(line), 1, 200), '') AS snippet FROM q LEFT JOIN m USING (corpus_id)"""
 
 
@@ -200,12 +229,14 @@ def quote_exact_match(spark: SparkSession, d: str) -> DataFrame:
     single = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("h"))
     may = keys.join(long, "h").select("doc_id", "item_id", "quote").union(single.join(short, "h").select("doc_id", "item_id", "quote")).distinct()
     held = F.contains("t", F.col("quote"))
-    return docs.select("doc_id", "t").join(may, "doc_id").where(held).select("doc_id", "item_id").union(docs.join(tiny, held).select("doc_id", "item_id")).distinct()
+    # texts are normalised again only where a quote may stand
+    raw = A.table(spark, d, "documents").select("doc_id", "text").join(may, "doc_id").select("doc_id", "item_id", "quote", norm_quote(F.col("text")).alias("t"))
+    return raw.where(held).select("doc_id", "item_id").union(docs.join(tiny, held).select("doc_id", "item_id")).distinct()
 
 
 _QUOTE = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9%$., ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-QUOTE_EXACT_MATCH = f"""WITH i AS (SELECT item_id, {_QUOTE.format("text")} AS q FROM benchmark), t AS (SELECT doc_id, {_QUOTE.format("text")} AS t FROM documents)
-SELECT doc_id, item_id FROM t JOIN i ON contains(' ' || t, ' ' || q) WHERE len(string_split(q, ' ')) >= 8"""
+QUOTE_EXACT_MATCH = f"""WITH i AS MATERIALIZED (SELECT item_id, {_QUOTE.format("text")} AS q FROM benchmark), t AS MATERIALIZED (SELECT doc_id, {_QUOTE.format("text")} AS t FROM documents)
+SELECT DISTINCT doc_id, item_id FROM t JOIN i ON contains(t, q) WHERE q <> ''"""
 
 
 def page_stats_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -294,14 +325,13 @@ OUTLINE_TEXT = f"WITH RECURSIVE {_NUMBERED} SELECT string_agg(repeat('  ', depth
 
 
 def sections_for_pages(spark: SparkSession, d: str) -> DataFrame:
-    s = A.conversation_sections(spark, d).withColumnRenamed("corpus_id", "doc_id")
-    whole = s.groupBy("doc_id").agg(F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page")).select("doc_id", F.lit("S0").alias("section_id"), "start_page", "end_page")
-    asked = A.conversation_pages(spark, d).where("page % 3 = 0").withColumnRenamed("corpus_id", "doc_id")
-    return T.covering(s.select("doc_id", "section_id", "start_page", "end_page").union(whole), asked)
+    """The sections that cover each page of a conversation, in document order."""
+    pages = A.conversation_pages(spark, d).select("corpus_id", F.col("page").alias("question_id"), "page")
+    got = R.covered_by(pages, A.nested_sections(spark, d), "ids")
+    return got.select(F.col("corpus_id").alias("doc_id"), F.col("question_id").alias("page"), F.concat_ws(",", "ids").alias("sections"))
 
 
-SECTIONS_FOR_PAGES = f"""WITH s AS (SELECT corpus_id, section_id, start_page, end_page FROM ({A.CONVERSATION_SECTIONS})), a AS (SELECT * FROM s UNION ALL SELECT corpus_id, 'S0', min(start_page), max(end_page) FROM s GROUP BY corpus_id)
-SELECT DISTINCT a.corpus_id AS doc_id, section_id FROM a JOIN ({A.CONVERSATION_PAGES}) p ON a.corpus_id = p.corpus_id AND p.page % 3 = 0 AND p.page BETWEEN start_page AND end_page"""
+SECTIONS_FOR_PAGES = f"SELECT p.corpus_id AS doc_id, page, string_agg(section_id, ',' ORDER BY ord) AS sections FROM ({A.CONVERSATION_PAGES}) p JOIN ({A.NESTED_SECTIONS}) s ON p.corpus_id = s.corpus_id AND page BETWEEN start_page AND end_page GROUP BY ALL"
 
 
 QUERIES = (
