@@ -94,9 +94,9 @@ def _sql_fused(name: str) -> str:
 o{name} AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY score DESC, first) AS i FROM f{name})"""
 
 
-def _region_fusion_sql() -> str:
+def _region_fusion_sql(queries: str = _LOCATE_QUERIES) -> str:
     # figures stand on pages 1, 4, ... by their own numbers, tables on 2, 5, ...; a mention of figure 7 stands on pages 2, 5, ... and of any on 3, 6, ...
-    return f"""WITH {sql_bm25(_PAGE_CORPUS, _LOCATE_QUERIES, 5, "p")}, {sql_bm25(_SECTION_CORPUS, _LOCATE_QUERIES, 3, "t")}, {_sql_fused("p")}, {_sql_fused("t")},
+    return f"""WITH {sql_bm25(_PAGE_CORPUS, queries, 5, "p")}, {sql_bm25(_SECTION_CORPUS, queries, 3, "t")}, {_sql_fused("p")}, {_sql_fused("t")},
 z AS ({A.NESTED_SECTIONS}), n AS (SELECT corpus_id, max(end_page) AS n FROM z GROUP BY corpus_id), w AS (SELECT corpus_id, page, unnest(generate_series(1, 1)) AS one FROM ({A.CONVERSATION_PAGES})),
 x AS (SELECT corpus_id, 0 AS pos, 1 AS page FROM n WHERE corpus_id % 3 = 0 UNION ALL SELECT corpus_id, 1, 2 FROM n WHERE corpus_id % 3 = 0 AND n >= 2
 UNION ALL SELECT corpus_id, 0, 7 FROM n WHERE corpus_id % 3 = 1 AND n >= 7 UNION ALL SELECT w.corpus_id, 0, page FROM w JOIN n ON w.corpus_id = n.corpus_id WHERE w.corpus_id % 3 = 1 AND n.n < 7 AND page % 3 = 2),
@@ -114,6 +114,8 @@ FROM n LEFT JOIN g1 USING (corpus_id) LEFT JOIN g2 USING (corpus_id) LEFT JOIN g
 
 
 REGION_FUSION = _region_fusion_sql()
+#: The first page to open for each question alone, without its further query.
+AGENT_ANCHORS = f"SELECT conv_id AS corpus_id, CAST(string_split(anchor_pages, ',')[1] AS INT) AS page FROM ({_region_fusion_sql(f'SELECT corpus_id, qno AS qid, query FROM ({A.LOCATE_QUERIES}) WHERE qno = 0')})"
 
 
 def _visuals(spark: SparkSession, d: str) -> DataFrame:

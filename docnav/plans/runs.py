@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docnav.functions import metrics as M
 from docnav.operators import agent as G
 from docnav.operators import report as P
+from docnav.plans import retrieval
 from docnav.sources import adapters as A
 
 _t = A.table
@@ -30,38 +31,63 @@ WHEN status = 'not_answerable' THEN CASE WHEN verdict = 'supported' OR round >=
 WHEN verdict = 'supported' THEN CASE WHEN quote_ok THEN 'ACCEPT' ELSE 'ACCEPT_WEAK_GROUNDING' END WHEN round < 3 THEN 'REPLAN' ELSE 'ABSTAIN' END AS decision
 FROM (SELECT unnest(['answered', 'not_answerable', 'error']) AS status), (SELECT unnest(['supported', 'not_supported', 'insufficient', NULL]) AS verdict), (SELECT unnest([true, false]) AS quote_ok), (SELECT unnest([1, 2, 3])::BIGINT AS round)"""
 
-_GATE = "doc_id, CASE WHEN doc_id % 3 = 0 THEN 'not_answerable' ELSE 'answered' END AS status, doc_id % 4 AS calls, doc_id % 2 = 0 AS vis, doc_id % 5 = 0 AS ledger, CASE WHEN doc_id % 7 < 4 THEN doc_id % 7 < 2 END AS quote_ok"
+# every document as a run whose final answer, ledger and plan follow from its id
+_RUN = {
+    "status": "CASE WHEN doc_id % 3 = 0 THEN 'not_answerable' ELSE 'answered' END", "calls": "CAST(doc_id % 4 AS INT)", "vis": "doc_id % 2 = 0", "quote": "CASE WHEN doc_id % 7 < 4 THEN 'q' ELSE '' END", "ok": "doc_id % 7 < 2",
+    "qpage": "CASE WHEN doc_id % 11 > 0 THEN CAST(doc_id % 9 + 1 AS INT) END", "led": "CAST(doc_id % 5 = 0 AS INT)", "ref": "CAST(doc_id % 6 + 1 AS INT)", "anchor": "CAST(doc_id % 3 + 1 AS INT)", "seen": "CAST(doc_id % 4 + 1 AS INT)",
+}
+_GAP = """CASE WHEN calls = 0 THEN 'no page was inspected; look at page(s) ' || anchor || ' first' WHEN vis AND len(missing) > 0 THEN 'figures or tables on page(s) ' || array_to_string(missing, ', ') || ' were not inspected' END"""
+_RUN_SQL = f"SELECT *, list_sort(list_filter(list_distinct([ref, anchor]), lambda p: p <> seen)) AS missing FROM (SELECT doc_id, {', '.join(f'{e} AS {c}' for c, e in _RUN.items())} FROM documents)"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", *[F.expr(e).alias(c) for c, e in _RUN.items()])
 
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    r = _t(spark, d, "documents").selectExpr(*[x.strip() for x in _GATE.split(", ")]).withColumn("fig", F.expr("array(doc_id % 6 + 1, doc_id % 3 + 1)")).withColumn("seen", F.expr("array(doc_id % 4 + 1)"))
-    got = G.gate(F.col("status"), F.col("calls"), F.col("vis"), F.col("fig"), F.col("seen"), F.col("ledger"), F.col("quote_ok"))
-    return r.select("doc_id", got["accepted"].alias("accepted"), got["reason"].alias("reason"))
+    """Which final answers are sent back, and why."""
+    r = _runs(spark, d)
+    ledger = F.when(F.col("led") == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    reason = G.gate(F.struct("status", "quote"), F.col("calls"), F.col("vis"), F.array("ref"), F.array("anchor"), F.array("seen"), ledger, F.col("ok"), F.col("qpage"))
+    return r.select("doc_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-EVIDENCE_GATE = f"""WITH r AS (SELECT {_GATE}, list_sort(list_filter(list_distinct([doc_id % 6 + 1, doc_id % 3 + 1]), lambda p: p <> doc_id % 4 + 1)) AS missing FROM documents),
-g AS (SELECT *, CASE WHEN status = 'not_answerable' AND calls = 0 THEN 'no page inspected' WHEN status = 'not_answerable' AND vis AND len(missing) > 0 THEN 'figures not inspected on ' || array_to_string(missing, ', ')
-WHEN status = 'answered' AND NOT ledger AND quote_ok IS NULL THEN 'no evidence recorded' WHEN status = 'answered' AND NOT ledger AND NOT quote_ok THEN 'quote not found' END AS reason FROM r) SELECT doc_id, reason IS NULL AS accepted, reason FROM g"""
+EVIDENCE_GATE = f"""WITH r AS ({_RUN_SQL}), g AS (SELECT *, CASE WHEN status = 'not_answerable' THEN {_GAP} WHEN led = 1 THEN NULL WHEN quote <> '' AND qpage IS NOT NULL THEN CASE WHEN NOT ok THEN 'the quote is not found verbatim on page ' || qpage END
+ELSE 'no evidence is recorded; record a page with an exact quotation, or give quote and quote_page with the answer' END AS reason FROM r) SELECT doc_id, reason IS NULL AS accepted, reason FROM g"""
 
 
 def abstention_backstop(spark: SparkSession, d: str) -> DataFrame:
-    r = _t(spark, d, "documents").selectExpr("doc_id", "element_at(array('ACCEPT_ABSTAIN', 'ACCEPT', 'ABSTAIN'), cast(doc_id % 3 + 1 as int)) AS dec", "array(doc_id % 5 + 1) AS fig", "array(doc_id % 4 + 1) AS seen", "doc_id % 2 = 0 AS more")
-    return r.select("doc_id", G.backstop(F.col("dec"), F.col("fig"), F.col("seen"), F.col("more")).alias("decision"))
+    """Decisions on abstentions that a model would support: those that looked at too little are planned anew while rounds are left."""
+    r = _runs(spark, d).where("status = 'not_answerable'").withColumn("gap", G.abstention_gap(F.col("calls"), F.col("vis"), F.array("ref"), F.array("anchor"), F.array("seen")))
+    verdict = F.when(F.col("gap").isNotNull(), "insufficient").otherwise("supported")
+    return r.select("doc_id", "gap", G.decision(F.col("status"), verdict, F.lit(False), F.expr("cast(doc_id % 5 as int)"), F.lit(3)).alias("decision"))
 
 
-ABSTENTION_BACKSTOP = "SELECT doc_id, CASE WHEN dec = 'ACCEPT_ABSTAIN' AND doc_id % 2 = 0 AND doc_id % 5 <> doc_id % 4 THEN 'REPLAN' ELSE dec END AS decision FROM (SELECT doc_id, ['ACCEPT_ABSTAIN', 'ACCEPT', 'ABSTAIN'][doc_id % 3 + 1] AS dec FROM documents)"
+ABSTENTION_BACKSTOP = f"SELECT doc_id, gap, CASE WHEN gap IS NULL OR doc_id % 5 >= 3 THEN 'ACCEPT_ABSTAIN' ELSE 'REPLAN' END AS decision FROM (SELECT doc_id, {_GAP} AS gap FROM ({_RUN_SQL}) WHERE status = 'not_answerable')"
 
 
 def quote_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn's first 60 characters, with a letter changed, looked for in the turn (difflib's ratio is beyond SQL)."""
-    c = _t(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 60), "^(.{10})[a-z]", "$1#").alias("quote"), "text")
-    return G.quotes_found(c).select("conv_id", "turn", "found", "ratio")
+    """Each turn's words without every seventh, looked for in the turn before it and in its own (difflib's ratio is beyond SQL; tests hold it against plain Python)."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    words = F.split("text", " ")
+    damaged = F.array_join(F.filter(words, lambda w, i: (i + 1) % 7 != 0), " ")
+    both = c.select("conv_id", "turn", F.lit(0).alias("back"), damaged.alias("quote")).union(c.select("conv_id", F.col("turn") + 1, F.lit(1), damaged))
+    return G.quotes_found(both.join(c, ["conv_id", "turn"])).select("conv_id", "turn", "back", "found", "ratio")
+
+
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    return A.nested_sections(spark, d).groupBy("corpus_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"])).alias("outline"))
 
 
 def agent_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """The loop with the deterministic model over all conversations (beyond SQL as a whole; its parts have oracles)."""
-    q = A.conversation_questions(spark, d)
-    return G.answer_runs(q, A.conversation_pages(spark, d)).select(F.col("corpus_id").alias("conv_id"), "qid", "round", "decision", "answer", "page")
+    """Plan, navigate and verify for every conversation with the scripted model, which quotes the first line of the first anchor page."""
+    q = A.locate_questions(spark, d).select(F.col("corpus_id").cast("string").alias("run_id"), "corpus_id", "question")
+    got = G.answer_runs(q, A.indexed_pages(spark, d), A.nested_sections(spark, d), _outlines(spark, d))
+    return got.select(F.col("corpus_id").alias("conv_id"), "round", "calls", "decision", F.col("final_answer").alias("answer"), F.concat_ws(",", F.col("cited_pages").cast("array<string>")).alias("cited"))
+
+
+AGENT_ROUNDS = f"""WITH a AS ({retrieval.AGENT_ANCHORS})
+SELECT a.corpus_id AS conv_id, 1 AS round, 2 AS calls, 'ACCEPT' AS decision, substr(string_split(p.md, chr(10))[1], 1, 120) AS answer, CAST(p.page AS VARCHAR) AS cited FROM a JOIN ({A.INDEXED_PAGES}) p ON p.corpus_id = a.corpus_id AND p.page = a.page"""
 
 
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -99,14 +99,6 @@ def test_anchors_put_references_first(spark):
     assert R.anchors(fused, refs).first().anchors == [9, 8, 7, 6, 2]
 
 
-def test_rounds_settle_every_question(spark):
-    pages = spark.createDataFrame([("d", 1, "alpha beta"), ("d", 2, "gamma delta")], "corpus_id string, page int, text string")
-    q = spark.createDataFrame([("d", 0, "gamma"), ("d", 1, "nothing here")], "corpus_id string, qid int, query string")
-    got = {r.qid: r for r in G.answer_runs(q, pages).collect()}
-    assert (got[0].decision, got[0].answer, got[0].page, got[0].round) == ("ACCEPT", "gamma delta", 2, 1)
-    assert (got[1].decision, got[1].answer, got[1].round) == ("ACCEPT_ABSTAIN", "Not answerable", 2)
-
-
 def test_quotes_found_exactly_and_nearly(spark):
     rows = [("The Cat sat!", "x the cat sat y"), ("the cat sat on the mat", "then the cat sat on a mat too"), ("zzz", "abc"), ("", "abc"), (None, None)]
     got = G.quotes_found(spark.createDataFrame(rows, "quote string, text string")).collect()
