@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from docnav.llm.common import load
 
 END = "</w>"
-#: Words whose encodings a worker keeps; beyond that the table is emptied, which costs time but no results.
-MOST_CACHED = 100_000
-#: States of the automaton over bytes, and arcs looked up, that a worker keeps; beyond that they are made anew.
-MOST_STATES, MOST_ARCS = 60_000, 200_000
+#: Words whose encodings a worker keeps, in each of two generations: a full one takes the place of the older one, so words that keep coming stay.
+MOST_CACHED = 140_000
+#: States in the table of the automaton over bytes, and arcs looked up, that a worker keeps. Beyond a full table transitions are computed.
+MOST_STATES, MOST_ARCS = 30_000, 300_000
 
 # Letters, digits and lower-case forms (first, last, distance) newer than Unicode 15.1.
 NEW_LETTERS = (
@@ -50,8 +50,13 @@ NEW_LOWER = (
 )
 
 
-#: No character below is odd.
-_FIRST_ODD = "\u0530"
+def _usual(text: str) -> bool:
+    """Whether all characters are of Latin-1, or at least below U+0530, where none is odd."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < "\u0530"
+    return True
 
 
 @cache
@@ -98,12 +103,14 @@ class Automaton:
         letters = byte_letters()
         self.size = max([*vocab.values(), *special.values(), -1]) + 1
         self.label = [""] * self.size
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size)]
         for s, i in [*vocab.items(), *special.items()]:
             self.label[i] = s
         self.left, self.right, self.born = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.lost: dict[tuple[int, int], int] = {}
         self.length, self.special = [0] * self.size, special
-        self.child: dict[int, int] = {}  # node * 512 + symbol to node
+        leaf: dict[int, int] = {}
+        self.child: list[dict[int, int]] = [{}]  # leaves share an empty one
         self.token = [-1]
         symbols: dict[int, tuple[int, ...]] = {}
         for b, s in enumerate(letters):
@@ -115,14 +122,17 @@ class Automaton:
         for t, s in symbols.items():
             node = 0
             for x in s:
-                key = node * 512 + x
-                if key not in self.child:
-                    self.child[key] = len(self.token)
+                if self.child[node] is leaf:
+                    self.child[node] = {}
+                if x not in self.child[node]:
+                    self.child[node][x] = len(self.token)
+                    self.child.append(leaf)
                     self.token.append(-1)
-                node = self.child[key]
+                node = self.child[node][x]
             self.token[node], self.length[t] = t, len(s)
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -141,11 +151,11 @@ class Automaton:
             self.under_way.append(under_way)
         return self.states[key]
 
-    def _compile(self, state: int, symbol: int) -> int:
-        """The state after ``symbol``, entered into the table. Of the tokens that end there just one may follow what is before it."""
+    def _step(self, under_way, symbol: int) -> tuple[int, list[tuple[int, int]]]:
+        """The token that ends with ``symbol``, and the tokens under way after it. Of the tokens that end there just one may follow what is before it."""
         ending, on = -1, []
-        for node, before in self.under_way[state]:
-            node = self.child.get(node * 512 + symbol, -1)
+        for node, before in under_way:
+            node = self.child[node].get(symbol, -1)
             if node < 0:
                 continue
             if symbol < 256:  # nothing follows a word's last byte
@@ -155,6 +165,11 @@ class Automaton:
                 ending = w
         if symbol < 256 and ending >= 0:
             on.append((0, ending))
+        return ending, on
+
+    def _compile(self, state: int, symbol: int) -> int:
+        """The state after ``symbol``, entered into the table."""
+        ending, on = self._step(self.under_way[state], symbol)
         to = self.table[state * 512 + symbol] = self._state(ending, tuple(on))
         return to
 
@@ -184,6 +199,7 @@ class Automaton:
                 t, w = self.right[t], self.left[t]
 
     def follows(self, t: int, w: int) -> bool:
+        """Whether an arc is there, looked up or read back from the gadgets."""
         key = t * self.size + w
         ok = self.arcs.get(key)
         if ok is None:
@@ -192,29 +208,57 @@ class Automaton:
             ok = self.arcs[key] = self.arc(t, w)
         return ok
 
+    def _search(self, symbols: list[int], at: int, under_way, path: list[int]) -> None:
+        """The rest of ``path`` from a state whose transition is not in a full table: each token under way is followed to its end before the next
+        begins, which are the same transitions without states to keep."""
+        child, token, arcs, size, n = self.child, self.token, self.arcs, self.size, len(symbols)
+        path += [-1] * (n - at)
+        starts = [(at, node, before) for node, before in under_way]
+        for begin in range(at, n):
+            if begin > at:
+                starts = ((begin, 0, path[begin - 1]),)
+            for place, node, before in starts:
+                for j in range(place, n):
+                    node = child[node].get(symbols[j], -1)
+                    if node < 0:
+                        break
+                    w = token[node]
+                    if w >= 0 and path[j] < 0:
+                        if before >= 0:
+                            ok = arcs.get(before * size + w)
+                            if not (self.follows(before, w) if ok is None else ok):
+                                continue
+                        path[j] = w
+
     def encode_word(self, word: bytes) -> list[int]:
-        if len(self.ends) >= MOST_STATES:
-            self._reset()
-        table, state, path = self.table, 0, []
-        for symbol in word[:-1]:
+        table, ends, full = self.table, self.ends, len(self.ends) >= MOST_STATES
+        symbols = [*word[:-1], word[-1] + 256]
+        state, path = 0, []
+        for i, symbol in enumerate(symbols):
             to = table.get(state * 512 + symbol)
-            state = self._compile(state, symbol) if to is None else to
-            path.append(state)
-        last = word[-1] + 256
-        to = table.get(state * 512 + last)
-        path.append(self._compile(state, last) if to is None else to)
-        n, out = len(word), []
+            if to is None:
+                if full:
+                    self._search(symbols, i, self.under_way[state], path)
+                    break
+                to = self._compile(state, symbol)
+            state = to
+            path.append(ends[to])
+        n, out, length = len(word), [], self.length
         while n:
-            out.append(self.ends[path[n - 1]])
-            n -= self.length[out[-1]]
+            w = path[n - 1]
+            out.append(w)
+            n -= length[w]
         return out[::-1]
 
-    def entry(self, word: str) -> tuple[bytes, str, int]:
-        """A word's ids as bytes, its labels, and how many they are."""
-        ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
+    def entry(self, word: str) -> tuple[bytes, str]:
+        """A word's ids as bytes, and its labels."""
+        got = self.words.get(word) or self.older.get(word)
+        if got is None:
+            ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
+            got = (b"".join([self.packed[i] for i in ids]), self.decode(ids))
         if len(self.words) >= MOST_CACHED:
-            self.words.clear()
-        got = self.words[word] = (b"".join(i.to_bytes(4, "little") for i in ids), self.decode(ids), len(ids))
+            self.older, self.words = self.words, {}
+        self.words[word] = got
         return got
 
     def decode(self, ids: list[int]) -> str:
@@ -234,19 +278,19 @@ class Automaton:
             return usual.findall(part.lower())
         part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
         # the regex module's classes are quick, and the same but for the odd characters
-        if max(part, default="") < _FIRST_ODD or not odd.search(part):
+        if _usual(part) or not odd.search(part):
             return usual.findall(part.lower())
         return exact.findall(part.lower().translate(lower))
 
-    def pieces(self, text: str) -> list[tuple[bytes, str, int]]:
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """The entries of a text's words and special tokens, in order."""
-        cut = self._patterns()[0]
-        words, out = self.words, []
+        cut, out = self._patterns()[0], []
         for part in cut.split(text) if cut else [text]:
             if part in self.special:
-                out.append((self.special[part].to_bytes(4, "little"), part, 1))
+                out.append((self.packed[self.special[part]], part))
                 continue
-            out += [words.get(x) or self.entry(x) for x in self._cut(part)]
+            known = self.words.get  # of the generation at hand; entry looks into the others
+            out += [known(x) or self.entry(x) for x in self._cut(part)]
         return out
 
     def encode(self, text: str) -> list[int]:
