@@ -11,21 +11,31 @@ def mean(c, where=None):
     return F.round(F.coalesce(F.avg(c if where is None else F.when(where, c)), F.lit(0.0)), 6)
 
 
-def baseline_summary(results: DataFrame) -> DataFrame:
-    """By format, and over all (format null): ``results(format, gold, extracted, score, gold_pages)``, in one pass by grouping sets."""
+def baseline_summary(results: DataFrame, total: int | None = None) -> DataFrame:
+    """By format, and over all (format null), in one pass by grouping sets: ``results(format, gold, extracted, score, gold_pages, gold_page_in_context, truncated, pages_sent, pages_total,
+    prompt_tokens, completion_tokens)``, where gold_pages and the page columns are numbers of pages. ``total`` is the number of questions asked: failed ones have no result and count as 0."""
     unanswerable = F.trim("gold") == "Not answerable"
     answered = ~F.lower(F.trim("extracted")).isin("not answerable", "")
     out = results.rollup("format").agg(
         F.count("*").alias("questions"), mean(F.col("score")).alias("accuracy"), mean(F.col("score"), ~unanswerable).alias("accuracy_answerable"), mean(F.col("score"), unanswerable).alias("accuracy_unanswerable"),
         mean(F.col("score"), answered).alias("precision"), mean(F.col("score"), F.col("gold_pages") == 1).alias("single_page"), mean(F.col("score"), F.col("gold_pages") > 1).alias("multi_page"),
+        F.round(F.avg(F.when(F.col("gold_pages") > 0, F.coalesce(F.col("gold_page_in_context"), F.lit(False)).cast("double"))), 6).alias("gold_page_in_context"), F.count_if("truncated").alias("truncated"),
+        F.count_if(F.col("pages_sent") < F.col("pages_total")).alias("documents_cut"), F.sum(F.coalesce("prompt_tokens", F.lit(0))).cast("long").alias("prompt_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).cast("long").alias("completion_tokens"),
+        F.sum("score").alias("__sum"),
     )
     p, r = F.col("precision"), F.col("accuracy_answerable")
-    return out.withColumn("f1", F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6))
+    asked = F.when(F.col("format").isNull(), F.greatest(F.lit(1), F.lit(total) if total is not None else F.col("questions")))
+    out = out.withColumn("f1", F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6)).withColumn("accuracy_failed_counted_zero", F.round(F.coalesce("__sum", F.lit(0.0)) / asked, 6))
+    return out.drop("__sum")
 
 
 def judge_summary(scores: DataFrame) -> DataFrame:
-    """One row: means that skip nulls, and how many scores are missing."""
-    return scores.agg(F.count("*").alias("judged"), F.round(F.avg("rules"), 6).alias("rules_mean"), F.round(F.avg("judge"), 6).alias("judge_mean"), F.count_if(F.col("judge").isNull()).alias("unparsed"))
+    """By format, and over all (format null): ``scores(format, rules, extraction, judge, extract_parse_ok, verdict, empty, asked)``. Means skip nulls; ``asked`` tells that a verdict was asked for."""
+    of = lambda c: F.round(F.avg(c), 6)
+    return scores.rollup("format").agg(
+        F.count("*").alias("judged"), of("rules").alias("rules_mean"), of("extraction").alias("extraction_mean"), of("judge").alias("judge_mean"), F.count_if(~F.col("extract_parse_ok")).alias("extraction_unparsed"),
+        F.count_if(F.col("asked") & F.col("verdict").isNull() & ~F.col("empty")).alias("judge_unparsed"), F.count_if("empty").alias("empty_answers"),
+    )
 
 
 def agreement(scores: DataFrame, threshold: float = 0.999) -> DataFrame:
@@ -43,11 +53,11 @@ def flips(scores: DataFrame, limit: int = 40, threshold: float = 0.999) -> DataF
 
 
 def cost_rollup(calls: DataFrame) -> DataFrame:
-    """By step, and over all (step null): ``calls(step, cached, prompt_tokens, completion_tokens, cost, latency)``."""
+    """By step, and over all (step null): ``calls(step, cached, prompt_tokens, completion_tokens, cost, latency)``; costs to 6 places, seconds to 2."""
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0)))
     return calls.rollup("step").agg(
         F.count("*").alias("calls"), F.count_if("cached").alias("cached"), total("prompt_tokens").cast("long").alias("prompt_tokens"), total("completion_tokens").cast("long").alias("completion_tokens"),
-        F.round(total("cost"), 2).alias("cost"), F.round(total("latency"), 2).alias("latency"),
+        F.round(total("cost"), 6).alias("cost"), F.round(total("latency"), 2).alias("latency"),
     )
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docnav.operators.lineage import cut
+
+# Fixed value: the title of pages that no section holds.
+GAP_TITLE = ("Pages ", " (unassigned by LLM)")
+
 
 def validate(sections: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, kind, detail) of each problem. ``sections(doc_id, ord, parent_ord, start_page, end_page)``, ``sizes(doc_id, n_pages)``.
@@ -31,7 +36,7 @@ def repair(top: DataFrame, sizes: DataFrame) -> DataFrame:
     s = top.join(sizes, "doc_id").withColumn("a", F.greatest("start_page", F.lit(1))).withColumn("b", F.least("end_page", F.col("n_pages").cast("int"))).where("a <= b")
     order = Window.partitionBy("doc_id").orderBy("a", "ord")
     s = s.withColumn("cursor", F.coalesce(F.max(F.col("b") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)))
-    gap_title = lambda a, b: F.concat(F.lit("Pages "), a.cast("string"), F.lit("-"), b.cast("string"), F.lit(" (unassigned by LLM)"))
+    gap_title = lambda a, b: F.concat(F.lit(GAP_TITLE[0]), a.cast("string"), F.lit("-"), b.cast("string"), F.lit(GAP_TITLE[1]))
     cursor, start = F.col("cursor"), F.col("a")
     gap = F.when(start > cursor, F.struct(gap_title(cursor, start - 1).alias("title"), cursor.alias("start_page"), (start - 1).alias("end_page")))
     own = F.when(F.col("b") >= cursor, F.struct("title", F.greatest(start, cursor).alias("start_page"), F.col("b").alias("end_page")))
@@ -41,18 +46,26 @@ def repair(top: DataFrame, sizes: DataFrame) -> DataFrame:
     return inside.union(tail)
 
 
-def number(nodes: DataFrame, depth: int = 5) -> DataFrame:
+def in_document(*order: str):
+    """A window over the sections of one document, which are few."""
+    return Window.partitionBy("doc_id").orderBy(*order)
+
+
+def number(nodes: DataFrame) -> DataFrame:
     """(doc_id, id, depth, path, node): S1, S1.1, ... by order among siblings; ``nodes(doc_id, node, parent, ord)``, roots have a null parent.
 
-    Trees have a bounded depth, so levels are joined one after the other.
+    Levels are joined one after the other, each on the one before it only, until one is empty, so trees of any depth are numbered; a node that no root leads to is left out.
     """
-    sibling = Window.partitionBy("doc_id", "parent").orderBy("ord", "node")
-    placed = nodes.withColumn("n", F.row_number().over(sibling))
+    placed = cut(nodes.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord", "node"))))
     level = placed.where("parent is null").select("doc_id", "node", F.concat(F.lit("S"), F.col("n").cast("string")).alias("id"), F.array("n").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth):
+    rest, out, d = placed.where("parent is not null"), level, 0
+    most = rest.count()
+    while d < most:
+        d += 1
         up = level.select("doc_id", F.col("node").alias("parent"), F.col("id").alias("pid"), F.col("path").alias("pp"))
-        level = placed.join(up, ["doc_id", "parent"]).select("doc_id", "node", F.concat_ws(".", "pid", F.col("n").cast("string")).alias("id"), F.concat("pp", F.array("n")).alias("path"), F.lit(d).alias("depth"))
+        level = cut(rest.join(up, ["doc_id", "parent"]).select("doc_id", "node", F.concat_ws(".", "pid", F.col("n").cast("string")).alias("id"), F.concat("pp", F.array("n")).alias("path"), F.lit(d).alias("depth")))
+        if level.isEmpty():
+            break
         out = out.union(level)
     return out
 

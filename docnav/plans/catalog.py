@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docnav.plans import retrieval, runs, scoring
+from docnav.plans import evaluating, retrieval, runs, scoring
 
-_PARTS = (retrieval, scoring, runs)
+_PARTS = (retrieval, scoring, runs, evaluating)
 
 
 def queries() -> dict:

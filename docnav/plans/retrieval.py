@@ -312,7 +312,7 @@ w AS (SELECT node, 'S' || n AS id, 0 AS depth, [n] AS path, title FROM g WHERE p
 
 
 def tree_ids(spark: SparkSession, d: str) -> DataFrame:
-    return T.number(_geography(spark, d), 3).select("node", "id", "depth")
+    return T.number(_geography(spark, d)).select("node", "id", "depth")
 
 
 TREE_IDS = f"WITH RECURSIVE {_NUMBERED} SELECT node, id, depth FROM w"
@@ -320,7 +320,7 @@ TREE_IDS = f"WITH RECURSIVE {_NUMBERED} SELECT node, id, depth FROM w"
 
 def outline_text(spark: SparkSession, d: str) -> DataFrame:
     tree = _geography(spark, d).where("node not like 'C%'")
-    return T.outline(T.number(tree, 2), tree.select("doc_id", "node", "title")).select("outline")
+    return T.outline(T.number(tree), tree.select("doc_id", "node", "title")).select("outline")
 
 
 OUTLINE_TEXT = f"WITH RECURSIVE {_NUMBERED} SELECT string_agg(repeat('  ', depth) || id || ' ' || title, chr(10) ORDER BY path) AS outline FROM w WHERE node NOT LIKE 'C%'"

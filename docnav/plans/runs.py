@@ -157,14 +157,16 @@ _RESULTS = "['Str', 'Int', 'Float', 'List'][doc_id % 4 + 1]"
 def baseline_summary(spark: SparkSession, d: str) -> DataFrame:
     r = _t(spark, d, "labels").selectExpr(
         "element_at(array('Str', 'Int', 'Float', 'List'), cast(doc_id % 4 + 1 as int)) AS format", "CASE WHEN toxic = 1 THEN 'Not answerable' ELSE 'x' END AS gold", "CASE WHEN doc_id % 5 = 0 THEN 'Not answerable' WHEN doc_id % 5 = 1 THEN '' ELSE 'x' END AS extracted",
-        "cast(quality as double) AS score", "doc_id % 3 AS gold_pages",
+        "cast(quality as double) AS score", "doc_id % 3 AS gold_pages", "CASE WHEN doc_id % 3 > 0 THEN doc_id % 2 = 0 END AS gold_page_in_context", "doc_id % 13 = 0 AS truncated", "doc_id % 6 AS pages_sent", "doc_id % 7 AS pages_total", "doc_id % 100 AS prompt_tokens", "CASE WHEN doc_id % 8 > 0 THEN 5 END AS completion_tokens",
     )
-    return P.baseline_summary(r)
+    return P.baseline_summary(r, 10**6)
 
 
-BASELINE_SUMMARY = f"""WITH r AS (SELECT {_RESULTS} AS format, toxic = 1 AS un, doc_id % 5 > 1 AS answered, quality::DOUBLE AS s, doc_id % 3 AS g FROM labels),
+BASELINE_SUMMARY = f"""WITH r AS (SELECT {_RESULTS} AS format, toxic = 1 AS un, doc_id % 5 > 1 AS answered, quality::DOUBLE AS s, doc_id % 3 AS g, doc_id FROM labels),
 a AS (SELECT format, count(*) AS questions, coalesce(round(avg(s), 6), 0) AS accuracy, coalesce(round(avg(s) FILTER (WHERE NOT un), 6), 0) AS accuracy_answerable, coalesce(round(avg(s) FILTER (WHERE un), 6), 0) AS accuracy_unanswerable,
-coalesce(round(avg(s) FILTER (WHERE answered), 6), 0) AS "precision", coalesce(round(avg(s) FILTER (WHERE g = 1), 6), 0) AS single_page, coalesce(round(avg(s) FILTER (WHERE g > 1), 6), 0) AS multi_page FROM r GROUP BY ROLLUP (format))
+coalesce(round(avg(s) FILTER (WHERE answered), 6), 0) AS "precision", coalesce(round(avg(s) FILTER (WHERE g = 1), 6), 0) AS single_page, coalesce(round(avg(s) FILTER (WHERE g > 1), 6), 0) AS multi_page,
+round(avg(CAST(doc_id % 2 = 0 AS INT)) FILTER (WHERE g > 0), 6) AS gold_page_in_context, count(*) FILTER (WHERE doc_id % 13 = 0) AS truncated, count(*) FILTER (WHERE doc_id % 6 < doc_id % 7) AS documents_cut, CAST(sum(doc_id % 100) AS BIGINT) AS prompt_tokens,
+CAST(5 * count(*) FILTER (WHERE doc_id % 8 > 0) AS BIGINT) AS completion_tokens, CASE WHEN format IS NULL THEN round(sum(s) / 1000000, 6) END AS accuracy_failed_counted_zero FROM r GROUP BY ROLLUP (format))
 SELECT *, round(CASE WHEN "precision" + accuracy_answerable > 0 THEN 2 * "precision" * accuracy_answerable / ("precision" + accuracy_answerable) ELSE 0.0 END, 6) AS f1 FROM a"""
 
 
@@ -176,10 +178,15 @@ _SCORERS = "(SELECT doc_id AS run_id, quality::DOUBLE AS rules, CASE WHEN doc_id
 
 
 def judge_summary(spark: SparkSession, d: str) -> DataFrame:
-    return P.judge_summary(_two_scorers(spark, d))
+    x = _t(spark, d, "labels").selectExpr(
+        "element_at(array('Str', 'Int', 'Float', 'List'), cast(doc_id % 4 + 1 as int)) AS format", "cast(quality as double) AS rules", "CASE WHEN doc_id % 10 > 0 THEN 0.5 END AS extraction", "CASE WHEN doc_id % 9 > 0 THEN cast(toxic as double) END AS judge",
+        "CASE WHEN doc_id % 10 > 0 THEN doc_id % 11 > 0 END AS extract_parse_ok", "CASE WHEN doc_id % 9 > 0 THEN 'Correct' END AS verdict", "doc_id % 18 = 0 AS empty", "doc_id % 7 > 0 AS asked",
+    )
+    return P.judge_summary(x)
 
 
-JUDGE_SUMMARY = f"SELECT count(*) AS judged, round(avg(rules), 6) AS rules_mean, round(avg(judge), 6) AS judge_mean, count(*) FILTER (WHERE judge IS NULL) AS unparsed FROM {_SCORERS}"
+JUDGE_SUMMARY = f"""SELECT {_RESULTS} AS format, count(*) AS judged, round(avg(quality), 6) AS rules_mean, round(avg(CASE WHEN doc_id % 10 > 0 THEN 0.5 END), 6) AS extraction_mean, round(avg(CASE WHEN doc_id % 9 > 0 THEN toxic END), 6) AS judge_mean,
+count(*) FILTER (WHERE doc_id % 10 > 0 AND doc_id % 11 = 0) AS extraction_unparsed, count(*) FILTER (WHERE doc_id % 7 > 0 AND doc_id % 9 = 0 AND doc_id % 18 > 0) AS judge_unparsed, count(*) FILTER (WHERE doc_id % 18 = 0) AS empty_answers FROM labels GROUP BY ROLLUP ({_RESULTS})"""
 
 
 def agreement_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -211,7 +218,7 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", F.col("l_returnflag").alias("step"), (F.col("l_linestatus") == "O").alias("cached"), F.col("l_quantity").alias("prompt_tokens"), (F.col("l_quantity") * 2).alias("completion_tokens"), (F.col("l_extendedprice") * F.col("l_discount")).alias("cost"), F.col("l_tax").alias("latency"))
 
 
-_COSTS = "count(*) AS calls, count(*) FILTER (WHERE l_linestatus = 'O') AS cached, CAST(sum(l_quantity) AS BIGINT) AS prompt_tokens, CAST(sum(2 * l_quantity) AS BIGINT) AS completion_tokens, round(sum(l_extendedprice * l_discount), 2) AS cost, round(sum(l_tax), 2) AS latency"
+_COSTS = "count(*) AS calls, count(*) FILTER (WHERE l_linestatus = 'O') AS cached, CAST(sum(l_quantity) AS BIGINT) AS prompt_tokens, CAST(sum(2 * l_quantity) AS BIGINT) AS completion_tokens, round(sum(l_extendedprice * l_discount), 6) AS cost, round(sum(l_tax), 2) AS latency"
 
 
 def cost_ledger(spark: SparkSession, d: str) -> DataFrame:

@@ -112,9 +112,9 @@ def test_cache_calls_each_miss_once(spark):
 
 
 def test_summaries_of_nothing_are_zero_or_null(spark):
-    none = spark.createDataFrame([], "run_id long, rules double, judge double")
-    assert P.judge_summary(none).first()[:] == (0, None, None, 0)
-    empty = spark.createDataFrame([], "format string, gold string, extracted string, score double, gold_pages int")
+    none = spark.createDataFrame([], "format string, rules double, extraction double, judge double, extract_parse_ok boolean, verdict string, empty boolean, asked boolean")
+    assert P.judge_summary(none).collect() in ([], [(None, 0, None, None, None, 0, 0, 0)])
+    empty = spark.createDataFrame([], "format string, gold string, extracted string, score double, gold_pages int, gold_page_in_context boolean, truncated boolean, pages_sent int, pages_total int, prompt_tokens int, completion_tokens int")
     assert P.baseline_summary(empty).where("format is null").select("questions", "accuracy", "f1").collect() in ([], [(0, 0.0, 0.0)])
 
 
