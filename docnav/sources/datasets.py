@@ -156,20 +156,68 @@ def documents(questions: DataFrame) -> DataFrame:
     return _in_order(rows, "doc_id", F.struct(*[c for c in questions.columns if c != "doc_id"]), "qas").drop("ord")
 
 
-def to_run_specs(questions: DataFrame, per_document: int | None = None) -> DataFrame:
-    """(run_id, doc_id, qa_id, question, gold): evidence pages from 1; run ids are ``<doc>_q<nn>``."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("qa_id"))
-    out = questions.withColumn("n", place)
-    if per_document is not None:
-        out = out.where(F.col("n") <= per_document)
-    gold = F.struct(F.col("answer"), F.transform("evidence_pages", lambda p: p + 1).alias("evidence_pages"))
-    return out.select(F.format_string("%s_q%02d", F.regexp_replace(F.col("doc_id").cast("string"), r"\.pdf$", ""), F.col("n")).alias("run_id"), "doc_id", "qa_id", "question", gold.alias("gold"))
+def to_run_specs(questions: DataFrame, split: str = "train", per_document: int | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """(run_id, doc_id, qa_id, question, why_chosen, gold): evidence pages from 1.
+
+    Without ``chosen`` the first ``per_document`` questions of each document, named ``<split>_<document>_q<nn>``. With the samples ``chosen(ord, run_id, doc_id, question, why_chosen)`` the
+    questions that they ask for: a question takes the first sample of its document that asks for it, or for all questions, and is named by it.
+    """
+    number = F.format_string("q%02d", F.col("qa_id").cast("long"))
+    gold = F.struct(F.col("answer"), F.transform("evidence_pages", lambda p: p + 1).alias("evidence_pages"), F.col("qa_id").alias("qa_id"), F.lit(split).alias("split"))
+    if chosen is None:
+        stem = F.substring(F.regexp_replace(F.col("doc_id").cast("string"), r"\.[^.]*$", ""), 1, 24)
+        out = questions.withColumn("run_id", F.concat_ws("_", F.lit(split), stem, number)).withColumn("why_chosen", F.lit(""))
+        if per_document is not None:
+            place = F.row_number().over(Window.partitionBy("doc_id").orderBy("qa_id"))
+            out = out.withColumn("n", place).where(F.col("n") <= per_document)
+    else:
+        asked = chosen.select("doc_id", F.struct("ord", F.col("run_id").alias("set_run_id"), F.col("question").alias("asked"), "why_chosen").alias("w"))
+        both = questions.join(asked, "doc_id").where(F.col("w.asked").isNull() | (F.col("w.asked") == F.col("question")))
+        first = both.groupBy("doc_id", "qa_id").agg(F.min("w").alias("w"))
+        out = questions.join(first, ["doc_id", "qa_id"]).withColumn("run_id", F.when(F.col("w.asked").isNull(), F.concat_ws("_", "w.set_run_id", number)).otherwise(F.col("w.set_run_id"))).withColumn("why_chosen", F.col("w.why_chosen"))
+    return out.select("run_id", "doc_id", "qa_id", "question", "why_chosen", gold.alias("gold"))
+
+
+def missing_files(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """``wanted(doc_id)`` without those whose file is in ``listed(path)``."""
+    there = listed.select(F.element_at(F.split("path", "/"), -1).alias("doc_id")).distinct()
+    return wanted.join(there, "doc_id", "left_anti")
+
+
+def page_counts(items: DataFrame) -> DataFrame:
+    """(doc_id, page, tables, pictures): items of a parsed document by the pages that they stand on, from ``items(doc_id, kind, pages)``. An item on several pages counts on its first."""
+    at = items.select("doc_id", "kind", F.array_min("pages").alias("page")).where("page is not null")
+    return at.groupBy("doc_id", "page").agg(F.count_if(F.col("kind") == "table").cast("int").alias("tables"), F.count_if(F.col("kind") == "picture").cast("int").alias("pictures"))
+
+
+def whole_documents(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages of documents of which no page failed, (doc_id, failed, error) of the others): a document with holes is never kept."""
+    bad = parsed.where("error is not null").groupBy("doc_id").agg(F.count("*").alias("failed"), F.min("error").alias("error"))
+    return parsed.join(bad.select("doc_id"), "doc_id", "left_anti"), bad
+
+
+def rendered(documents: DataFrame, render: Callable[[bytes, int, int], bytes], max_side: int = 1024) -> DataFrame:
+    """(doc_id, page, image) of ``documents(doc_id, content, page)`` by ``render(content, page, max_side)``; a page that cannot be rendered is null."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            images = []
+            for content, page in zip(batch.column("content"), batch.column("page"), strict=True):
+                try:
+                    images.append(render(content.as_py(), page.as_py(), max_side))
+                except Exception:  # noqa: BLE001  one corrupt page does not end a batch
+                    images.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page"), pa.array(images, pa.binary())], ["doc_id", "page", "image"])
+
+    return documents.selectExpr("cast(doc_id as string) as doc_id", "cast(page as int) as page", "content").mapInArrow(run, "doc_id string, page int, image binary")
 
 
 def parse_remote(rows: DataFrame, client, attempts: int = 6) -> DataFrame:
     """``rows(doc_id, content)`` through a parsing service, with one client a partition made by ``client()``: (doc_id, page, md, tables, pictures, error).
 
-    A call is tried ``attempts`` times with waits of 5 s, 10 s, ... up to 60 s; an error of the caller's (``PermissionError``) is not tried again. A document of which a page fails gives
+    A call is tried ``attempts`` times with waits of 5 s, 10 s, ... up to 60 s; an error of the caller's (``PermissionError``, or one with a status_code of 400 to 499) is not tried again. A document of which a page fails gives
     one row with the error.
     """
 
@@ -187,7 +235,8 @@ def parse_remote(rows: DataFrame, client, attempts: int = 6) -> DataFrame:
                         out += [(doc_id, page, md, tables, pictures, None) for page, md, tables, pictures in parse(content)]
                         break
                     except Exception as e:  # noqa: BLE001  the error becomes a row
-                        if attempt == attempts - 1 or isinstance(e, PermissionError):
+                        status = getattr(e, "status_code", None)
+                        if attempt == attempts - 1 or isinstance(e, PermissionError) or (isinstance(status, int) and 400 <= status < 500):
                             out.append((doc_id, None, None, None, None, f"{type(e).__name__}: {e}"[:400]))
                             break
                         time.sleep(min(60, 5 * 2**attempt))

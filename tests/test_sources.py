@@ -18,8 +18,13 @@ def test_mmlongbench_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, doc_type string, question string, answer string, evidence_pages string, evidence_sources string, answer_format string").coalesce(1).write.parquet(path)
     got = D.load(spark, "mmlongbench_doc", path, "train")["questions"].orderBy("qa_id").collect()
     assert [(r.qa_id, r.doc_type, r.evidence_pages, r.evidence_sources) for r in got] == [(0, "Report", [0, 2], ["Chart", "Table"]), (1, "Report", [], [])]
-    specs = D.to_run_specs(D.load(spark, "mmlongbench_doc", path, "train")["questions"], 1).collect()
-    assert [(s.run_id, s.gold.evidence_pages) for s in specs] == [("x_q01", [1, 3])]
+    questions = D.load(spark, "mmlongbench_doc", path, "train")["questions"]
+    specs = D.to_run_specs(questions, per_document=1).collect()
+    assert [(s.run_id, s.gold.evidence_pages) for s in specs] == [("train_x_q00", [1, 3])]
+    samples = lambda *rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, run_id string, doc_id string, question string, why_chosen string")
+    named = lambda chosen: {s.qa_id: (s.run_id, s.why_chosen) for s in D.to_run_specs(questions, chosen=chosen).collect()}
+    assert named(samples(("one", "x.pdf", "q2", "w"), ("all", "x.pdf", None, ""))) == {0: ("all_q00", ""), 1: ("one", "w")}
+    assert named(samples(("all", "x.pdf", None, ""), ("one", "x.pdf", "q2", "w"))) == {0: ("all_q00", ""), 1: ("all_q01", "")} and named(samples(("n", "x.pdf", "other", ""))) == {}
     assert [len(r.qas) for r in D.documents(D.load(spark, "mmlongbench_doc", path, "train")["questions"]).collect()] == [2]
     with pytest.raises(ValueError, match="splits"):
         D.load(spark, "mmlongbench_doc", path, "test")
@@ -145,3 +150,89 @@ def test_parsed_pages_are_written_once(spark, tmp_path):
     W.write_pages(pages.where("doc_id = 'a'"), path)
     W.write_pages(pages, path, spark.read.parquet(path))
     assert spark.read.parquet(path).groupBy("doc_id").count().where(F.col("count") > 1).count() == 0
+
+
+def test_batches_are_found_and_collected(spark, tmp_path):
+    for batch in ("old", "new"):
+        for run, score in (("r1", {"score": 0.5}), ("r2", {"score_official_rule": 1.0})):
+            for step, name, data in (("00_input", "question.json", {"run_id": run, "doc_id": "d", "question": f"q {run}", "gold": {"answer": "a", "evidence_pages": [1]}}), ("06_evaluation", "result.json", {"run_id": run, **score})):
+                (tmp_path / batch / run / step).mkdir(parents=True, exist_ok=True)
+                (tmp_path / batch / run / step / name).write_text(json.dumps(data, indent=1))
+        (tmp_path / batch / "manifest.json").write_text(json.dumps({"runs": [{"run_id": r} for r in ("r2", "r1", "r2", "gone")]}))
+    import os
+
+    os.utime(tmp_path / "old" / "manifest.json", (1, 1))
+    found = W.newest_batch(spark, f"file://{tmp_path}")
+    assert found.endswith("/new") and W.newest_batch(spark, found).endswith("/new") and W.newest_batch(spark, f"file://{tmp_path}/new/r1") == f"file://{tmp_path}/new/r1"
+    assert [(r.run_id, r.question, r.gold.evidence_pages) for r in W.batch_questions(spark, found).collect()] == [("r1", "q r1", [1]), ("r2", "q r2", [1])]
+    assert {r.run_id: r.score for r in W.batch_scores(spark, found).collect()} == {"r1": 0.5, "r2": 1.0}
+    assert [r.run_id for r in W.discovered_runs(spark, found).collect()] == ["r2", "r1"]
+    got = {r.run_id: r.artefacts for r in W.collected(spark, found).collect()}
+    assert set(got) == {"r1", "r2"} and set(got["r1"]) == {"00_input/question.json", "06_evaluation/result.json"}
+
+
+def test_manifest_entries(spark):
+    rows = spark.createDataFrame([("a", "d", "q", 1.0, "rules", 1.0, "x", None), ("b", "d", "q", None, None, None, None, "E")], "run_id string, doc_id string, question string, score double, score_source string, score_official_rule double, raw_system_answer string, error string")
+    assert [(r.status, r.score_rules, r.error) for r in W.run_entries(rows).orderBy("run_id").collect()] == [("ok", 1.0, None), ("failed", None, "E")]
+
+
+def test_folders_appear_when_they_are_complete(spark, tmp_path):
+    import tarfile
+
+    def fail(folder):
+        (tmp_path / ".x.tmp" / "half").write_text("")
+        raise OSError
+
+    with pytest.raises(OSError):
+        W.publish(str(tmp_path / "x"), fail)
+    assert not (tmp_path / "x").exists()
+    (tmp_path / "f").write_text("hello")
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "f", "in/f")
+    assert W.extract_archive(str(tmp_path / "a.tar.gz"), str(tmp_path / "x")) and (tmp_path / "x" / "in" / "f").read_text() == "hello" and not (tmp_path / "x" / "half").exists()
+    assert not W.extract_archive(str(tmp_path / "a.tar.gz"), str(tmp_path / "x"))
+    pages = spark.createDataFrame([("d1", 0, b"a"), ("d1", 1, b"b"), ("d2", 0, b"c"), ("d2", 1, None)], "doc_id string, page int, image binary")
+    assert sorted(map(tuple, W.export_images(pages, str(tmp_path / "img")).collect())) == [("d1", 2), ("d2", 1)]
+    assert (tmp_path / "img" / "d1" / "1.png").read_bytes() == b"b"
+
+
+def test_documents_with_a_failed_page_are_set_aside(spark):
+    parsed = spark.createDataFrame([("a", 1, "x", None), ("b", 1, "y", None), ("b", 2, None, "boom")], "doc_id string, page int, md string, error string")
+    good, bad = D.whole_documents(parsed)
+    assert [r.doc_id for r in good.collect()] == ["a"] and [tuple(r) for r in bad.collect()] == [("b", 1, "boom")]
+    items = spark.createDataFrame([("a", "table", [3, 2]), ("a", "picture", [2]), ("a", "table", [])], "doc_id string, kind string, pages array<int>")
+    assert [tuple(r) for r in D.page_counts(items).collect()] == [("a", 2, 1, 1)]
+    listed = spark.createDataFrame([("file:/x/pdfs/a",)], "path string")
+    assert [r.doc_id for r in D.missing_files(parsed.select("doc_id").distinct(), listed).collect()] == ["b"]
+
+
+def test_errors_of_the_caller_are_not_tried_again(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def client():
+        class Refused(Exception):
+            status_code = 422
+
+        def parse(content):
+            with open(log, "a") as f:
+                f.write("x")
+            raise Refused("bad file")
+
+        return parse
+
+    got = D.parse_remote(spark.createDataFrame([("a", b"x")], "doc_id string, content binary"), client).collect()
+    assert got[0].error == "Refused: bad file" and log.read_text() == "x"
+
+
+def test_pages_that_cannot_be_rendered_are_null(spark):
+    def render(content, page, side):
+        if page == 2:
+            raise ValueError
+        return content + bytes([page])
+
+    rows = spark.createDataFrame([("d", b"z", 1), ("d", b"z", 2)], "doc_id string, content binary, page int")
+    assert [r.image and bytes(r.image) for r in D.rendered(rows, render).orderBy("page").collect()] == [b"z\x01", None]
+
+
+def test_markdown_as_html():
+    assert W.markdown_html("# A <b>\n\n- **x** `y`\n- z\n| a | b |\n|---|---|\n| 1 | 2 |\ntext") == "<h1>A &lt;b&gt;</h1>\n<ul>\n<li><b>x</b> <code>y</code></li>\n<li>z</li>\n</ul>\n<table>\n<tr><td>a</td><td>b</td></tr>\n<tr><td>1</td><td>2</td></tr>\n</table>\n<p>text</p>"
