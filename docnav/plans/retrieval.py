@@ -208,32 +208,34 @@ SELECT corpus_id AS conv_id, page FROM x WHERE i <= 3"""
 
 def quote_exact_match(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages that stand in a document after normalisation. The words of a passage but its first and last stand in
-    a document as whole words: the first eight of them are the join key, or the longest one if they are fewer. Passages of one
-    or two words are compared with every document."""
-    n = 8
+    a document as whole words: three of them in a row, the longest by letters, are the join key, or the longest word if they are fewer. Passages of one
+    or two words are compared with every document; the tables of short ones are looked at only if there are any."""
+    n = 3
 
     def windows(words):
         """Hashes of n words in a row: n shifted copies side by side, as a slice of its own for each window would copy the array."""
-        h = F.transform(words, lambda x: F.xxhash64(x))
-        shifted = F.arrays_zip(*[F.slice(h, F.lit(k + 1), F.greatest(F.lit(0), F.size(words) - (n - 1))).alias(f"w{k}") for k in range(n)])
+        shifted = F.arrays_zip(*[F.slice(words, F.lit(k + 1), F.greatest(F.lit(0), F.size(words) - (n - 1))).alias(f"w{k}") for k in range(n)])
         return F.transform(shifted, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(n)]))
 
     words = lambda c: F.split(norm_quote(c), " ")
     items = A.table(spark, d, "benchmark").select("item_id", norm_quote(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).where("quote <> ''")
     inner = F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 2))
+    letters = F.transform(F.sequence(F.lit(0), F.size(inner) - n), lambda i: F.struct(F.length(F.array_join(F.slice(inner, i + 1, n), "")), (-i).alias("i")))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-    long = items.where(F.size("w") >= n + 2).select("item_id", "quote", F.get(windows(inner), 0).alias("h"))
+    long = items.where(F.size("w") >= n + 2).select("item_id", "quote", F.get(windows(inner), -F.array_max(letters)["i"]).alias("h"))
     short = items.where(F.size("w").between(3, n + 1)).select("item_id", "quote", longest.alias("h"))
     tiny = items.where(F.size("w") < 3).select("item_id", "quote")
-    docs = A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", norm_quote(F.col("text")).alias("t"), words(F.col("text")).alias("w"))
-    # windows and words are exploded and joined without the texts, which meet only the quotes they may hold
-    keys = docs.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(windows(F.col("w")))).alias("h"))
-    single = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("h"))
-    may = keys.join(long, "h").select("doc_id", "item_id", "quote").union(single.join(short, "h").select("doc_id", "item_id", "quote")).distinct()
+    docs = A.spread(A.table(spark, d, "documents").select("doc_id", "text"))
+    # keys are exploded and joined without the texts, which meet only the quotes they may hold and are normalised again only there
+    split = docs.select("doc_id", words(F.col("text")).alias("w"))
+    may = split.select("doc_id", F.explode(windows(F.col("w"))).alias("h")).join(long, "h").select("doc_id", "item_id", "quote")
+    if not short.isEmpty():
+        may = may.union(split.select("doc_id", F.explode(F.array_distinct("w")).alias("h")).join(short, "h").select("doc_id", "item_id", "quote"))
     held = F.contains("t", F.col("quote"))
-    # texts are normalised again only where a quote may stand
-    raw = A.table(spark, d, "documents").select("doc_id", "text").join(may, "doc_id").select("doc_id", "item_id", "quote", norm_quote(F.col("text")).alias("t"))
-    return raw.where(held).select("doc_id", "item_id").union(docs.join(tiny, held).select("doc_id", "item_id")).distinct()
+    found = docs.join(may.distinct(), "doc_id").select("doc_id", "item_id", "quote", norm_quote(F.col("text")).alias("t")).where(held).select("doc_id", "item_id")
+    if not tiny.isEmpty():
+        found = found.union(docs.select("doc_id", norm_quote(F.col("text")).alias("t")).join(tiny, held).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 _QUOTE = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9%$., ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
