@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docnav.functions import text as X
 from docnav.functions.text import headings, norm_quote, page_flag, references, strip, tokens
 from docnav.operators import retrieval as R
 from docnav.operators import tree as T
@@ -128,8 +129,7 @@ def captions_and_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = f"SELECT corpus_id, page, unnest(string_split(text, chr(10))) AS line FROM ({A.CAPTIONED_PAGES})"
-_CAPTION = r"(?i)^(?:#+\s*)?(?:\*\*)?(Figure|Fig\.?|Table)\s*(\d+)[a-z]?\s*[:.]\s*(?:\*\*)?\s*(\S.*)$"
-_MENTION = r"(?i)\b(Figure|Fig\.?|Table)\s*(\d+)\b"
+_CAPTION, _MENTION = X.CAPTION, X.MENTION  # the fixed patterns of functions.text
 _CAPTION_ROWS = f"SELECT corpus_id, page, CASE WHEN lower(regexp_extract(trim(line), '{_CAPTION}', 1)) LIKE 'tab%' THEN 'Table' ELSE 'Figure' END AS kind, CAST(regexp_extract(trim(line), '{_CAPTION}', 2) AS INT) AS number, trim(regexp_replace(trim(regexp_extract(trim(line), '{_CAPTION}', 3)), '\\*+$', '')) AS rest FROM ({_LINES}) WHERE regexp_matches(trim(line), '{_CAPTION}')"
 _MENTION_ROWS = f"SELECT DISTINCT corpus_id, page, CASE WHEN lower(unnest(regexp_extract_all(line, '{_MENTION}', 1))) LIKE 'tab%' THEN 'Table' ELSE 'Figure' END AS kind, CAST(unnest(regexp_extract_all(line, '{_MENTION}', 2)) AS INT) AS number FROM ({_LINES}) WHERE NOT regexp_matches(trim(line), '{_CAPTION}')"
 CAPTIONS_AND_MENTIONS = f"""WITH p AS ({A.CAPTIONED_PAGES}), c AS ({_CAPTION_ROWS}), m AS ({_MENTION_ROWS}),
