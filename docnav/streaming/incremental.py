@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,9 +24,10 @@ def score_folder(spark: SparkSession, source: str, target: str, checkpoint: str)
 
     def write(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates(["run_id"])
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(target)):  # noqa: SLF001
+        try:
             new = new.join(spark.read.parquet(target).select("run_id"), "run_id", "left_anti")
+        except AnalysisException:  # nothing is scored yet
+            pass
         scored(new).write.mode("append").parquet(target)
 
     return spark.readStream.schema(ANSWER).json(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
