@@ -143,6 +143,11 @@ class Automaton:
         self.table: dict[int, int] = {}  # state * 512 + symbol to state
         self._state(-1, ((0, -1),))
 
+    def forget(self) -> None:
+        """Drop what was kept for speed, so that a worker between tasks holds the vocabulary's tables alone."""
+        self.words, self.older, self.arcs = {}, {}, {}
+        self._reset()
+
     def _state(self, token: int, under_way: tuple[tuple[int, int], ...]) -> int:
         key = (token, under_way)
         if key not in self.states:
@@ -322,21 +327,24 @@ def specification(path: str) -> str:
 def _tokens(spec, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = compiled(spec.value)
-        for batch in batches:
-            n, ids_sum, text_sum, all_ids, all_text = [], [], [], [], []
-            for text in batch.column("text"):
-                pieces = bpe.pieces(text.as_py() or "")
-                ids = b"".join([p[0] for p in pieces])
-                decoded = " ".join([p[1] for p in pieces])
-                n.append(len(ids) // 4)
-                ids_sum.append(hashlib.sha256(ids).hexdigest())
-                text_sum.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-                    all_text.append(decoded)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
-            columns += [pa.array(all_ids, pa.binary()), pa.array(all_text, pa.string())] if with_ids else []
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        try:
+            for batch in batches:
+                n, ids_sum, text_sum, all_ids, all_text = [], [], [], [], []
+                for text in batch.column("text"):
+                    pieces = bpe.pieces(text.as_py() or "")
+                    ids = b"".join([p[0] for p in pieces])
+                    decoded = " ".join([p[1] for p in pieces])
+                    n.append(len(ids) // 4)
+                    ids_sum.append(hashlib.sha256(ids).hexdigest())
+                    text_sum.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                        all_text.append(decoded)
+                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
+                columns += [pa.array(all_ids, pa.binary()), pa.array(all_text, pa.string())] if with_ids else []
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+        finally:
+            bpe.forget()
 
     return run
 

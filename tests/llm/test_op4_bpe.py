@@ -88,3 +88,15 @@ def test_a_full_table_changes_no_result(bpe, library, monkeypatch):
         word = "".join(random.Random(i).choice("abcdeilnorst") for _ in range(9))
         assert bpe.encode_word(word.encode()) == library.encode(word, add_special_tokens=False).ids
     assert len(bpe.ends) < 80
+
+
+def test_a_worker_keeps_no_words_between_tasks(spark):
+    import pyarrow as pa
+
+    class Spec:
+        value = op.specification(op.vocabulary_path())
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(1, 200), None]})
+    assert [b.num_rows for b in op._tokens(Spec, False)(iter([batch]))] == [2]
+    kept = op.compiled(Spec.value)
+    assert not kept.words and not kept.older and not kept.arcs and len(kept.ends) == 1
