@@ -18,8 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from docnav.llm.op8_warc import op8_warc
     from docnav.llm.op9_exact_topk import op9_exact_topk
     from docnav.llm.op10_fingerprint import op10_fingerprint
+    from docnav.llm.op11_alignment import op11_alignment
 
-    found = (op1_toxicity, op2_quality, op3_licenses, op4_bpe, op5_mixing, op6_ngram_join, op7_secrets, op8_warc, op9_exact_topk, op10_fingerprint)
+    found = (
+        op1_toxicity, op2_quality, op3_licenses, op4_bpe, op5_mixing, op6_ngram_join, op7_secrets, op8_warc, op9_exact_topk, op10_fingerprint,
+        op11_alignment,
+    )
     return {f.__name__: f for f in found}
 
 

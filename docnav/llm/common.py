@@ -11,7 +11,11 @@ import uuid
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +138,65 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         before = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+
+
+def in_blocks(batches, chars: int, column: str = "text"):
+    """(number, batch) of consecutive rows with about ``chars`` bytes of ``column`` each; a longer row is a block of its own. Numbers differ over all
+    tasks of a job."""
+    first = TaskContext.get().partitionId() << 33
+    held, size, n = [], 0, 0
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        cut = 0
+        for i, length in enumerate(lengths.tolist()):
+            size += length
+            if size >= chars:
+                held.append(batch.slice(cut, i + 1 - cut))
+                yield first + n, pa.Table.from_batches(held).combine_chunks()
+                held, size, n, cut = [], 0, n + 1, i + 1
+        if cut < len(lengths):
+            held.append(batch.slice(cut))
+    if held:
+        yield first + n, pa.Table.from_batches(held).combine_chunks()
+
+
+def only_chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def split_words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts after ``bytes.translate(table)``, cut at ASCII white space: (word numbers in order, text of each word, distinct words)."""
+    plain = pa.array([x.as_buffer().to_pybytes().translate(table) if x.is_valid else b"" for x in texts.cast(pa.binary())], pa.binary())
+    parts = pc.ascii_split_whitespace(plain.cast(pa.string()))
+    words = parts.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(parts.offsets)))
+    full = np.asarray(pc.binary_length(words)) > 0
+    coded = words.dictionary_encode()
+    number = np.asarray(coded.indices)[full]
+    used, number = np.unique(number, return_inverse=True)
+    return number, owner[full], coded.dictionary.take(pa.array(used))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers in few bytes; ``unpacked`` reads them."""
+    raw = b"".join(np.array([len(a)], "<i8").tobytes() + np.diff(a, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
+        planes = np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n)
+        out.append(np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<i8")))
+        at += 8 + 8 * n
+    return out
+
+
+def block_values(blocks: DataFrame, keys: str, values: DataFrame, key: str) -> DataFrame:
+    """(block, found): for the keys of each block, in an array of (pos, the other columns of ``values``), in any order; null where ``values`` has no such key.
+
+    A key comes once in a block whatever number of times its rows hold it, so no key is frequent here; a block's array is as long as its keys.
+    """
+    each = blocks.select("block", F.posexplode(keys).alias("pos", key)).join(values, key, "left")
+    return each.groupBy("block").agg(F.collect_list(F.struct("pos", *[c for c in values.columns if c != key])).alias("found"))
