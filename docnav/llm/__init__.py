@@ -19,15 +19,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from docnav.llm.op9_exact_topk import op9_exact_topk
     from docnav.llm.op10_fingerprint import op10_fingerprint
     from docnav.llm.op11_alignment import op11_alignment
+    from docnav.llm.op12_divergence import op12_divergence
+    from docnav.llm.op13_language_model import op13_language_model
 
     found = (
         op1_toxicity, op2_quality, op3_licenses, op4_bpe, op5_mixing, op6_ngram_join, op7_secrets, op8_warc, op9_exact_topk, op10_fingerprint,
-        op11_alignment,
+        op11_alignment, op12_divergence, op13_language_model,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from docnav.llm import op7_secrets, op8_warc, op9_exact_topk
+    from docnav.llm import op7_secrets, op8_warc, op9_exact_topk, op12_divergence
 
-    return {"op7_secrets": op7_secrets.ORACLE, "op8_warc": op8_warc.ORACLE, "op9_exact_topk": op9_exact_topk.ORACLE}
+    parts = {"op7_secrets": op7_secrets, "op8_warc": op8_warc, "op9_exact_topk": op9_exact_topk, "op12_divergence": op12_divergence}
+    return {name: part.ORACLE for name, part in parts.items()}

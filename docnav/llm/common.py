@@ -143,7 +143,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def in_blocks(batches, chars: int, column: str = "text"):
     """(number, batch) of consecutive rows with about ``chars`` bytes of ``column`` each; a longer row is a block of its own. Numbers differ over all
     tasks of a job."""
-    first = TaskContext.get().partitionId() << 33
+    task = TaskContext.get()
+    first = (task.partitionId() if task else 0) << 33
     held, size, n = [], 0, 0
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
