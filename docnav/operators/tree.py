@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from docnav.operators.intervals import coverage, pages_in
 from docnav.operators.lineage import cut
 
 # Fixed value: the title of pages that no section holds.
@@ -21,10 +22,9 @@ def validate(sections: DataFrame, sizes: DataFrame) -> DataFrame:
     parent = sections.select("doc_id", F.col("ord").alias("parent_ord"), F.col("start_page").alias("ps"), F.col("end_page").alias("pe"))
     escapes = s.join(parent, ["doc_id", "parent_ord"]).where("start_page < ps or end_page > pe").select("doc_id", F.lit("escapes_parent").alias("kind"), F.col("ord").alias("detail"))
     leaves = s.join(sections.select("doc_id", F.col("parent_ord").alias("ord")).distinct(), ["doc_id", "ord"], "left_anti")
-    covered = leaves.where("start_page <= end_page").select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).groupBy("doc_id", "page").count()
-    twice = covered.where("count > 1").select("doc_id", F.lit("duplicate").alias("kind"), F.col("page").alias("detail"))
-    pages = sizes.where("n_pages > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias("page"))
-    never = pages.join(covered, ["doc_id", "page"], "left_anti").select("doc_id", F.lit("uncovered").alias("kind"), F.col("page").alias("detail"))
+    stretches = coverage(leaves, sizes.select("doc_id", "n_pages"))
+    listed = lambda on, kind: stretches.where(on).select("doc_id", F.lit(kind).alias("kind"), F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("detail"))
+    twice, never = listed("times > 1", "duplicate"), listed("times = 0", "uncovered")
     return bad.union(escapes).union(never).union(twice)
 
 
@@ -51,29 +51,36 @@ def in_document(*order: str):
     return Window.partitionBy("doc_id").orderBy(*order)
 
 
-def number(nodes: DataFrame) -> DataFrame:
-    """(doc_id, id, depth, path, node): S1, S1.1, ... by order among siblings; ``nodes(doc_id, node, parent, ord)``, roots have a null parent.
+def climb(nodes: DataFrame, paths: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Where the nodes stand: (doc_id, node, depth, path), and (doc_id, node) of those that no root leads to, as they hang on a cycle or on a missing node.
 
-    Levels are joined one after the other, each on the one before it only, until one is empty, so trees of any depth are numbered; a node that no root leads to is left out.
+    ``nodes(doc_id, node, parent, ord)``, roots have a null parent; ``path`` holds the place among the siblings at each level (empty without ``paths``, as the paths of a
+    chain are together as long as its length squared). Pointers double: each round a node takes over the pointer of the node that it points to, so a tree of depth d is done in
+    log2(d) + 1 rounds, each one job. A round that brings nobody to a root leaves only nodes that never get there.
     """
-    placed = cut(nodes.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord", "node"))))
-    level = placed.where("parent is null").select("doc_id", "node", F.concat(F.lit("S"), F.col("n").cast("string")).alias("id"), F.array("n").alias("path"), F.lit(0).alias("depth"))
-    rest, out, d = placed.where("parent is not null"), level, 0
-    most = rest.count()
-    while d < most:
-        d += 1
-        up = level.select("doc_id", F.col("node").alias("parent"), F.col("id").alias("pid"), F.col("path").alias("pp"))
-        level = cut(rest.join(up, ["doc_id", "parent"]).select("doc_id", "node", F.concat_ws(".", "pid", F.col("n").cast("string")).alias("id"), F.concat("pp", F.array("n")).alias("path"), F.lit(d).alias("depth")))
-        if level.isEmpty():
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("ord", "node"))
+    own = F.array(place) if paths else F.array().cast("array<int>")
+    now = nodes.select("doc_id", "node", F.col("parent").alias("up"), own.alias("path"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    before = None
+    while True:
+        seen = Observation()
+        now = cut(now.observe(seen, F.count(F.when(F.col("up").isNotNull(), 1)).alias("open")))
+        left = seen.get["open"]
+        if left in (0, before):
             break
-        out = out.union(level)
-    return out
+        before = left
+        over = now.select("doc_id", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        moved = now.where("up is not null").join(over, ["doc_id", "up"])
+        moved = moved.select("doc_id", "node", F.col("next").alias("up"), F.concat("head", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = now.where("up is null").union(moved)
+    found = now.where("up is null").select("doc_id", "node", "depth", "path")
+    return found, nodes.select("doc_id", "node").join(found, ["doc_id", "node"], "left_anti")
 
 
-def covering(sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, section_id): every section whose range has one of the pages, each once; ranges are exploded so that the join has equal keys."""
-    spans = sections.select("doc_id", "section_id", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    return spans.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi").select("doc_id", "section_id").distinct()
+def number(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node, id, path, depth): S1, S1.1, ... by order among siblings. A node that no root leads to is left out."""
+    found, _ = climb(nodes)
+    return found.select("doc_id", "node", F.concat(F.lit("S"), F.array_join(F.col("path").cast("array<string>"), ".")).alias("id"), "path", "depth")
 
 
 def outline(numbered: DataFrame, titles: DataFrame) -> DataFrame:

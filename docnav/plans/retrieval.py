@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docnav.functions import text as X
 from docnav.functions.text import headings, norm_quote, page_flag, references, strip, tokens
+from docnav.operators import intervals as I
 from docnav.operators import retrieval as R
 from docnav.operators import tree as T
 from docnav.operators.captions import page_visuals, verified_hints
+from docnav.operators.lineage import cut, folder
+from docnav.operators.postings import PostingIndex
 from docnav.sources import adapters as A
 
 
@@ -47,6 +50,33 @@ def bm25_page_search(spark: SparkSession, d: str) -> DataFrame:
 BM25_PAGE_SEARCH = f"WITH {sql_bm25(_UNITS.format(A.DOCUMENT_PAGES), A.DOCUMENT_QUESTIONS, 5)} SELECT corpus_id AS doc_id, qid, unit_id AS page, round(score, 6) AS score, rank FROM r"
 
 
+def stored_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same search in a stored index that odd pages came to first and even ones later."""
+    units, index = _units(A.document_pages(spark, d)), PostingIndex(spark, folder(spark))
+    index.append(units.where("unit_id % 2 = 1"), "odd")
+    index.append(units.where("unit_id % 2 = 0"), "even")
+    got = index.search(A.document_questions(spark, d))
+    return got.select(F.col("corpus_id").alias("doc_id"), "qid", F.col("unit_id").cast("long").alias("page"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+STORED_INDEX_SEARCH = BM25_PAGE_SEARCH
+
+
+def stored_index_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What questions find in the index of conversations after its first batch, and after the second one."""
+    units, index = _units(A.conversation_pages(spark, d)), PostingIndex(spark, folder(spark), block=16)
+    asked = A.conversation_questions(spark, d)
+    index.append(units.where("unit_id <= 3"), "begin")
+    first = cut(index.search(asked, 2).withColumn("after", F.lit(1)))
+    index.append(units.where("unit_id > 3"), "rest")
+    return first.union(index.search(asked, 2).withColumn("after", F.lit(2))).select("after", F.col("corpus_id").alias("conv_id"), "qid", F.col("unit_id").alias("page"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_BEGIN = _UNITS.format(f"SELECT * FROM ({A.CONVERSATION_PAGES}) WHERE page <= 3")
+STORED_INDEX_PARTS = f"""WITH {sql_bm25(_BEGIN, A.CONVERSATION_QUESTIONS, 2, "b")}, {sql_bm25(_UNITS.format(A.CONVERSATION_PAGES), A.CONVERSATION_QUESTIONS, 2, "w")}
+SELECT 1 AS after, corpus_id AS conv_id, qid, unit_id AS page, round(score, 6) AS score, rank FROM rb UNION ALL SELECT 2, corpus_id, qid, unit_id, round(score, 6), rank FROM rw"""
+
+
 def bm25_conversation_search(spark: SparkSession, d: str) -> DataFrame:
     got = R.bm25(_units(A.conversation_pages(spark, d)), A.conversation_questions(spark, d))
     return got.select(F.col("corpus_id").alias("conv_id"), "qid", F.col("unit_id").alias("page"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -179,9 +209,11 @@ def page_snippets(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("corpus_id").alias("doc_id"), R.snippet(F.col("text"), tokens(F.col("query"))).alias("snippet"))
 
 
-PAGE_SNIPPETS = f"""WITH p AS MATERIALIZED (SELECT corpus_id, page, text, {sql_tokens("text")} AS tokens FROM ({A.DOCUMENT_PAGES})), q AS MATERIALIZED (SELECT corpus_id, {sql_tokens("query")} AS terms FROM ({A.DOCUMENT_QUESTIONS})),
-m AS (SELECT p.corpus_id, arg_min(p.text, page) AS line FROM p JOIN q ON p.corpus_id = q.corpus_id WHERE list_has_any(tokens, terms) GROUP BY p.corpus_id)
-SELECT q.corpus_id AS doc_id, coalesce(substr(trim(line), 1, 200), '') AS snippet FROM q LEFT JOIN m USING (corpus_id)"""
+_SNIPPET_LINES = "SELECT doc_id AS corpus_id, generate_subscripts(l, 1) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+PAGE_SNIPPETS = f"""WITH l AS ({_SNIPPET_LINES}), q AS (SELECT corpus_id, query FROM ({A.DOCUMENT_QUESTIONS})), t AS (SELECT DISTINCT corpus_id, unnest({sql_tokens("query")}) AS term FROM q),
+w AS (SELECT corpus_id, page, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM l UNION ALL SELECT corpus_id, page, unnest({sql_tokens("text")}) FROM l WHERE regexp_matches(lower(text), '(figure|fig|table|tab)\\s*[0-9]')),
+h AS (SELECT w.corpus_id, min(page) AS page FROM w JOIN t ON w.corpus_id = t.corpus_id AND w.term = t.term GROUP BY w.corpus_id)
+SELECT q.corpus_id AS doc_id, coalesce(substr(trim(l.text), 1, 200), '') AS snippet FROM q LEFT JOIN h ON q.corpus_id = h.corpus_id LEFT JOIN l ON l.corpus_id = h.corpus_id AND l.page = h.page"""
 
 
 def visual_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -338,8 +370,65 @@ def sections_for_pages(spark: SparkSession, d: str) -> DataFrame:
 SECTIONS_FOR_PAGES = f"SELECT p.corpus_id AS doc_id, page, string_agg(section_id, ',' ORDER BY ord) AS sections FROM ({A.CONVERSATION_PAGES}) p JOIN ({A.NESTED_SECTIONS}) s ON p.corpus_id = s.corpus_id AND page BETWEEN start_page AND end_page GROUP BY ALL"
 
 
+def page_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How often each stretch of a conversation's pages is covered by sections with gaps, overlaps, reversals and overruns."""
+    sections, sizes = _loose_sections(spark, d)
+    runs = I.coverage(sections, sizes).where("inside")
+    # neighbouring stretches may be covered equally often
+    return runs.groupBy("doc_id", "times").agg(F.sum(F.col("last") - F.col("first") + 1).alias("pages"), F.min("first").alias("first"), F.max("last").alias("last")).select("doc_id", F.col("times").cast("int").alias("times"), "pages", "first", "last")
+
+
+PAGE_COVERAGE = f"""WITH {_LOOSE}, g AS (SELECT doc_id, unnest(generate_series(1, n_pages)) AS page FROM z),
+c AS (SELECT g.doc_id, g.page, count(s.ord) AS times FROM g LEFT JOIN s ON s.doc_id = g.doc_id AND g.page BETWEEN s.start_page AND s.end_page GROUP BY ALL)
+SELECT doc_id, CAST(times AS INT) AS times, count(*) AS pages, min(page) AS first, max(page) AS last FROM c GROUP BY doc_id, times"""
+
+
+def wide_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Line numbers of each order in ranges that its lines span: up to hundreds of millions of numbers, some reversed."""
+    lines = A.table(spark, d, "lineitem")
+    first = F.col("l_linenumber") - F.pmod("l_partkey", F.lit(4)).cast("int")
+    last = F.when(F.col("l_returnflag") == "R", first - 1 - F.col("l_linenumber")).otherwise(first + F.pmod("l_suppkey", F.lit(3)).cast("int") + F.when(F.col("l_linestatus") == "O", (F.col("l_quantity") * 10_000_000).cast("int")).otherwise(0))
+    ranges = lines.select(F.col("l_orderkey").alias("corpus_id"), F.col("l_linenumber").alias("line"), first.alias("start_page"), last.alias("end_page"))
+    found = I.pages_in(ranges, lines.select(F.col("l_orderkey").alias("corpus_id"), F.col("l_linenumber").alias("page")))
+    return found.groupBy(F.col("corpus_id").alias("orderkey"), "line").agg(F.count("*").alias("held"), F.sum("page").alias("numbers"))
+
+
+WIDE_RANGES = """WITH r AS (SELECT l_orderkey, l_linenumber AS line, l_linenumber - l_partkey % 4 AS a, CASE WHEN l_returnflag = 'R' THEN l_linenumber - l_partkey % 4 - 1 - l_linenumber
+ELSE l_linenumber - l_partkey % 4 + l_suppkey % 3 + CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity * 10000000 AS INT) ELSE 0 END END AS b FROM lineitem)
+SELECT r.l_orderkey AS orderkey, line, count(*) AS held, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM r JOIN lineitem l ON l.l_orderkey = r.l_orderkey AND l.l_linenumber BETWEEN a AND b GROUP BY ALL"""
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """Each order of a customer below the one before it."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return A.table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("node"), before.alias("parent"), F.col("o_orderkey").alias("ord"))
+
+
+def order_chains(spark: SparkSession, d: str) -> DataFrame:
+    return T.number(_orders(spark, d)).select(F.col("doc_id").alias("custkey"), F.col("node").alias("orderkey"), "id", "depth")
+
+
+ORDER_CHAINS = """SELECT o_custkey AS custkey, o_orderkey AS orderkey, 'S1' || repeat('.1', CAST(n AS INT) - 1) AS id, CAST(n - 1 AS INT) AS depth
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"""
+
+
+def lost_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers below customers by a rule that makes cycles and names parents that do not exist: the depth of those below a root, -1 for the others."""
+    key = F.col("c_custkey").cast("long")
+    nodes = A.table(spark, d, "customer").select(F.col("c_nationkey").alias("doc_id"), (key % 1000).alias("node")).distinct()
+    nodes = nodes.select("doc_id", "node", F.when(F.col("node") % 10 != 0, (F.col("node") * 7) % 1000).alias("parent"), F.col("node").alias("ord"))
+    found, lost = T.climb(nodes, paths=False)
+    return found.select("doc_id", "node", "depth").union(lost.select("doc_id", "node", F.lit(-1)))
+
+
+LOST_NODES = """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey AS doc_id, CAST(c_custkey AS BIGINT) % 1000 AS node FROM customer), p AS (SELECT *, CASE WHEN node % 10 <> 0 THEN (node * 7) % 1000 END AS parent FROM n),
+w AS (SELECT doc_id, node, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.doc_id, p.node, w.depth + 1 FROM p JOIN w ON p.doc_id = w.doc_id AND p.parent = w.node)
+SELECT p.doc_id, p.node, coalesce(w.depth, -1) AS depth FROM p LEFT JOIN w ON w.doc_id = p.doc_id AND w.node = p.node"""
+
+
 QUERIES = (
     bm25_page_search, bm25_conversation_search, section_bm25, token_stats, region_fusion, captions_and_mentions, resolve_references, hint_verification, page_snippets, visual_tags, baseline_page_selection,
-    quote_exact_match, page_stats_flags, document_rollup, tree_validate, tree_repair, tree_ids, outline_text, sections_for_pages,
+    quote_exact_match, page_stats_flags, document_rollup, tree_validate, tree_repair, tree_ids, outline_text, sections_for_pages, stored_index_search, stored_index_parts, page_coverage, wide_ranges,
+    order_chains, lost_nodes,
 )
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}
