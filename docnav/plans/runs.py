@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docnav.functions import metrics as M
 from docnav.operators import agent as G
 from docnav.operators import report as P
+from docnav.operators.passages import passage_matches as passages
 from docnav.plans import retrieval
 from docnav.sources import adapters as A
 
@@ -75,6 +76,16 @@ def quote_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return G.quotes_found(both.join(c, ["conv_id", "turn"])).select("conv_id", "turn", "back", "found", "ratio")
 
 
+def passage_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages, each as it is and without every seventh word, in all documents (difflib's ratio is beyond SQL; tests hold the join against all pairs)."""
+    b = _t(spark, d, "benchmark")
+    words = F.split("text", " ")
+    damaged = F.array_join(F.filter(words, lambda w, i: (i + 1) % 7 != 0), " ")
+    items = b.select(F.explode(F.array(*[F.struct((F.col("item_id") * 2 + k).alias("item_id"), text.alias("text")) for k, text in enumerate((F.col("text"), damaged))])).alias("x")).select("x.*")
+    got = passages(items, A.spread(_t(spark, d, "documents").select("doc_id", "text")))
+    return got.select("doc_id", F.expr("item_id div 2").alias("item_id"), (F.col("item_id") % 2 == 1).alias("damaged"), "ratio")
+
+
 def _outlines(spark: SparkSession, d: str) -> DataFrame:
     return A.nested_sections(spark, d).groupBy("corpus_id").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"])).alias("outline"))
 
@@ -316,7 +327,7 @@ SETTINGS_DIFF = "SELECT 'k' || s_suppkey AS key, CAST(s_suppkey // 10 AS VARCHAR
 
 
 QUERIES = (
-    decision_table, evidence_gate, abstention_backstop, quote_fuzzy_match, agent_rounds, cache_lookup, repeat_calls, round_forward_fill, latest_wins, resume_pending, split_evaluation, baseline_summary, judge_summary,
+    decision_table, evidence_gate, abstention_backstop, quote_fuzzy_match, passage_matches, agent_rounds, cache_lookup, repeat_calls, round_forward_fill, latest_wins, resume_pending, split_evaluation, baseline_summary, judge_summary,
     agreement_matrix, flip_report, paired_comparison, cost_ledger, cost_by_step_rollup, first_n_docs, questions_per_doc, sample_set_match, sample_set_missing, answer_dedup, wide_to_long_pages, settings_diff,
 )
 ORACLES = {f.__name__: globals().get(f.__name__.upper()) for f in QUERIES}
