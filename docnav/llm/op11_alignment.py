@@ -32,7 +32,7 @@ from docnav.llm.common import Scratch, block_values, bounded_batches, in_blocks,
 from docnav.llm.op4_bpe import byte_letters
 
 #: Bytes of text in a block, and stretches that B encodes at once.
-BLOCK, AT_ONCE = 3 << 20, 4000
+BLOCK, AT_ONCE = 1 << 20, 4000
 SALTS = 16
 MARK, NEWER = "\u2581", "\u0530"
 # Fixed value: the pattern by which byte-level BPE cuts texts.
