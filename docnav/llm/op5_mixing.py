@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slots are numbered; slot j has the point frac(j / golden ratio), and the cumulative weights map points to sources. Within a
-source the slots are ranked, the documents are shuffled (by a hash) and laid end to end, again and again, and the
-first words of this sequence, as many as the source's target, are shared out evenly among its slots in their order
-(`schedule`). A source without a point has one slot behind all others. So the slots of a source hold its target to the word whatever
-their number, and how often a document's words are taken follows from its place and the target alone (`mix_sources`).
+source the slots are ranked, the documents are shuffled (by a hash) and laid end to end, again and again, and cut into blocks of equal numbers of words, as many
+as the source has slots: the slot of rank r takes block r (`schedule`). The blocks end where the source's target does, so a source's slots hold its target to
+the word, whatever their number; a source without a point has one slot behind all others. A document's words are taken as often as slots hold them: slots and
+documents meet by the stretches of the sequence that they lie on, in pieces no longer than a block (`mix_sources`).
 
 Sizes are words ``[^\\x20\\x09-\\x0D]+``. Targets share the total by weight, stop at MOST times a source's size, and the
 excess goes to the others by weight. Each source's taken words are its target, rounded to whole words.
@@ -25,7 +25,7 @@ MOST = 3
 #: Words in a slot, about, at most, and slots, about, at least, unless their number is given.
 BLOCK, SLOTS = 512, 1 << 17
 _BUCKETS, _CHUNK, _CELLS = 256, 1 << 14, 1024
-_GOLDEN = 0.6180339887498949
+_GOLDEN, _HIGH = 0.6180339887498949, 1 << 20
 
 
 def words(column: str = "text") -> F.Column:
@@ -57,14 +57,21 @@ def wanted() -> F.Column:
     return F.floor(F.col("target") + 0.5).cast("long")
 
 
+def block_words(total: int) -> int:
+    """Words in a slot, about."""
+    return max(1, min(BLOCK, -(-total // SLOTS)))
+
+
 def schedule(plan: DataFrame, slots: int | None = None) -> DataFrame:
     """(source, slot, first, after): the stretch of a source's sequence of documents that each slot holds. Slots are ranked within
     their sources by chunks of slots so that no source's slots meet in one task."""
     spark = plan.sparkSession
     if slots is None:
         total = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-        slots = -(-total // max(1, min(BLOCK, -(-total // SLOTS))))
-    j = spark.range(slots).select(F.col("id").alias("slot"), F.expr(f"(id * {_GOLDEN}D) % 1.0D").alias("point"))
+        slots = -(-total // block_words(total))
+    # in two parts, so that the product keeps its digits whatever the slot's number
+    point = f"((id div {_HIGH}) * {_GOLDEN * _HIGH % 1}D + (id % {_HIGH}) * {_GOLDEN}D) % 1.0D"
+    j = spark.range(slots).select(F.col("id").alias("slot"), F.expr(point).alias("point"))
     j = j.withColumn("cell", F.floor(F.col("point") * _CELLS))
     cells = plan.where("hi > lo").select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"))
     # the last end may fall short of 1 by rounding
@@ -95,11 +102,19 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, keys: tuple = ("doc_i
     inside = Window.partitionBy("source", "bucket").orderBy("u", "v", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("end", F.sum("size").over(inside)).join(base, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bucket") == F.col("bb")))
     placed = placed.select(*keys, "source", "size", (F.col("base") + F.col("end") - F.col("size")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
-    placed = placed.join(plan.select(F.col("source").alias("ps"), "source_size", "target"), F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
-    # the source's sequence is taken up to its target: so many times as a whole, and its first words once more
-    once_more = F.greatest(F.lit(0), F.least("end", F.expr("words % source_size")) - F.col("start"))
-    taken = F.when(F.col("size") > 0, F.expr("words div source_size") * F.col("size") + once_more).otherwise(0).cast("long")
-    return placed.withColumn("words", wanted()).select(*keys, "source", "size", "source_size", "target", taken.alias("taken"))
+    sid = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    known = scratch.keep(plan.select(F.col("source").alias("ps"), sid.alias("sid"), "source_size", "target"))
+    placed = placed.join(known, F.col("source").eqNullSafe(F.col("ps"))).drop("ps")
+    block = block_words(known.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    # a slot's stretch of the endless sequence lies on one pass over the documents or on the ends of two and passes between; both sides are cut into cells
+    slots = schedule(plan).join(known, F.col("source").eqNullSafe(F.col("ps"))).where("after > first")
+    slots = slots.select("sid", "source_size", "first", "after", F.explode(F.expr("sequence(first div source_size, (after - 1) div source_size)")).alias("turn"))
+    slots = slots.select("sid", F.expr("greatest(first - turn * source_size, 0)").alias("a"), F.expr("least(after - turn * source_size, source_size)").alias("b"))
+    slots = slots.select("sid", "a", "b", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("cell"))
+    columns = [*keys, "source", "size", "source_size", "target", "start"]
+    cells = placed.select("sid", *columns, "end", F.explode(F.expr(f"case when size > 0 then sequence(start div {block}, (end - 1) div {block}) else array(-1L) end")).alias("cell"))
+    held = F.expr(f"case when a is not null then greatest(least(b, end, (cell + 1) * {block}) - greatest(a, start, cell * {block}), 0) end")
+    return cells.join(slots, ["sid", "cell"], "left").groupBy(*columns).agg(F.coalesce(F.sum(held), F.lit(0)).cast("long").alias("taken")).drop("start")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

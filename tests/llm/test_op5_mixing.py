@@ -85,3 +85,33 @@ def test_slots_hold_the_words_that_are_taken(spark):
         own = [(r.first, r.after) for r in slots if r.source == s]
         assert [a for a, _ in own] + [n] * bool(own) == [0] * bool(own) + [b for _, b in own], s
         assert bool(own) == (n > 0)
+
+
+def test_takes_follow_the_slots(spark, monkeypatch):
+    """What a document gives is what the schedule's slots hold of it: another schedule takes other words."""
+    from docnav.llm import op5_mixing as op
+
+    rows = [(i, prose(i, 1 + i % 37), "en", f"s{i % 4}" if i % 4 else None, None, "", "", 0) for i in range(300)]
+    frame = spark.createDataFrame(rows, DOCS)
+    usual = {r.doc_id: r for r in mix_sources(frame).collect()}
+    original = op.schedule
+    monkeypatch.setattr(op, "schedule", lambda plan: original(plan).where("slot % 3 <> 0"))
+    fewer = {r.doc_id: r for r in mix_sources(frame).collect()}
+    assert all(fewer[i].taken <= usual[i].taken for i in usual)
+    plan = targets(spark.createDataFrame([(s, sum(r.size for r in usual.values() if r.source == s)) for s in {r.source for r in usual.values()}], "source string, source_size long"))
+    held = {r.source: r.n for r in original(plan).where("slot % 3 <> 0").groupBy("source").agg({"after": "sum", "first": "sum"}).selectExpr("source", "`sum(after)` - `sum(first)` as n").collect()}
+    assert {s: sum(r.taken for r in fewer.values() if r.source == s) for s in held} == held
+    monkeypatch.setattr(op, "schedule", lambda plan: original(plan, 7))
+    few = {r.doc_id: r.taken for r in mix_sources(frame).collect()}
+    assert few == {i: r.taken for i, r in usual.items()}  # blocks of other lengths hold the same words in all
+
+
+def test_points_keep_their_digits():
+    from fractions import Fraction
+
+    from docnav.llm import op5_mixing as op
+
+    golden = Fraction(op._GOLDEN)
+    for j in (1, 10**6, 10**9 + 7, 4 * 10**10 + 1):
+        got = ((j // op._HIGH) * (op._GOLDEN * op._HIGH % 1) + (j % op._HIGH) * op._GOLDEN) % 1.0
+        assert abs(got - float(j * golden % 1)) < 1e-9
