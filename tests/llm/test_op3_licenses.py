@@ -160,3 +160,37 @@ def test_recall_against_an_exact_scan_of_whole_texts():
         want, got = exact(text), set(op.scan_text(text, M)[1].split(","))
         found, there = found + len(want & got), there + len(want)
     assert found >= 0.97 * there, (found, there)
+
+
+#: Notices as they are found in the wild, not taken from TEMPLATES.
+WILD = [
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0"),
+    ("is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"), ("made available under a Creative Commons Attribution 4.0 International license", "CC-BY-4.0"),
+    ("This project is licensed under the terms of the MIT license.", "MIT"), ("License: MIT", "MIT"), ("The code is released under the MIT license - see the LICENSE file", "MIT"), ("All code here is available under the Apache 2.0 license.", "Apache-2.0"),
+    ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n", "Apache-2.0"),
+    ("\n                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n", "GPL-3.0"),
+    ("it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "GPL-2.0"), ("// SPDX-License-Identifier: BSL-1.0", "BSL-1.0"), ("Distributed and licensed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"),
+    ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+]
+
+
+def test_notices_of_the_wild_are_found():
+    right = [op.scan_text(f"{prose(1, 30)}. {text}\n{prose(2, 30)}", M)[1] == name for text, name in WILD]
+    assert sum(right) >= 0.9 * len(WILD), [w for w, r in zip(WILD, right, strict=True) if not r]
+
+
+@pytest.mark.parametrize("text", ["Not licensed under the MIT License.", "This is not licensed under the MIT License.", "It was never released under the ISC License.", "Licensed under a Creative Commons Attribution-Sampling 4.0 International License."])
+def test_what_is_denied_or_unknown_names_nothing(text):
+    assert op.scan_text(f"{prose(3, 12)}. {text}\n{prose(4, 9)}", M)[1] == ""
+
+
+def test_compression_ranks_and_admits(monkeypatch):
+    """With savings that tell nothing, other templates are confirmed, or none."""
+    text = f"{prose(1, 20)}. {VERBATIM['BSD-3-Clause']} {prose(2, 20)}. Licensed under the Apache License, Version 2.0."
+    usual = op.scan_text(text, M)
+    assert usual[1] == "Apache-2.0,BSD-3-Clause"
+    monkeypatch.setattr(op.Matcher, "savings", lambda self, text, scale: dict.fromkeys(self.scale[scale], 0))
+    assert op.scan_text(text, M)[1] == ""
+    monkeypatch.setattr(op.Matcher, "savings", lambda self, text, scale: dict.fromkeys(self.scale[scale], 100))
+    assert op.scan_text(text, M)[1:] != usual[1:]
