@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = jaccard_components(docs, k=5, t=(80, 100))
     key, copy = unused(docs, "key"), unused(docs, "copy")
     names = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    own = F.row_number().over(Window.partitionBy(key, F.xxhash64("text"), F.length("text")).orderBy(key))
+    own = F.row_number().over(Window.partitionBy(key, F.md5("text")).orderBy(key))
     # named rows are dealt by the key already, so the numbers need no further shuffle; rows without an id are dealt by their texts
     named = docs.withColumn(key, F.col("doc_id").cast("long")).join(names, key).withColumn(copy, own)
     others = docs.where("doc_id is null").withColumn(key, F.lit(None).cast("long")).withColumn(copy, own)
@@ -52,13 +52,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key, whole, times, copy = (unused(docs, c) for c in ("key", "whole", "times", "copy"))
-    keyed = docs.withColumn(whole, F.xxhash64(*docs.columns)).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    mixed = mix_sources(keyed, keys=(key, whole))
+    key, whole, other, times, copy = (unused(docs, c) for c in ("key", "whole", "other", "times", "copy"))
+    # 128 bits tell rows apart
+    keyed = docs.withColumns({whole: F.xxhash64(*docs.columns), other: F.xxhash64(F.lit(7), *reversed(docs.columns)), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))})
+    mixed = mix_sources(keyed, keys=(key, whole, other))
     rounded = F.when(F.sum("size") == 0, F.count("*")).otherwise(F.floor(F.count("*") * F.sum("taken") / F.sum("size") + 0.5))
-    copies = mixed.groupBy(key, whole).agg(rounded.cast("int").alias(times)).where(F.col(times) > 0)
-    rows = keyed.join(copies, [key, whole])
-    one = F.row_number().over(Window.partitionBy(key, whole).orderBy(key))
+    copies = mixed.groupBy(key, whole, other).agg(rounded.cast("int").alias(times)).where(F.col(times) > 0)
+    rows = keyed.join(copies, [key, whole, other])
+    one = F.row_number().over(Window.partitionBy(key, whole, other).orderBy(key))
     rows = rows.withColumn(copy, one).where(F.col(copy) == 1).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*docs.columns)
 

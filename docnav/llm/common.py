@@ -6,6 +6,9 @@ our own is set only where that setting is missing and Spark is one local process
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -62,6 +65,22 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def lean(run):
+    """``run`` over the batches of a task; its worker gives memory back to the system when the task ends, so that workers which wait for the next task hold
+    little. No result depends on it."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 class Scratch:
     """Written tables that cut the lineage: a lost executor costs a reread, not the work before it."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from docnav.llm.common import load
+from docnav.llm.common import lean, load
 
 END = "</w>"
 #: Words whose encodings a worker keeps, in each of two generations: a full one takes the place of the older one, so words that keep coming stay.
@@ -353,7 +353,7 @@ def tokenize(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (little-endian unsigned 32-bit) and the decoded text."""
     spec = docs.sparkSession.sparkContext.broadcast(specification(path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_tokens(spec, with_ids), schema)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(_tokens(spec, with_ids)), schema)
 
 
 def vocabulary_path() -> str:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docnav.llm.common import Scratch, connected_components, load, mix, shingle_hashes
+from docnav.llm.common import Scratch, connected_components, lean, load, mix, shingle_hashes
 
 #: Sizes that may be light, rows in a block of a group and of a list, and elements in a block of a group.
 MOST_LIGHT, BLOCK, LIST, ELEMENTS = 32, 256, 1024, 1 << 18
@@ -365,13 +365,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 10
     """(doc_id, n_shingles, component_id) of each row of ``docs(doc_id, text)``; documents link at a similarity of t[0] / t[1]."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.keep(texts.mapInArrow(_survey(k), "doc_id long, n long, cls binary, bits binary"))
+    rows = scratch.keep(texts.mapInArrow(lean(_survey(k)), "doc_id long, n long, cls binary, bits binary"))
     classes = scratch.keep(rows.where("n > 0").groupBy("cls").agg(F.min(F.struct("n", "bits")).alias("first"), F.min("doc_id").alias("rid")).select("cls", "first.n", "first.bits", "rid"))
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= MOST_LIGHT * t[1] // t[0] + 1).groupBy("n").count().collect()}
     boundary = _boundary(sizes, t)
 
     # dealt by key once; the entries of a key stay together for the count, the collection and the copies
-    keys = texts.mapInArrow(_keys(k, t, boundary), "key long, cid long").repartition("key").groupBy("key", "cid").agg(F.lit(1).alias("one")).drop("one")
+    keys = texts.mapInArrow(lean(_keys(k, t, boundary)), "key long, cid long").repartition("key").groupBy("key", "cid").agg(F.lit(1).alias("one")).drop("one")
     shared = keys.withColumn("entries", F.count("*").over(Window.partitionBy("key"))).where("entries > 1")
     # near copies share many short lists with the same entries: each such list is looked at once
     short = shared.where(F.col("entries") <= _SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
@@ -379,14 +379,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 10
     lists = scratch.keep(short.union(shared.where(F.col("entries") > _SHORT_LIST).select("key", "cid", "entries")))
     brief = classes.drop("rid").withColumn("cid", F.expr("cast(conv(substring(hex(cls), 1, 16), 16, -10) as long)"))
     near = _deal(lists.join(brief, "cid").drop("cid"), "key", F.ceil(F.col("entries") / LIST)).drop("entries")
-    near = scratch.keep(near.mapInArrow(_forests(t, ("key", "i", "j"), exact=False), "a binary, b binary").distinct())
+    near = scratch.keep(near.mapInArrow(lean(_forests(t, ("key", "i", "j"), exact=False)), "a binary, b binary").distinct())
 
     groups = connected_components(near, scratch).withColumnRenamed("root", "comp").withColumnRenamed("node", "cls")
     wanted = scratch.keep(groups.join(classes.select("cls", "n", "rid"), "cls"))
     blocks = wanted.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks_of"))
-    sets = texts.mapInArrow(_sets(k, _filter(wanted)), "cls binary, elements binary, bits binary")
+    sets = texts.mapInArrow(lean(_sets(k, _filter(wanted))), "cls binary, elements binary, bits binary")
     found = wanted.join(blocks, "comp").drop("rid").join(sets, "cls")
-    links = scratch.keep(_deal(found, "comp", F.col("blocks_of")).drop("blocks_of").mapInArrow(_forests(t, ("comp", "i", "j"), exact=True), "a binary, b binary"))
+    links = scratch.keep(_deal(found, "comp", F.col("blocks_of")).drop("blocks_of").mapInArrow(lean(_forests(t, ("comp", "i", "j"), exact=True)), "a binary, b binary"))
 
     comps = connected_components(links, scratch)
     rooted = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rid", F.coalesce("root", "cls").alias("root"))
