@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from docnav.sources.keyed import KeyedTable
+
 #: A model call: (kind, prompt) to reply. It runs on the executors, so it must be picklable; clients belong inside.
 ModelFn = Callable[[str, str], str]
 
@@ -65,32 +67,30 @@ def cached_calls(prompts: DataFrame, cache: DataFrame, model: ModelFn = stub_mod
 
 
 class ReplyCache:
-    """Replies kept as a table of files at ``path``: a prompt that was answered in an earlier batch is never sent again."""
+    """Replies kept in a keyed table at ``path``: a prompt that was answered in an earlier batch is never sent again, and only files that may hold it are read."""
+
+    SCHEMA = "key string, kind string, prompt string, reply string"
 
     def __init__(self, path: str):
         self.path = path
 
-    def table(self, spark) -> DataFrame:
-        from pyspark.errors import AnalysisException
+    def store(self, spark) -> KeyedTable:
+        return KeyedTable(spark, self.path, self.SCHEMA)
 
-        schema = "key string, kind string, prompt string, reply string"
-        try:
-            found = spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
-            return spark.createDataFrame([], schema)
-        # two batches at once may have asked the same: any of their replies serves
-        return found.groupBy("key").agg(F.min(F.struct("kind", "prompt", "reply")).alias("r")).select("key", "r.*")
+    def table(self, spark) -> DataFrame:
+        return self.store(spark).table()
 
     def answer(self, prompts: DataFrame, model: ModelFn = stub_model) -> DataFrame:
         """(key, prompt, reply, from_cache) for ``prompts(kind, prompt)``; fresh replies are stored before anything reads them, so each costs one call."""
         from docnav.operators.lineage import cut
 
-        spark = prompts.sparkSession
+        store = self.store(prompts.sparkSession)
         keyed = cut(prompts.select("kind", "prompt").distinct().withColumn("key", cache_key("kind", "prompt")))
-        old = cut(keyed.select("key").join(self.table(spark), "key"))
+        old = cut(store.lookup(keyed).select("key", "prompt", "reply"))
         misses = keyed.join(old.select("key"), "key", "left_anti")
         kinds = [r["kind"] for r in misses.select("kind").distinct().collect()]
         for kind in kinds:
-            call_model(misses.where(F.col("kind") == kind), kind, "prompt", "reply", model).select("key", "kind", "prompt", "reply").write.mode("append").parquet(self.path)
+            store.append(call_model(misses.where(F.col("kind") == kind), kind, "prompt", "reply", model).select("key", "kind", "prompt", "reply"))
         known = old.select("key", F.lit(True).alias("from_cache"))
-        return keyed.select("key").join(self.table(spark), "key").join(known, "key", "left").select("key", "prompt", "reply", F.coalesce("from_cache", F.lit(False)).alias("from_cache"))
+        found = store.lookup(keyed).select("key", "prompt", "reply")
+        return found.join(known, "key", "left").select("key", "prompt", "reply", F.coalesce("from_cache", F.lit(False)).alias("from_cache"))
