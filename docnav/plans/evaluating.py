@@ -9,7 +9,7 @@ from docnav.functions import chat as C
 from docnav.operators import agent as G
 from docnav.operators import evaluation as E
 from docnav.operators import indexing as I
-
+from docnav.operators.lineage import cut, folder
 from docnav.sources import adapters as A
 
 _t = A.table
@@ -133,5 +133,25 @@ def stable_keys(spark: SparkSession, d: str) -> DataFrame:
 STABLE_KEYS = """SELECT sha256('{"messages":"' || (user_id % 20) || '","model":"' || event_type || '"}') AS key, count(*) AS calls FROM events GROUP BY 1"""
 
 
-QUERIES = (evaluation_rows, judged_answers, evidence_checks, batch_report, page_index, index_diagnostics, image_summaries, stable_keys)
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations whose pages were indexed in an earlier state: what a refresh finds added, changed, gone and unchanged, and how many records it then has and had to make."""
+    pages = A.indexed_pages(spark, d).withColumnRenamed("corpus_id", "doc_id")
+    visuals = pages.drop("title", "summary", "keywords", "md")
+    now = pages.select("doc_id", "page", "md", F.length("md").alias("chars"))
+    then = now.where("not (doc_id % 5 = 0 and page = 2)").withColumn("md", F.when(F.col("page") % 3 == 0, F.concat(F.lit("was "), F.col("md"))).otherwise(F.col("md"))).withColumn("chars", F.length("md"))
+    then = then.union(now.where("doc_id % 4 = 0 and page = 1").select("doc_id", F.lit(900).alias("page"), "md", "chars"))
+    store = I.IndexStore(spark, folder(spark))
+    store.refresh(then, visuals)
+    before = cut(store.changes(now))
+    records = store.refresh(now, visuals).groupBy(F.col("doc_id").cast("string").alias("doc")).agg(F.count("*").alias("records"))
+    made = store.last_made().groupBy("doc").agg(F.count("*").alias("made"))
+    return before.join(records, "doc").join(made, "doc", "left").select(F.col("doc").cast("long").alias("conv_id"), "added", "changed", "gone", "same", "records", F.coalesce("made", F.lit(0)).alias("made"))
+
+
+INDEX_REFRESH = """WITH p AS (SELECT conv_id, turn + 1 AS page FROM conversations)
+SELECT conv_id, count(*) FILTER (WHERE conv_id % 5 = 0 AND page = 2) AS added, count(*) FILTER (WHERE page % 3 = 0) AS changed, CAST(conv_id % 4 = 0 AS BIGINT) AS gone,
+count(*) FILTER (WHERE page % 3 <> 0 AND NOT (conv_id % 5 = 0 AND page = 2)) AS same, count(*) AS records, count(*) FILTER (WHERE page % 3 = 0 OR (conv_id % 5 = 0 AND page = 2)) AS made FROM p GROUP BY conv_id"""
+
+
+QUERIES = (index_refresh, evaluation_rows, judged_answers, evidence_checks, batch_report, page_index, index_diagnostics, image_summaries, stable_keys)
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

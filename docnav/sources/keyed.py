@@ -142,6 +142,10 @@ class KeyedTable:
         best = rows.groupBy(self.key).agg(F.max_by(F.struct(*others), F.struct("place", *others)).alias("row"))
         return best.select(*[self.key if n == self.key else F.col(f"row.{n}").alias(n) for n in self.columns.names])
 
+    def parts(self, first: int = 0) -> DataFrame:
+        """All rows of the parts from number ``first`` on, -1 being the latest."""
+        return self._read(self.log.latest()[1][first:]).select(*self.columns.names)
+
     def table(self) -> DataFrame:
         return self._latest(self._read(self.log.latest()[1]))
 
