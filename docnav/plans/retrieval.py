@@ -104,7 +104,8 @@ TOKEN_STATS = f"SELECT corpus_id AS doc_id, count(*) AS pages, CAST(sum(len({sql
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
-    return R.locate(A.indexed_pages(spark, d), A.nested_sections(spark, d), A.locate_questions(spark, d))
+    # the index is read by every branch, so it is made once
+    return R.locate(cut(A.indexed_pages(spark, d)), cut(A.nested_sections(spark, d)), A.locate_questions(spark, d))
 
 
 def region_fusion(spark: SparkSession, d: str) -> DataFrame:
