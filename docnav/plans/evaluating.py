@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +63,11 @@ def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
     """A ledger of three quotations for each conversation: from its first page, from an inspection of its second, and from nowhere."""
     c = _t(spark, d, "conversations")
     one = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    # only a-z are raised: upper() makes SS of a sharp s, which does not stand on the page
+    loud = F.translate(F.substring("text", 1, 25), ascii_lowercase, ascii_uppercase)
     entry = lambda page, quote: F.struct(F.lit(page).alias("page"), quote.alias("quote"), F.lit("a").alias("candidate_answer"))
     finals = one.select(
-        F.col("conv_id").cast("string").alias("run_id"), F.col("conv_id").alias("corpus_id"), F.array(entry(1, F.upper(F.substring("text", 1, 25))), entry(2, F.lit("the chart shows 12%")), entry(3, F.lit("@@@@@"))).alias("ledger"),
+        F.col("conv_id").cast("string").alias("run_id"), F.col("conv_id").alias("corpus_id"), F.array(entry(1, loud), entry(2, F.lit("the chart shows 12%")), entry(3, F.lit("@@@@@"))).alias("ledger"),
         F.array(F.struct(F.lit(2).alias("page"), F.lit("q").alias("question"), F.lit("I see: The chart shows 12%!").alias("result"))).alias("inspections"),
     )
     index = c.select(F.col("conv_id").alias("corpus_id"), (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("md"))

@@ -42,3 +42,15 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_evidence_of_letters_that_upper_case_makes_longer(spark, tmp_path):
+    texts = {1: "Enpfäach in ßßß ungente lichung", 2: "Enßst heittzß enzu geß.\nTzä enteenü", 3: "ŉ İstanbul ıǰ ﬃ and more of it", 4: "plain words that stand here"}
+    rows = [(i, turn, "user", text) for i, t in texts.items() for turn, text in enumerate((t, "another turn"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(SQL["evidence_checks"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["evidence_checks"](spark, str(tmp_path))
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
