@@ -65,3 +65,20 @@ def test_odd_rows(spark, odd, none):
     assert op.score_documents(none, net).count() == 0
     assert op.fit(none, labels) is None
     assert {r.score for r in op.score_documents(odd, None).collect()} == {0.0}
+
+
+def test_long_texts_and_all_rows_are_learned_from(spark, monkeypatch):
+    """Toxic rows of more characters than a bounded sample would take, and as many shards as rows ask for."""
+    rows = [(i, " ".join([x, *["plain filler"] * (4000 if t else 1)]), lang, t) for i, x, lang, t in corpus(300)]
+    docs = spark.createDataFrame([(i, x, lang, "s", None, "", "", 0) for i, x, lang, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, t) for i, _, _, t in rows], "doc_id long, toxic int")
+    assert op.fit(docs, labels) is not None
+    rows, docs, labels = frames(spark)
+    monkeypatch.setattr(op, "SHARD_ROWS", 100)
+    for steps in (100, 12_000):
+        monkeypatch.setattr(op, "STEPS", steps)
+        net = op.fit(docs, labels)
+        got = {r.doc_id: r.score for r in op.score_documents(docs, net).collect()}
+        held = [(got[i], t) for i, _, _, t in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+        good, bad = [s for s, t in held if not t], [s for s, t in held if t]
+        assert np.mean([[b > g for g in good] for b in bad]) > 0.9
