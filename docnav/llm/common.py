@@ -180,6 +180,29 @@ def in_blocks(batches, chars: int, column: str = "text"):
         yield first + n, pa.Table.from_batches(held).combine_chunks()
 
 
+#: Bytes of weights in a row of ``weight_rows``.
+PART = 1 << 16
+WEIGHTS = "part int, shard int, weights binary"
+
+
+def weight_rows(shard: int, flat: np.ndarray) -> pa.RecordBatch:
+    """The weights of a shard's model (float32), as rows of WEIGHTS."""
+    raw = flat.tobytes()
+    parts = [raw[i : i + PART] for i in range(0, len(raw), PART)]
+    return pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([shard] * len(parts), pa.int32()), "weights": pa.array(parts, pa.binary())})
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    each = [np.frombuffer(w, np.float32) for w in table.sort_by("shard").column("weights").to_pylist()]
+    return pa.table({"part": table.column("part").slice(0, 1), "weights": pa.array([np.mean(each, axis=0, dtype=np.float64).astype(np.float32).tobytes()], pa.binary())})
+
+
+def averaged(weights: DataFrame) -> np.ndarray | None:
+    """The mean over the shards of WEIGHTS, taken part by part in Spark; None without shards."""
+    parts = weights.groupBy("part").applyInArrow(_mean, "part int, weights binary").collect()
+    return np.frombuffer(b"".join(r["weights"] for r in sorted(parts, key=lambda r: r["part"])), np.float32) if parts else None
+
+
 def only_chunk(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 

@@ -5,14 +5,13 @@ of CLASS words by frequency; any other word, known or not, belongs to one of TAI
 one over the words of a head class, or the smoothed share of the word among all words of its tail class. So every text has a probability, and the network
 starts as the unigram model that its biases hold.
 
-Training is truncated backpropagation in numpy over windows of STEPS words; the state goes on from window to window and is reset at the start of a
-document. SHARDS tasks train on their part of a bounded sample, and their weights are averaged, ROUNDS times over. In scoring, the documents of a block lie end to
+Training is truncated backpropagation in numpy over windows of STEPS words in up to MOST_LANES lanes; the state goes on from window to window and is reset at the start of a
+document. All documents of the learning folds are learned from, whole: they are dealt by a hash to shards of about SHARD_TOKENS tokens, each shard is trained block by block in one task, and the weights are averaged in
+Spark, ROUNDS times over. A round takes a quarter of the documents, or all of them while few; a block has further turns only where the corpus has fewer than LEAST tokens. In scoring, the documents of a block lie end to
 end in LANES lanes that step together, and again the state is carried from window to window, so a text of any length is scored whole.
 
 Counts of the words that are not in the head never leave Spark: each block asks for those of its words by a join.
 
-The sample: at most SAMPLE documents of the learning folds with at most TRAIN_BYTES bytes and different texts, by the order of their hashes.
-
 Defined results: null and empty texts have one token, the end; repeated rows are documents of their own; a null doc_id is not held out;
 very long texts are whole; without documents to learn from every base_score is 0 and the network is untrained; an empty table gives no rows; further columns are ignored.
 """
@@ -26,15 +25,15 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnav.llm.common import Scratch, block_values, bounded_batches, in_blocks, load, only_chunk, packed, split_words, unpacked
+from docnav.llm.common import WEIGHTS, Scratch, averaged, block_values, bounded_batches, in_blocks, lean, load, only_chunk, packed, split_words, unpacked, weight_rows
 
 HEAD, CLASS, TAIL = 4096, 64, 32
 EMBED, STATE = 16, 16
-#: Training: the sample's bounds, lanes and words of a window, tasks, rounds, windows of a task in a round, rate.
-SAMPLE, TRAIN_BYTES, TRAIN_LANES, STEPS, SHARDS, ROUNDS, WINDOWS, RATE = 2400, 20_000, 24, 16, 8, 4, 300, 0.006
+#: Training: lanes (at least, at most), words of a window, tokens of a shard, shards at most, rounds, tokens to learn from at least (in further turns), bytes of a block, rate.
+TRAIN_LANES, MOST_LANES, STEPS, SHARD_TOKENS, MOST_SHARDS, ROUNDS, LEAST, TRAIN_BLOCK, RATE = 24, 256, 16, 4_000_000, 256, 4, 3_700_000, 4 << 20, 0.006
 #: Scoring: bytes of text in a block, lanes, words of a window. Counting: bytes in a block, words held until they are emitted.
 BLOCK, LANES, WINDOW, COUNT_BLOCK, MOST_WORDS = 4 << 20, 256, 64, 4 << 20, 1 << 20
 #: Rows of a softmax at once, and the largest logit (a cut above it keeps probabilities below 1).
@@ -109,9 +108,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
+def loss_of(p: np.ndarray) -> float:
+    return -float(np.log(np.maximum(p, 1e-37)).sum())
 
 
 def picked(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -157,6 +163,17 @@ class Network:
     def arrays(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.reshape(-1) for a in self.arrays()])
+
+    def filled(self, flat: np.ndarray) -> Network:
+        """A network of these weights in the shapes of this one."""
+        ends = np.cumsum([a.size for a in self.arrays()])[:-1]
+        return Network(*[part.reshape(a.shape).copy() for part, a in zip(np.split(flat, ends), self.arrays(), strict=True)])
+
+    def copy(self) -> Network:
+        return Network(*[a.copy() for a in self.arrays()])
+
     def entered(self) -> np.ndarray:
         """What each input adds to the gates."""
         return self.embed @ self.enter + self.shift
@@ -226,9 +243,8 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: i
     h, target = states.reshape(-1, STATE), y.reshape(-1)
     n = len(target)
     cls = np.where(target < head, target // CLASS, c + target - head)
-    logp = log_softmax(h @ net.to_class + net.class_bias)
-    loss = -float(logp[np.arange(n), cls].sum())
-    d = np.exp(logp)
+    d = softmax(h @ net.to_class + net.class_bias)
+    loss = loss_of(d[np.arange(n), cls])
     d[np.arange(n), cls] -= 1
     d /= n
     d_class += h.T @ d
@@ -236,10 +252,9 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: i
     dh = d @ net.to_class.T
     for k in np.unique(cls[cls < c]):
         rows = np.flatnonzero(cls == k)
-        logp = log_softmax(h[rows] @ net.to_word[k].T + net.word_bias[k])
+        d = softmax(h[rows] @ net.to_word[k].T + net.word_bias[k])
         at = (np.arange(len(rows)), target[rows] % CLASS)
-        loss -= float(logp[at].sum())
-        d = np.exp(logp)
+        loss += loss_of(d[at])
         d[at] -= 1
         d /= n
         d_word[k] += d.T @ h[rows]
@@ -265,28 +280,50 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: i
     return g, states[-1], loss / n
 
 
-def train(net: Network, stream: np.ndarray, v: Vocabulary, windows: int, skip: int = 0) -> Network:
-    """The network after so many windows of the stream (documents end to end, each with its end), from window ``skip`` on, by Adam."""
-    per = len(stream) // TRAIN_LANES
-    if per < 2:
-        return net
-    lanes = stream[: per * TRAIN_LANES].reshape(TRAIN_LANES, per).T
-    x, y = np.vstack([np.full((1, TRAIN_LANES), v.end), lanes[:-1]]), lanes
-    m, s = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
-    h, many = np.zeros((TRAIN_LANES, STATE), np.float32), -(-per // STEPS)
-    for i in range(1, windows + 1):
-        at = (skip + i - 1) % many * STEPS
-        if at == 0:
-            h = np.zeros_like(h)
-        g, h, _ = gradients(net, x[at : at + STEPS], y[at : at + STEPS], h, v.end, len(v.count))
-        norm = float(np.sqrt(sum((a**2).sum() for a in g)))
+class Training:
+    """A network with the means of Adam, learning from one stream (documents end to end, each with its end) after the other."""
+
+    def __init__(self, net: Network):
+        self.net, self.i = net, 0
+        self.m, self.s = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
+
+    def learn(self, stream: np.ndarray, v: Vocabulary, lanes: int, windows: int | None = None, turns: int = 1) -> None:
+        """So many windows of the stream, or all of them in so many turns."""
+        lanes_of, per = lanes, len(stream) // lanes
+        if per < 2:
+            # fewer tokens than two steps of all lanes: one lane
+            lanes_of, per = 1, len(stream)
+        if per < 2:
+            return
+        # what does not fill the lanes is a last step of some of them: the stream is filled up with ends
+        per = -(-len(stream) // lanes_of)
+        filled = np.concatenate([stream, np.full(per * lanes_of - len(stream), v.end, np.int64)])
+        y = filled.reshape(lanes_of, per).T
+        x = np.vstack([np.full((1, lanes_of), v.end), y[:-1]])
+        h, many = np.zeros((lanes_of, STATE), np.float32), -(-per // STEPS)
+        for k in range(many * turns if windows is None else windows):
+            at = k % many * STEPS
+            if at == 0:
+                h = np.zeros_like(h)
+            g, h, _ = gradients(self.net, x[at : at + STEPS], y[at : at + STEPS], h, v.end, len(v.count))
+            self._step(g)
+
+    def _step(self, g: list[np.ndarray]) -> None:
+        self.i += 1
+        i, norm = self.i, float(np.sqrt(sum((a**2).sum() for a in g)))
         rate = RATE * min(1.0, i / 20)
-        for a, b, mean, square in zip(net.arrays(), g, m, s, strict=True):
+        for a, b, mean, square in zip(self.net.arrays(), g, self.m, self.s, strict=True):
             b *= min(1.0, 1 / max(norm, 1e-9))
             mean += 0.1 * (b - mean)
             square += 0.01 * (b * b - square)
             a -= rate * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-6)
-    return net
+
+
+def train(net: Network, stream: np.ndarray, v: Vocabulary, windows: int) -> Network:
+    """The network after so many windows of the stream."""
+    learning = Training(net)
+    learning.learn(stream, v, TRAIN_LANES, windows)
+    return learning.net
 
 
 def stream_of(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -393,38 +430,51 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.int64), n + 0.5 * (words + 1), *(int(x) for x in total))
 
 
-def _trained(model, learned, skip: int):
+def _trained(model, learned, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        for shard in sorted(set(table.column("shard").to_pylist())) if table else ():
-            own = table.filter(pc.equal(table.column("shard"), shard)).sort_by("place")
-            ids, _, _, _ = stream_of(only_chunk(own.column("text")), model.value)
-            net = train(learned.value, ids, model.value, WINDOWS, skip)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "weights": pa.array([b"".join(a.tobytes() for a in net.arrays())], pa.binary())})
+        v, shard, learning, held, size = model.value, None, None, [], 0
+
+        def learn() -> None:
+            ids = stream_of(pa.array(held, pa.string()), v)[0]
+            learning.learn(ids, v, max(TRAIN_LANES, min(MOST_LANES, len(ids) // (8 * STEPS))), turns=turns)
+            held.clear()
+
+        for batch in batches:
+            for own, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if held and (own != shard or size >= TRAIN_BLOCK):
+                    learn()
+                    size = 0
+                if own != shard:
+                    if learning:
+                        yield weight_rows(shard, learning.net.flat())
+                    shard, learning = own, Training(learned.value.copy())
+                held.append(text)
+                size += len(text)
+        if held:
+            learn()
+        if learning:
+            yield weight_rows(shard, learning.net.flat())
 
     return run
 
 
-def fit(docs: DataFrame, v: Vocabulary, scratch: Scratch) -> Network:
-    """The network of a bounded sample of ``docs``: SHARDS tasks train, their weights are averaged."""
+def fit(docs: DataFrame, v: Vocabulary) -> Network:
+    """The network of all of ``docs``: shards are trained in tasks of their own, their weights are averaged."""
     spark, net = docs.sparkSession, Network.start(v)
-    short = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    # a share of the hashes in which the sample lies almost surely, so that its size and not that of the corpus meets in one task; equal texts count once
-    share = F.pmod("h", F.lit(1 << 40)) < int((1 << 40) * min(1.0, 4 * SAMPLE / max(1, short.count())))
-    few = short.where(share).groupBy("h", "text").count().orderBy("h", "text").limit(SAMPLE).withColumn("place", F.row_number().over(Window.orderBy("h", "text")))
-    sample = scratch.keep(few.select("text", "place", (F.col("place") % SHARDS).alias("shard")).repartitionByRange(SHARDS, "shard"))
+    shards = min(MOST_SHARDS, max(1, v.total // SHARD_TOKENS))
+    # a short corpus is taken whole in each round
+    whole = v.total * ROUNDS <= LEAST
+    turns = max(1, round(LEAST / max(1, v.total * (ROUNDS if whole else 1))))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("turn", F.pmod(F.xxhash64("h"), F.lit(ROUNDS)))
     model = spark.sparkContext.broadcast(v)
     for i in range(ROUNDS):
         learned = spark.sparkContext.broadcast(net)
-        rows = sample.repartitionByRange(SHARDS, "shard").mapInArrow(_trained(model, learned, i * WINDOWS), "shard int, weights binary").collect()
-        if not rows:
-            break
-        mean = np.mean([np.frombuffer(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["shard"])], axis=0, dtype=np.float64).astype(np.float32)
-        at, arrays = 0, []
-        for a in net.arrays():
-            arrays.append(mean[at : at + a.size].reshape(a.shape).copy())
-            at += a.size
-        net = Network(*arrays)
+        own = rows if whole else rows.where(F.col("turn") == i)
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("h", F.lit(i)), "text").select("shard", "text")
+        mean = averaged(own.mapInArrow(lean(_trained(model, learned, turns)), WEIGHTS))
+        if mean is not None:
+            net = net.filled(mean)
         learned.unpersist()
     return net
 
@@ -438,7 +488,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learn = docs.where(~F.col("held_out"))
     counts = scratch.keep(learn.select("text").mapInArrow(count_words, "word string, n long, cls int").groupBy("word").agg(F.sum("n").alias("n"), F.max("cls").alias("cls")))
     v = vocabulary(counts)
-    model, learned = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(fit(learn, v, scratch))
+    model, learned = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(fit(learn, v))
     blocks = scratch.keep(docs.mapInArrow(_scored(model, learned), BLOCKS))
     found = block_values(blocks, "words", counts.select("word", "n"), "word")
     rows = blocks.select("block", "docs", "items").join(found, "block", "left").select("docs", "items", "found")

@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnav.llm.common import Scratch, lean, load
+from docnav.llm.common import WEIGHTS, Scratch, averaged, lean, load, weight_rows
 
 BUCKETS, DIM, WIDTHS, FILTERS, POOL = 1 << 15, 8, (1, 2, 3), 6, 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 EPOCHS, RATE = 4, 0.08
-#: Rows of a shard, shards at most, averages, steps beyond which a row has one turn, and bytes of weights in a row.
-SHARD_ROWS, MOST_SHARDS, ROUNDS, STEPS, PART = 10_000, 256, 4, 12_000, 1 << 16
+#: Rows of a shard, shards at most, averages, steps beyond which a row has one turn.
+SHARD_ROWS, MOST_SHARDS, ROUNDS, STEPS = 10_000, 256, 4, 12_000
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BOUNDS, LEAST_ROWS = (0.4, 0.8), 40
 #: Words whose filter responses a worker keeps.
@@ -257,30 +257,19 @@ def _learned(model, weight: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, learner = Words(), None, None
 
-        def out() -> pa.RecordBatch:
-            raw = learner.flat().tobytes()
-            parts = [raw[i : i + PART] for i in range(0, len(raw), PART)]
-            return pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "shard": pa.array([shard] * len(parts), pa.int32()), "weights": pa.array(parts, pa.binary())})
-
         for batch in batches:
             for own, text, toxic in zip(batch.column("shard").to_pylist(), batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 if own != shard:
                     if learner:
-                        yield out()
+                        yield weight_rows(shard, learner.flat())
                     shard, learner = own, deepcopy(model.value)
                 learner.learn(words.of(text.as_py()), toxic, weight[toxic])
         if learner:
-            yield out()
+            yield weight_rows(shard, learner.flat())
 
     return run
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    """The mean of one part of the weights over all shards."""
-    each = [np.frombuffer(w, np.float32) for w in table.sort_by("shard").column("weights").to_pylist()]
-    return pa.table({"part": table.column("part").slice(0, 1), "weights": pa.array([np.mean(each, axis=0, dtype=np.float64).astype(np.float32).tobytes()], pa.binary())})
-
-
 def _graded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, grid = Scorer(model.value), np.linspace(*BOUNDS, 41)
@@ -314,9 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
         # each round has an order of its own
         dealt = (own if n * ROUNDS <= STEPS else own.where(F.col("turn") == i)).withColumn("h", F.xxhash64("doc_id", F.lit(10 + i))).repartition(shards, "shard").sortWithinPartitions("shard", "h", "doc_id").select("shard", "text", "toxic")
         model = spark.sparkContext.broadcast(learner)
-        means = dealt.mapInArrow(lean(_learned(model, weight)), "part int, shard int, weights binary").groupBy("part").applyInArrow(_mean, "part int, weights binary").collect()
-        if means:
-            learner.load(np.frombuffer(b"".join(r["weights"] for r in sorted(means, key=lambda r: r["part"])), np.float32))
+        mean = averaged(dealt.mapInArrow(lean(_learned(model, weight)), WEIGHTS))
+        if mean is not None:
+            learner.load(mean)
         model.unpersist()
     net = learner.net
     model = spark.sparkContext.broadcast(net)

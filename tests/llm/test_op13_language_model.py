@@ -155,3 +155,20 @@ def test_gradients(small):
                 loss.append(op.gradients(net, x, y, h0, v.end, len(v.count))[2])
             a[at] = old
             assert (loss[0] - loss[1]) / (2 * e) == pytest.approx(float(b[at]), rel=0.05, abs=2e-4)
+
+
+def test_every_document_is_learned_from(spark, monkeypatch):
+    """Words that follow each other in long texts only, and in rows beyond any sample, are learned; shards and rounds see each row."""
+    long = " ".join(["ping pong"] * 4000)
+    rows = [(i, long if i % 7 == 0 else " ".join(random.Random(i).choices([f"w{k}" for k in range(30)], k=20))) for i in range(210)]
+    got = op.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["score"] > 0.5 * r["base_score"] for r in got if r["n_tokens"] > 8000)
+    for shard, least in ((50, 0), (10**9, 1)):
+        monkeypatch.setattr(op, "SHARD_TOKENS", shard)
+        monkeypatch.setattr(op, "LEAST", least)
+        seen = []
+        monkeypatch.setattr(op, "averaged", lambda weights: seen.append(weights) or None)
+        v, _ = tables(TEXTS)
+        docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+        op.fit(docs, v)
+        assert len(seen) == op.ROUNDS
