@@ -54,3 +54,10 @@ def test_evidence_of_letters_that_upper_case_makes_longer(spark, tmp_path):
     names = [d[0] for d in want.description]
     got = QUERIES["evidence_checks"](spark, str(tmp_path))
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
+
+
+def test_decision_table_is_made_from_the_orders(spark):
+    """Every combination comes, and all orders are counted."""
+    got = QUERIES["decision_table"](spark, DATA).collect()
+    assert len({(r["status"], r["verdict"], r["quote_ok"], r["round"]) for r in got}) == 72
+    assert sum(r["runs"] for r in got) == spark.read.parquet(f"{DATA}/orders.parquet").count()
