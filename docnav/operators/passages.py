@@ -15,7 +15,6 @@ may reach 0.8 then only if these are typing errors or short words.
 
 from __future__ import annotations
 
-import difflib
 from itertools import accumulate
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from docnav.functions.text import norm_quote
-from docnav.functions.udfs import ENOUGH, SURE, letter_bounds
+from docnav.functions.udfs import ENOUGH, SURE, Same, letter_bounds
 
 #: Words of a seed, and the words that a passage has at least for it.
 SEEDS = {1: 1, 2: 8, 3: 15}
@@ -55,11 +54,11 @@ def window_similarity(quote: str, text: str, seeds: list[tuple[int, int]]) -> tu
         return True, 1.0
     offset = list(accumulate((len(w) + 1 for w in text.split(" ")), initial=0))
     starts = near_windows(quote, text, [offset[i] - j for i, j in seeds])
-    width, best = len(quote), 0.0
+    width, best, same = len(quote), 0.0, Same(quote)
     for start, most in zip(starts, letter_bounds(quote, text, np.array(starts), width).tolist(), strict=True):
         if most + 1e-9 < best:
             continue
-        best = max(best, difflib.SequenceMatcher(None, quote, text[start : start + width]).ratio())
+        best = max(best, same.ratio(text[start : start + width]))
         if best > SURE:
             break
     return best >= ENOUGH, round(best, 3)

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -63,3 +64,19 @@ def test_windows_near_diagonals():
     assert near_windows(quote, text, [100]) == [80, 90, 100, 110, 120]
     assert near_windows(quote, text, [-30]) == [0] and near_windows(quote, text, [900]) == [360]
     assert near_windows(quote, "short", [3]) == [0]
+
+
+def test_ratio_is_that_of_difflib():
+    """Short and long texts: from 200 characters on difflib lets only rare ones begin a block."""
+    from docnav.functions.udfs import Same
+
+    rng = random.Random(5)
+    letters = ["ab", "aaaaaaaaab ", "abcdefghij klmnopqrst.,$%", "etaoinshrdlu" * 4 + "bcfgjkmpqvwxyz0123456789 "]
+    for k in range(600):
+        one = letters[k % 4]
+        text = "".join(rng.choices(one, k=rng.choice([0, 1, 60, 199, 200, 201, 260])))
+        quote = "".join(rng.choices(one, k=rng.choice([0, 1, 30, 199, 230])))
+        if k % 2 and text:
+            at = rng.randrange(len(text))
+            quote = quote[: len(quote) // 2] + text[at : at + 90] + quote[len(quote) // 2 :]
+        assert Same(quote).ratio(text) == difflib.SequenceMatcher(None, quote, text).ratio(), (quote, text)
