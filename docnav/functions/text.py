@@ -91,9 +91,14 @@ def mention_numbers(line: Column, table: bool) -> Column:
 
 def verified(hint: Column, page: Column, least: int = 12) -> Column:
     """Whether a proposed caption stands on the page: its normalised start of up to 60 characters is looked for."""
+    return stands(hint, norm_caption(page), least)
+
+
+def stands(hint: Column, text: Column, least: int = 12) -> Column:
+    """``verified`` on a page's normalised text."""
     h = norm_caption(hint)
     probe = F.substring(h, F.lit(1), F.greatest(F.lit(least), F.least(F.length(h), F.lit(60))))
-    return (F.length(h) >= least) & F.contains(norm_caption(page), probe)
+    return (F.length(h) >= least) & F.contains(text, probe)
 
 
 def normalize_answer(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docnav.functions.text import caption, lines, mention_numbers, verified
+from docnav.functions.text import caption, lines, mention_numbers, norm_caption, stands
 
 
 def page_visuals(pages: DataFrame) -> DataFrame:
@@ -27,5 +27,7 @@ def with_structured(visuals: DataFrame, structured: DataFrame) -> DataFrame:
 
 
 def verified_hints(pages: DataFrame, hints: DataFrame) -> DataFrame:
-    """Hints that stand on their page; ``hints(doc_id, page, hint)``."""
-    return hints.join(pages.select("doc_id", "page", "md"), ["doc_id", "page"]).where(verified(F.col("hint"), F.col("md"))).select("doc_id", "page", "hint")
+    """Hints that stand on their page; ``hints(doc_id, page, hint)``. All hints of a page meet its text in one row, so that it is normalised once."""
+    held = hints.groupBy("doc_id", "page").agg(F.collect_list("hint").alias("hints"))
+    both = held.join(pages.select("doc_id", "page", norm_caption(F.col("md")).alias("text")), ["doc_id", "page"])
+    return both.select("doc_id", "page", "text", F.explode("hints").alias("hint")).where(stands(F.col("hint"), F.col("text"))).select("doc_id", "page", "hint")

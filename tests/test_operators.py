@@ -140,3 +140,16 @@ def test_quotes_of_any_length_match_by_containment(spark, tmp_path):
     want = {(i, k) for i, t in enumerate(texts) for k, q in enumerate(quotes) if norm(q) and norm(q) in norm(t)}
     got = quote_exact_match(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_hints_of_a_page_meet_its_text_in_one_row(spark):
+    """Repeated hints and pages keep their rows, and a page is normalised once whatever its hints."""
+    from docnav.operators.captions import verified_hints
+
+    pages = spark.createDataFrame([(1, 1, "The quick brown fox jumps."), (1, 1, "A quick brown fox!"), (1, 2, None)], "doc_id int, page int, md string")
+    hints = spark.createDataFrame([(1, 1, "Quick  brown fox"), (1, 1, "Quick  brown fox"), (1, 1, "fox"), (1, 1, None), (1, 2, "Quick brown fox")], "doc_id int, page int, hint string")
+    got = verified_hints(pages, hints)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "Quick  brown fox")] * 4
+    # one generator spreads the hints after the only join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Join")
