@@ -80,3 +80,33 @@ def test_ratio_is_that_of_difflib():
             at = rng.randrange(len(text))
             quote = quote[: len(quote) // 2] + text[at : at + 90] + quote[len(quote) // 2 :]
         assert Same(quote).ratio(text) == difflib.SequenceMatcher(None, quote, text).ratio(), (quote, text)
+
+
+def test_plain_is_norm_quote(spark):
+    """Every character, between others and at both ends."""
+    from docnav.operators.passages import plain
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["A".join(points[at : at + 700]) for at in range(0, len(points), 700)] + ["", " ", "\n İ ", "10 KELVIN,\t. \x00B"]
+    assert normal(spark, texts) == {i: plain(t.encode()).decode() for i, t in enumerate(texts)}
+
+
+def test_hopeless_windows_are_not_compared(monkeypatch):
+    """Windows of a text of the same words, and so of the same letters, that shares one seed by chance; bounds leave out nothing that reaches ENOUGH."""
+    from docnav.functions.udfs import ENOUGH, Same
+    from docnav.operators import passages as P
+
+    r, asked, ratio = random.Random(8), [], Same.ratio
+    monkeypatch.setattr(Same, "ratio", lambda self, text: asked.append(text) or ratio(self, text))
+    pool = ["".join(r.choices("etaoinshr", k=r.randrange(2, 9))) for _ in range(300)]
+    words = r.choices(pool, k=25)
+    body = r.choices(pool, k=400)
+    body[200:203] = words[15:18]
+    assert P.window_similarity(" ".join(words), " ".join(body), [(200, len(" ".join(words[:15])) + 1)])[0] is False and not asked
+    body[180:205] = altered(r, words, 0.1, "typo")
+    assert P.window_similarity(" ".join(words), " ".join(body), [(180, 0)])[0] is True and asked
+    for k in range(300):
+        quote = " ".join(words[: r.randrange(1, 25)])
+        window = " ".join(altered(r, quote.split(), r.choice([0.1, 0.2, 0.4]), r.choice(["replace", "typo", "drop"])))[: len(quote)]
+        if ratio(Same(quote), window) >= ENOUGH:
+            assert P._Passage(quote).may_reach(window.encode(), ENOUGH), (k, quote, window)  # noqa: SLF001
