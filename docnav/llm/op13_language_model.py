@@ -51,6 +51,25 @@ def tail_class(word: str) -> int:
     return zlib.crc32(raw[:2] + b" " + raw[-2:]) % TAIL
 
 
+#: A checksum of five bytes is the exclusive or of what each place adds.
+_PLACES = [np.array([zlib.crc32(bytes(b if k == i else 0 for k in range(5))) ^ zlib.crc32(bytes(5)) for b in range(256)], np.uint32) for i in range(5)]
+_NONE = np.uint32(zlib.crc32(bytes(5)) ^ int(_PLACES[2][0x20]))
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each of the words."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw, first, size = np.frombuffer(data or b"", np.uint8), ends[:-1], np.diff(ends)
+    out = np.empty(len(words), np.int64)
+    long = size >= 2
+    a, b = first[long], ends[1:][long]
+    out[long] = (_PLACES[0][raw[a]] ^ _PLACES[1][raw[a + 1]] ^ _PLACES[3][raw[b - 2]] ^ _PLACES[4][raw[b - 1]] ^ _NONE) % TAIL
+    for i in np.flatnonzero(~long):
+        out[i] = tail_class(words[int(i)].as_py())
+    return out
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
@@ -63,7 +82,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cls = [tail_class(w) for w in table.column("word").to_pylist()]
+        cls = tail_classes(only_chunk(table.column("word")))
         yield from table.append_column("cls", pa.array(cls, pa.int32())).combine_chunks().to_batches(max_chunksize=1 << 14)
 
     for _, block in in_blocks(batches, COUNT_BLOCK):
@@ -95,9 +114,10 @@ class Vocabulary:
     def classes(self) -> int:
         return -(-len(self.count) // CLASS)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get, n = self.rank.get, len(self.count)
-        return np.array([r if (r := get(w, -1)) >= 0 else n + tail_class(w) for w in words], np.int64)
+    def ids(self, words: pa.Array | list[str]) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        rank = np.asarray(pc.fill_null(pc.index_in(words, pa.array(self.rank, pa.string())), -1)).astype(np.int64)
+        return np.where(rank >= 0, rank, len(self.count) + tail_classes(words))
 
     @property
     def end(self) -> int:
@@ -105,28 +125,45 @@ class Vocabulary:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Overwrites ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(-1, keepdims=True)
+def softmax(x: np.ndarray, parts: int = 1, near: bool = False) -> np.ndarray:
+    """In place, divided by ``parts``; the rows' largest values are ``near`` 0 or are first made 0."""
+    if not near:
+        x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x *= 1 / (x @ np.full((x.shape[-1], 1), parts, np.float32))
     return x
 
 
+def near(weight: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether the largest logit of each row lies within BOUND of 0 for any state, which has values between -1 and 1."""
+    high, low = (bias + weight).max(-1), (bias - weight).max(-1)
+    return bool((high <= BOUND).all() and (low >= -BOUND).all())
+
+
+def by_class(cls: np.ndarray) -> np.ndarray:
+    """The order of small numbers, as 16 bits sort faster."""
+    return np.argsort(cls.astype(np.int16) if cls.size and cls.max() < 1 << 15 else cls, axis=None, kind="stable")
+
+
 def loss_of(p: np.ndarray) -> float:
     return -float(np.log(np.maximum(p, 1e-37)).sum())
 
 
-def picked(logits: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax at one place of each row; overwrites ``logits``, which stay far from what exp can hold (BOUND)."""
+def picked(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """Log softmax at one place of each row; overwrites ``logits``, which stay far from what exp can hold (BOUND; ``most`` is a known bound of them)."""
     logits += bias
-    np.minimum(logits, BOUND, out=logits)
+    if most > BOUND:
+        np.minimum(logits, BOUND, out=logits)
     one = logits[np.arange(len(at)), at].astype(np.float64)
     np.exp(logits, out=logits)
-    return one - np.log(logits.sum(1, dtype=np.float32))
+    return one - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 @dataclass
@@ -186,7 +223,9 @@ class Network:
             a = h @ self.keep
             gates = sigmoid(x[t, :, : 2 * STATE] + a[:, : 2 * STATE])
             z, r = gates[:, :STATE], gates[:, STATE:]
-            c = np.tanh(x[t, :, 2 * STATE :] + r * a[:, 2 * STATE :])
+            c = r * a[:, 2 * STATE :]
+            c += x[t, :, 2 * STATE :]
+            np.tanh(c, out=c)
             trail.append((h, z, r, c, a[:, 2 * STATE :]))
             h = c + z * (h - c)
             states[t] = h
@@ -218,16 +257,18 @@ class Network:
     def log_prob(self, h: np.ndarray, target: np.ndarray, head: int) -> np.ndarray:
         """Natural logarithms: of the class, and within a head class of the word."""
         c, n = len(self.to_word), len(h)
+        # states lie between -1 and 1
+        most, most_word = float((np.abs(self.to_class).sum(0) + self.class_bias).max()), (np.abs(self.to_word).sum(2) + self.word_bias).max(1).tolist()
         cls = np.where(target < head, target // CLASS, c + target - head)
-        order = np.argsort(cls, kind="stable")
+        order = by_class(cls)
         h, target, cls = h[order], target[order], cls[order]
         found = np.empty(n)
         for at in range(0, n, ROWS):
-            found[at : at + ROWS] = picked(h[at : at + ROWS] @ self.to_class, self.class_bias, cls[at : at + ROWS])
+            found[at : at + ROWS] = picked(h[at : at + ROWS] @ self.to_class, self.class_bias, cls[at : at + ROWS], most)
         ends = np.searchsorted(cls, np.arange(c + 1)).tolist()
         for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if i < j:
-                found[i:j] += picked(h[i:j] @ self.to_word[k].T, self.word_bias[k], target[i:j] % CLASS)
+                found[i:j] += picked(h[i:j] @ self.to_word[k].T, self.word_bias[k], target[i:j] % CLASS, most_word[k])
         out = np.empty(n)
         out[order] = found
         return out
@@ -243,40 +284,56 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: i
     h, target = states.reshape(-1, STATE), y.reshape(-1)
     n = len(target)
     cls = np.where(target < head, target // CLASS, c + target - head)
-    d = softmax(h @ net.to_class + net.class_bias)
-    loss = loss_of(d[np.arange(n), cls])
-    d[np.arange(n), cls] -= 1
-    d /= n
+    d = h @ net.to_class
+    d += net.class_bias
+    softmax(d, n, near(np.abs(net.to_class).sum(0), net.class_bias))
+    loss = loss_of(d[np.arange(n), cls] * n)
+    d[np.arange(n), cls] -= 1 / n
     d_class += h.T @ d
     d_cbias += d.sum(0)
     dh = d @ net.to_class.T
-    for k in np.unique(cls[cls < c]):
-        rows = np.flatnonzero(cls == k)
-        d = softmax(h[rows] @ net.to_word[k].T + net.word_bias[k])
-        at = (np.arange(len(rows)), target[rows] % CLASS)
-        loss += loss_of(d[at])
-        d[at] -= 1
-        d /= n
-        d_word[k] += d.T @ h[rows]
-        d_wbias[k] += d.sum(0)
-        dh[rows] += d @ net.to_word[k]
+    # words of head classes, class after class
+    rows = by_class(cls)
+    ends = np.searchsorted(cls[rows], np.arange(c + 1)).tolist()
+    rows = rows[: ends[-1]]
+    own, at = h[rows], (np.arange(len(rows)), target[rows] % CLASS)
+    present = [(k, i, j) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+    d, back_h = net.word_bias[cls[rows]], np.empty_like(own)
+    for k, i, j in present:
+        d[i:j] += own[i:j] @ net.to_word[k].T
+    softmax(d, n, near(np.abs(net.to_word).sum(2), net.word_bias))
+    loss += loss_of(d[at] * n)
+    d[at] -= 1 / n
+    for k, i, j in present:
+        d_word[k] += d[i:j].T @ own[i:j]
+        np.matmul(d[i:j], net.to_word[k], out=back_h[i:j])
+    if present:
+        d_wbias[[k for k, _, _ in present]] += np.add.reduceat(d, [i for _, i, _ in present])
+    dh[rows] += back_h
     dh = dh.reshape(steps, lanes, STATE)
-    dx = np.empty((steps, lanes, 3 * STATE), np.float32)
-    back = np.zeros((lanes, STATE), np.float32)
+    before, z, r, cand, a = (np.stack(part) for part in zip(*trail, strict=True))
+    of_z, of_c, of_r, live = (before - cand) * z * (1 - z), (1 - z) * (1 - cand**2), a * r * (1 - r), (x != end)[:, :, None]
+    da, dc = np.empty((steps, lanes, 3 * STATE), np.float32), np.empty((steps, lanes, STATE), np.float32)
+    back, keep = np.zeros((lanes, STATE), np.float32), np.ascontiguousarray(net.keep.T)
     for t in range(steps - 1, -1, -1):
-        before, z, r, cand, a = trail[t]
-        back = back + dh[t]
-        dz = back * (before - cand) * z * (1 - z)
-        dc = back * (1 - z) * (1 - cand**2)
-        dr = dc * a * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], 1)
-        da = np.concatenate([dz, dr, dc * r], 1)
-        d_keep += before.T @ da
-        back = (back * z + da @ net.keep.T) * (x[t] != end)[:, None]
-    flat = dx.reshape(-1, 3 * STATE)
+        back += dh[t]
+        np.multiply(back, of_c[t], out=dc[t])
+        np.multiply(back, of_z[t], out=da[t, :, :STATE])
+        np.multiply(dc[t], of_r[t], out=da[t, :, STATE : 2 * STATE])
+        np.multiply(dc[t], r[t], out=da[t, :, 2 * STATE :])
+        back *= z[t]
+        back += da[t] @ keep
+        back *= live[t]
+    flat = da.reshape(-1, 3 * STATE)
+    d_keep += before.reshape(-1, STATE).T @ flat
+    # the candidate's input does not pass the reset gate
+    flat[:, 2 * STATE :] = dc.reshape(-1, STATE)
     d_enter += inputs.reshape(-1, EMBED).T @ flat
     d_shift += flat.sum(0)
-    np.add.at(d_embed, x.reshape(-1), flat @ net.enter.T)
+    order = by_class(x)
+    word = x.reshape(-1)[order]
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    d_embed[word[first]] = np.add.reduceat((flat @ net.enter.T)[order], first)
     return g, states[-1], loss / n
 
 
@@ -333,7 +390,7 @@ def stream_of(texts: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
     ends = np.cumsum(size)
     ids, at = np.full(int(ends[-1]) if len(ends) else 0, v.end, np.int64), np.arange(len(owner)) + owner
     numbers = np.full(len(ids), -1, np.int64)
-    ids[at], numbers[at] = v.ids(words.to_pylist())[number], number
+    ids[at], numbers[at] = v.ids(words)[number], number
     return ids, ends, numbers, words
 
 

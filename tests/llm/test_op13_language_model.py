@@ -172,3 +172,23 @@ def test_every_document_is_learned_from(spark, monkeypatch):
         docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
         op.fit(docs, v)
         assert len(seen) == op.ROUNDS
+
+
+def test_tail_classes_are_those_of_each_word():
+    """From sliced arrays too; the vocabulary's ids take Arrow words as well as lists."""
+    r = random.Random(3)
+    some = ["", "a", "ab", "é", "中", "abc", "\x00", "x" * 300, *("".join(r.choices("aé中😀z\x00", k=r.randrange(0, 7))) for _ in range(500))]
+    array = pa.array(some, pa.string())
+    assert op.tail_classes(array).tolist() == [op.tail_class(w) for w in some]
+    assert op.tail_classes(array.slice(3, 100)).tolist() == [op.tail_class(w) for w in some[3:103]]
+    assert op.tail_classes(pa.array([], pa.string())).tolist() == [] and op.tail_classes(pa.array([""], pa.string())).tolist() == [op.tail_class("")]
+    v, c = tables(TEXTS)
+    assert v.ids(pa.array([*c, "unseen"])).tolist() == v.ids([*c, "unseen"]).tolist() == [v.rank[w] for w in c] + [len(v.count) + op.tail_class("unseen")]
+
+
+def test_softmax_without_a_shift_is_the_same():
+    x = np.random.default_rng(1).normal(0, 9, (50, 96)).astype(np.float32)
+    shifted, bare = op.softmax(x.copy(), 7), op.softmax(x.copy(), 7, True)
+    assert np.allclose(shifted, bare, rtol=1e-4) and np.allclose(shifted.sum(1) * 7, 1, atol=1e-4)
+    weight, bias = np.abs(x).max(0) * 0, x[0]
+    assert op.near(weight, bias) and not op.near(weight, bias + 100) and not op.near(weight, bias - 200) and not op.near(weight + 200, bias)
