@@ -21,14 +21,16 @@ import re
 from collections.abc import Iterator
 from copy import deepcopy
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from docnav.llm.common import WEIGHTS, Scratch, averaged, lean, load, weight_rows
+from docnav.llm.common import WEIGHTS, Scratch, averaged, lean, load, unused, weight_rows
 
 BUCKETS, DIM, WIDTHS, FILTERS, POOL = 1 << 15, 8, (1, 2, 3), 6, 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -37,9 +39,12 @@ EPOCHS, RATE = 4, 0.08
 SHARD_ROWS, MOST_SHARDS, ROUNDS, STEPS = 10_000, 256, 4, 12_000
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BOUNDS, LEAST_ROWS = (0.4, 0.8), 40
+#: Bits of the map that tells labelled rows before they are shuffled.
+BITS = 1 << 25
 #: Words whose filter responses a worker keeps.
 MOST_CACHED = 60_000
 _WORD = re.compile(r"\w+")
+_hash = xxhash.xxh3_64_intdigest
 OFFSETS = sum(WIDTHS)
 
 
@@ -49,9 +54,16 @@ def tokens(text: str | None) -> list[str]:
 
 def buckets(word: str) -> list[int]:
     """Hashes of the word and its proper prefixes; BUCKETS itself pads."""
-    got = [xxhash.xxh3_64_intdigest(word) % BUCKETS]
-    got += [xxhash.xxh3_64_intdigest(word[:k], seed=k) % BUCKETS if len(word) >= k else BUCKETS for k in PREFIXES]
-    return got
+    n = len(word)
+    return [_hash(word) % BUCKETS, *[_hash(word[:k], k) % BUCKETS if n >= k else BUCKETS for k in PREFIXES]]
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 @dataclass
@@ -83,8 +95,21 @@ class Network:
             places.append(p)
         return np.stack(feats), places
 
+    def features(self, x: np.ndarray) -> np.ndarray:
+        """Those of ``pooled`` without their positions, which takes less time: the largest values lie in rows of memory."""
+        n, at, x, feats = len(x), 0, np.ascontiguousarray(x.T), np.zeros((len(WIDTHS), POOL, FILTERS), np.float32)
+        for i, w in enumerate(WIDTHS):
+            s = x[at * FILTERS : (at + 1) * FILTERS].copy()
+            for o in range(1, w):
+                s[:, : n - o] += x[(at + o) * FILTERS : (at + o + 1) * FILTERS, o:]
+            at += w
+            s += self.shift[i][:, None]
+            top = np.partition(s, n - POOL, axis=1)[:, n - POOL :] if n > POOL else s
+            feats[i, : min(n, POOL)] = np.maximum(np.sort(top, axis=1)[:, ::-1], 0).T
+        return feats
+
     def score(self, x: np.ndarray) -> float:
-        z = float((self.pooled(x)[0] * self.out).sum()) + self.bias
+        z = float((self.features(x) * self.out).sum()) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -205,24 +230,24 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index, self.known = _Numbers(), 0
         self.rows = np.zeros((1024, OFFSETS * FILTERS), np.float32)
 
     def responses(self, text: str | None) -> np.ndarray:
         words = tokens(text)
-        get = self.index.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
-            if len(self.index) > MOST_CACHED:
-                self._clear()
-                ids = [-1] * len(words)
-            fresh = list(dict.fromkeys(w for w, i in zip(words, ids, strict=True) if i < 0))
-            first = len(self.index)
-            self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        if self.known > MOST_CACHED:
+            self._clear()
+        ids = list(map(self.index.__getitem__, words))
+        if len(self.index) > self.known:
+            fresh = list(islice(reversed(self.index), len(self.index) - self.known))[::-1]
             while len(self.rows) < len(self.index):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(fresh)] = self.net.table[np.array([buckets(w) for w in fresh])].sum(1) @ self.flat
-            ids = [self.index[w] for w in words]
+            held = np.array([buckets(w) for w in fresh]).T
+            vec = self.net.table[held[0]]
+            for k in held[1:]:
+                vec += self.net.table[k]
+            self.rows[self.known : len(self.index)] = vec @ self.flat
+            self.known = len(self.index)
         return self.rows[ids]
 
     def score(self, text: str | None) -> float:
@@ -280,12 +305,26 @@ def _graded(model):
     return run
 
 
+def among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``keys``, told by a bitmap of hashes (BITS, 4 MB at most), so that a join need not shuffle them; rows that
+    are in ``keys`` all stay."""
+    kinds = [df.schema[column].dataType for df in (rows, keys)]
+    if not all(isinstance(k, IntegralType) for k in kinds) and kinds[0] != kinds[1]:
+        return rows
+    at = F.pmod(F.xxhash64(F.col(column).cast("long") if isinstance(kinds[0], IntegralType) else F.col(column)), F.lit(BITS))
+    bucket, bits, place = (unused(rows, x) for x in ("bucket", "bits", "place"))
+    maps = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bits))
+    met = rows.withColumn(place, F.bitmap_bit_position(at)).withColumn(bucket, F.bitmap_bucket_number(at)).join(F.broadcast(maps), bucket)
+    return met.where(F.expr(f"conv(hex(substring(`{bits}`, cast(`{place}` div 8 as int) + 1, 1)), 16, 10) & shiftleft(1, cast(`{place}` % 8 as int)) <> 0")).select(*rows.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """The network of the labelled rows outside the held-out fold; None without rows of both labels."""
     spark, inside = docs.sparkSession, crc("doc_id", FOLDS) != HELD_OUT
     scratch = Scratch(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & inside).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(inside).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).join(known, "doc_id")
+    rows = docs.where(inside).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = among(rows, known, "doc_id").join(known, "doc_id")
     # an id that is repeated gives one row
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.*")
     rows = scratch.keep(rows.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0))

@@ -82,3 +82,22 @@ def test_long_texts_and_all_rows_are_learned_from(spark, monkeypatch):
         held = [(got[i], t) for i, _, _, t in rows if zlib.crc32(str(i).encode()) % 3 == 1]
         good, bad = [s for s, t in held if not t], [s for s, t in held if t]
         assert np.mean([[b > g for g in good] for b in bad]) > 0.9
+
+
+def test_rows_without_a_label_are_not_shuffled(spark):
+    """The bitmap keeps each labelled row, with repeats, and next to nothing else; other kinds of ids too."""
+    rows = spark.range(-5000, 5000).selectExpr("id as doc_id", "cast(id as string) as text", "0 as bits").union(spark.sql("select 7L, 'again', 0 union all select null, 'null', 0"))
+    keys = spark.range(0, 5000, 10).selectExpr("cast(id + 7 as int) as doc_id")
+    got = [r.doc_id for r in op.among(rows, keys, "doc_id").collect()]
+    assert set(got) >= set(range(7, 5000, 10)) and got.count(7) == 2 and len(got) < 520 and op.among(rows, keys, "doc_id").columns == rows.columns
+    named = rows.selectExpr("text as doc_id", "text")
+    assert {r.doc_id for r in op.among(named, keys.selectExpr("cast(doc_id as string) as doc_id"), "doc_id").collect()} >= {str(i) for i in range(7, 5000, 10)}
+    assert op.among(named, keys, "doc_id").count() == named.count()
+
+
+def test_features_are_those_of_pooled():
+    r = np.random.default_rng(4)
+    net = op._start(r.integers(0, 9, op.BUCKETS + 1), r.integers(0, 9, op.BUCKETS + 1), 20, 20)  # noqa: SLF001
+    for n in (0, 1, 2, 3, 4, 5, 60):
+        x = r.normal(0, 1, (n, op.OFFSETS * op.FILTERS)).astype(np.float32)
+        assert np.array_equal(net.features(x), net.pooled(x)[0])
