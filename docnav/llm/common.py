@@ -216,8 +216,8 @@ def split_words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray,
     full = np.asarray(pc.binary_length(words)) > 0
     coded = words.dictionary_encode()
     number = np.asarray(coded.indices)[full]
-    used, number = np.unique(number, return_inverse=True)
-    return number, owner[full], coded.dictionary.take(pa.array(used))
+    used = np.bincount(number, minlength=len(coded.dictionary)) > 0
+    return (np.cumsum(used) - 1)[number], owner[full], coded.dictionary.take(pa.array(np.flatnonzero(used)))
 
 
 def packed(*arrays: np.ndarray) -> bytes:

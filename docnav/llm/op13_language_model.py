@@ -10,7 +10,7 @@ document. All documents of the learning folds are learned from, whole: they are
 Spark, ROUNDS times over. A round takes a quarter of the documents, or all of them while few; a block has further turns only where the corpus has fewer than LEAST tokens. In scoring, the documents of a block lie end to
 end in LANES lanes that step together, and again the state is carried from window to window, so a text of any length is scored whole.
 
-Counts of the words that are not in the head never leave Spark: each block asks for those of its words by a join.
+Counts of up to KNOWN further words, the most frequent ones, go along with the head's. Those of all others never leave Spark: each block asks for them by a join.
 
 Defined results: null and empty texts have one token, the end; repeated rows are documents of their own; a null doc_id is not held out;
 very long texts are whole; without documents to learn from every base_score is 0 and the network is untrained; an empty table gives no rows; further columns are ignored.
@@ -19,8 +19,9 @@ very long texts are whole; without documents to learn from every base_score is 0
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,15 @@ from pyspark.sql import functions as F
 from docnav.llm.common import WEIGHTS, Scratch, averaged, block_values, bounded_batches, in_blocks, lean, load, only_chunk, packed, split_words, unpacked, weight_rows
 
 HEAD, CLASS, TAIL = 4096, 64, 32
+#: Words outside the head whose counts need no join (at most), and bytes of such a word (at most).
+KNOWN, KNOWN_BYTES = 1 << 17, 64
 EMBED, STATE = 16, 16
 #: Training: lanes (at least, at most), words of a window, tokens of a shard, shards at most, rounds, tokens to learn from at least (in further turns), bytes of a block, rate.
 TRAIN_LANES, MOST_LANES, STEPS, SHARD_TOKENS, MOST_SHARDS, ROUNDS, LEAST, TRAIN_BLOCK, RATE = 24, 256, 16, 4_000_000, 256, 4, 3_700_000, 4 << 20, 0.006
 #: Scoring: bytes of text in a block, lanes, words of a window. Counting: bytes in a block, words held until they are emitted.
 BLOCK, LANES, WINDOW, COUNT_BLOCK, MOST_WORDS = 4 << 20, 256, 64, 4 << 20, 1 << 20
-#: Rows of a softmax at once, and the largest logit (a cut above it keeps probabilities below 1).
-ROWS, BOUND = 2048, 60.0
+#: Rows of a softmax at once, words whose probabilities are taken at once, and the largest logit (a cut above it keeps probabilities below 1).
+ROWS, AT_ONCE, BOUND = 2048, 1 << 16, 60.0
 FOLDS, HELD_OUT, END = 5, 1, ""
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -109,6 +112,8 @@ class Vocabulary:
     tail: np.ndarray  # smoothed total of each tail class, unseen words included
     total: int
     distinct: int
+    known: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))  # frequent words outside the head
+    known_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @property
     def classes(self) -> int:
@@ -156,14 +161,38 @@ def loss_of(p: np.ndarray) -> float:
     return -float(np.log(np.maximum(p, 1e-37)).sum())
 
 
-def picked(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, most: float = np.inf) -> np.ndarray:
-    """Log softmax at one place of each row; overwrites ``logits``, which stay far from what exp can hold (BOUND; ``most`` is a known bound of them)."""
-    logits += bias
+def picked(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, one: np.ndarray, total: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """The logit at one place of each row, and in ``total`` the sum of the row's exponentials; overwrites ``logits``, which stay far from what exp can hold (BOUND; ``most`` is a known bound of them)."""
     if most > BOUND:
         np.minimum(logits, BOUND, out=logits)
-    one = logits[np.arange(len(at)), at].astype(np.float64)
+    found = logits[rows, at]
     np.exp(logits, out=logits)
-    return one - np.log(logits @ np.ones(logits.shape[1], np.float32))
+    np.matmul(logits, one[: logits.shape[1]], out=total)
+    return found
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """States beside a one, whose weights are the biases."""
+    out = np.empty((len(h), STATE + 1), h.dtype)
+    out[:, :STATE] = h
+    out[:, STATE] = 1
+    return out
+
+
+def advanced(x: np.ndarray, a: np.ndarray, h: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The state ``new`` after ``h`` from the ``planes`` of the input and of what the state adds; ``x`` becomes the gates and the candidate."""
+    gates, c = x[:2], x[2]
+    gates += a[:2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[1], a[2], out=a[1])
+    c += a[1]
+    np.tanh(c, out=c)
+    np.subtract(h, c, out=new)
+    new *= gates[0]
+    new += c
+    return new
 
 
 @dataclass
@@ -215,43 +244,37 @@ class Network:
         """What each input adds to the gates."""
         return self.embed @ self.enter + self.shift
 
-    def steps(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-        """States after each of the (steps, lanes, 3 STATE) inputs, and what backpropagation needs; ``fresh`` lanes start anew."""
-        states, trail = np.empty((len(x), *h.shape), np.float32), []
-        for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            a = h @ self.keep
-            gates = sigmoid(x[t, :, : 2 * STATE] + a[:, : 2 * STATE])
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            c = r * a[:, 2 * STATE :]
-            c += x[t, :, 2 * STATE :]
-            np.tanh(c, out=c)
-            trail.append((h, z, r, c, a[:, 2 * STATE :]))
-            h = c + z * (h - c)
-            states[t] = h
-        return states, trail
-
-    def advance(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """``steps`` without what backpropagation needs."""
-        states = np.empty((len(x), *h.shape), np.float32)
-        anew = fresh.any(1)
-        for t in range(len(x)):
-            if anew[t]:
-                h = h * ~fresh[t][:, None]
-            a = h @ self.keep
-            gates = x[t, :, : 2 * STATE] + a[:, : 2 * STATE]
-            np.negative(gates, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            c = a[:, 2 * STATE :]
-            c *= gates[:, STATE:]
-            c += x[t, :, 2 * STATE :]
-            np.tanh(c, out=c)
-            h = h - c
-            h *= gates[:, :STATE]
-            h += c
-            states[t] = h
+    def planes(self, weight: np.ndarray) -> np.ndarray:
+        """A (rows, 3 STATE) table as (3, rows, STATE), so that what a step reads lies together; the gates negated, as their exponentials are taken of it."""
+        out = np.ascontiguousarray(weight.reshape(len(weight), 3, STATE).transpose(1, 0, 2))
+        np.negative(out[:2], out=out[:2])
+        return out
+
+    def steps(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States before and after each step, the gates and candidates (in place of ``x``) and what the reset gate lets through, of (3, steps, lanes, STATE)
+        ``planes`` of inputs; ``fresh`` lanes start anew."""
+        keep, many = self.planes(self.keep), x.shape[1]
+        before, after, passed = (np.empty(x.shape[1:], x.dtype) for _ in range(3))
+        a = np.empty((3, *h.shape), x.dtype)
+        for t in range(many):
+            own, new = before[t], after[t]
+            own[...] = h
+            own[fresh[t]] = 0
+            np.matmul(own, keep, out=a)
+            passed[t] = a[2]
+            h = advanced(x[:, t], a, own, new)
+        return before, after, passed
+
+    def advance(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """``steps`` without what backpropagation needs; ``keep`` are the ``planes`` of the weights."""
+        states, a = np.empty(x.shape[1:], x.dtype), np.empty((3, *h.shape), x.dtype)
+        anew, h = fresh.any(1).tolist(), h.copy()
+        for t, some in enumerate(anew):
+            if some:
+                h[fresh[t]] = 0
+            h = advanced(x[:, t], np.matmul(h, keep, out=a), h, states[t])
+            if t + 1 < len(anew) and anew[t + 1]:
+                h = h.copy()
         return states
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, head: int) -> np.ndarray:
@@ -260,80 +283,101 @@ class Network:
         # states lie between -1 and 1
         most, most_word = float((np.abs(self.to_class).sum(0) + self.class_bias).max()), (np.abs(self.to_word).sum(2) + self.word_bias).max(1).tolist()
         cls = np.where(target < head, target // CLASS, c + target - head)
-        order = by_class(cls)
-        h, target, cls = h[order], target[order], cls[order]
-        found = np.empty(n)
+        h = with_one(h)
+        to_class = np.vstack([self.to_class, self.class_bias[None]])
+        to_word = np.ascontiguousarray(np.concatenate([self.to_word, self.word_bias[:, :, None]], 2).transpose(0, 2, 1))
+        found, total = np.empty(n), np.empty(n, np.float32)
+        logits, rows, one = np.empty((min(n, ROWS), to_class.shape[1]), h.dtype), np.arange(min(n, ROWS)), np.ones(max(to_class.shape[1], CLASS), np.float32)
         for at in range(0, n, ROWS):
-            found[at : at + ROWS] = picked(h[at : at + ROWS] @ self.to_class, self.class_bias, cls[at : at + ROWS], most)
-        ends = np.searchsorted(cls, np.arange(c + 1)).tolist()
+            part = h[at : at + ROWS]
+            found[at : at + ROWS] = picked(np.matmul(part, to_class, out=logits[: len(part)]), rows[: len(part)], cls[at : at + ROWS], one, total[at : at + ROWS], most)
+        found -= np.log(total)
+        # words of head classes, class after class
+        order = by_class(cls)
+        ends = np.searchsorted(cls[order], np.arange(c + 1)).tolist()
+        order = order[: ends[-1]]
+        slot, inner, words = target[order] % CLASS, np.empty(len(order)), np.empty((min(n, ROWS), CLASS), h.dtype)
         for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if i < j:
-                found[i:j] += picked(h[i:j] @ self.to_word[k].T, self.word_bias[k], target[i:j] % CLASS, most_word[k])
-        out = np.empty(n)
-        out[order] = found
-        return out
+            for at in range(i, j, ROWS):
+                to = min(j, at + ROWS)
+                inner[at:to] = picked(np.matmul(h.take(order[at:to], axis=0), to_word[k], out=words[: to - at]), rows[: to - at], slot[at:to], one, total[at:to], most_word[k])
+        inner -= np.log(total[: len(order)])
+        found[order] += inner
+        return found
 
 
 def gradients(net: Network, x: np.ndarray, y: np.ndarray, h0: np.ndarray, end: int, head: int) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Of the mean loss over one window of (steps, lanes) inputs and targets, the state after it, and the loss."""
-    c, lanes, steps = len(net.to_word), x.shape[1], len(x)
-    g = [np.zeros_like(a) for a in net.arrays()]
-    d_embed, d_enter, d_shift, d_keep, d_class, d_cbias, d_word, d_wbias = g
-    inputs = net.embed[x]
-    states, trail = net.steps(inputs @ net.enter + net.shift, x == end, h0)
-    h, target = states.reshape(-1, STATE), y.reshape(-1)
+    c, lanes, steps, kind = len(net.to_word), x.shape[1], len(x), net.keep.dtype
+    fresh = x == end
+    gates = net.planes(net.entered()).take(x.reshape(-1), axis=1).reshape(3, steps, lanes, STATE)
+    before, states, passed = net.steps(gates, fresh, h0)
+    h, target = with_one(states.reshape(-1, STATE)), y.reshape(-1)
     n = len(target)
-    cls = np.where(target < head, target // CLASS, c + target - head)
-    d = h @ net.to_class
-    d += net.class_bias
+    cls, every = np.where(target < head, target // CLASS, c + target - head), np.arange(n)
+    d = h @ np.vstack([net.to_class, net.class_bias[None]])
     softmax(d, n, near(np.abs(net.to_class).sum(0), net.class_bias))
-    loss = loss_of(d[np.arange(n), cls] * n)
-    d[np.arange(n), cls] -= 1 / n
-    d_class += h.T @ d
-    d_cbias += d.sum(0)
+    loss = loss_of(d[every, cls] * n)
+    d[every, cls] -= 1 / n
+    of_class = h.T @ d
     dh = d @ net.to_class.T
     # words of head classes, class after class
     rows = by_class(cls)
     ends = np.searchsorted(cls[rows], np.arange(c + 1)).tolist()
     rows = rows[: ends[-1]]
-    own, at = h[rows], (np.arange(len(rows)), target[rows] % CLASS)
+    own, at = h.take(rows, axis=0), (np.arange(len(rows)), target[rows] % CLASS)
     present = [(k, i, j) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
-    d, back_h = net.word_bias[cls[rows]], np.empty_like(own)
+    to_word, of_word = np.concatenate([net.to_word, net.word_bias[:, :, None]], 2), np.zeros((c, CLASS, STATE + 1), kind)
+    d, back_h = np.empty((len(rows), CLASS), kind), np.empty((len(rows), STATE), kind)
     for k, i, j in present:
-        d[i:j] += own[i:j] @ net.to_word[k].T
+        np.dot(own[i:j], to_word[k].T, out=d[i:j])
     softmax(d, n, near(np.abs(net.to_word).sum(2), net.word_bias))
     loss += loss_of(d[at] * n)
     d[at] -= 1 / n
     for k, i, j in present:
-        d_word[k] += d[i:j].T @ own[i:j]
-        np.matmul(d[i:j], net.to_word[k], out=back_h[i:j])
-    if present:
-        d_wbias[[k for k, _, _ in present]] += np.add.reduceat(d, [i for _, i, _ in present])
+        np.dot(d[i:j].T, own[i:j], out=of_word[k])
+        np.dot(d[i:j], net.to_word[k], out=back_h[i:j])
     dh[rows] += back_h
     dh = dh.reshape(steps, lanes, STATE)
-    before, z, r, cand, a = (np.stack(part) for part in zip(*trail, strict=True))
-    of_z, of_c, of_r, live = (before - cand) * z * (1 - z), (1 - z) * (1 - cand**2), a * r * (1 - r), (x != end)[:, :, None]
-    da, dc = np.empty((steps, lanes, 3 * STATE), np.float32), np.empty((steps, lanes, STATE), np.float32)
-    back, keep = np.zeros((lanes, STATE), np.float32), np.ascontiguousarray(net.keep.T)
+    # what a step back is multiplied by: for the gates, the candidate's part of the state, the candidate and the state itself
+    (z, r, cand), by, da = gates, np.empty((4, steps, lanes, STATE), kind), np.empty((4, steps, lanes, STATE), kind)
+    np.subtract(before, cand, out=by[0])
+    by[0] *= z
+    rest = 1 - z
+    by[0] *= rest
+    np.multiply(cand, cand, out=by[3])
+    np.subtract(1, by[3], out=by[3])
+    by[3] *= rest
+    np.multiply(by[3], r, out=by[2])
+    np.subtract(1, r, out=by[1])
+    by[1] *= by[2]
+    by[1] *= passed
+    back, keep = np.zeros((lanes, STATE), kind), np.ascontiguousarray(net.keep.reshape(STATE, 3, STATE).transpose(1, 2, 0))
+    added = np.empty((3, lanes, STATE), kind)
     for t in range(steps - 1, -1, -1):
         back += dh[t]
-        np.multiply(back, of_c[t], out=dc[t])
-        np.multiply(back, of_z[t], out=da[t, :, :STATE])
-        np.multiply(dc[t], of_r[t], out=da[t, :, STATE : 2 * STATE])
-        np.multiply(dc[t], r[t], out=da[t, :, 2 * STATE :])
+        np.multiply(back, by[:, t], out=da[:, t])
+        np.matmul(da[:3, t], keep, out=added)
         back *= z[t]
-        back += da[t] @ keep
-        back *= live[t]
-    flat = da.reshape(-1, 3 * STATE)
-    d_keep += before.reshape(-1, STATE).T @ flat
+        back += added[0]
+        back += added[1]
+        back += added[2]
+        back[fresh[t]] = 0
+    flat = da.reshape(4, n, STATE)
+    d_keep = np.matmul(before.reshape(-1, STATE).T, flat[:3])
     # the candidate's input does not pass the reset gate
-    flat[:, 2 * STATE :] = dc.reshape(-1, STATE)
-    d_enter += inputs.reshape(-1, EMBED).T @ flat
-    d_shift += flat.sum(0)
+    flat = flat[[0, 1, 3]]
+    inputs = np.ones((n, EMBED + 1), kind)
+    inputs[:, :EMBED] = net.embed.take(x.reshape(-1), axis=0)
+    entering = np.matmul(inputs.T, flat)
+    side = [np.ascontiguousarray(part.transpose(1, 0, 2).reshape(len(part[0]), 3 * STATE)) for part in (d_keep, entering)]
     order = by_class(x)
     word = x.reshape(-1)[order]
     first = np.flatnonzero(np.diff(word, prepend=-1))
-    d_embed[word[first]] = np.add.reduceat((flat @ net.enter.T)[order], first)
+    d_embed = np.zeros_like(net.embed)
+    to_embed = np.matmul(flat, net.enter.reshape(EMBED, 3, STATE).transpose(1, 2, 0))
+    d_embed[word[first]] = np.add.reduceat((to_embed[0] + to_embed[1] + to_embed[2]).take(order, axis=0), first)
+    g = [d_embed, side[1][:EMBED], side[1][EMBED], side[0], of_class[:STATE], of_class[STATE], of_word[:, :, :STATE], of_word[:, :, STATE]]
     return g, states[-1], loss / n
 
 
@@ -342,7 +386,7 @@ class Training:
 
     def __init__(self, net: Network):
         self.net, self.i = net, 0
-        self.m, self.s = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
+        self.m, self.s, self.moved = ([np.zeros_like(a) for a in net.arrays()] for _ in range(3))
 
     def learn(self, stream: np.ndarray, v: Vocabulary, lanes: int, windows: int | None = None, turns: int = 1) -> None:
         """So many windows of the stream, or all of them in so many turns."""
@@ -367,13 +411,22 @@ class Training:
 
     def _step(self, g: list[np.ndarray]) -> None:
         self.i += 1
-        i, norm = self.i, float(np.sqrt(sum((a**2).sum() for a in g)))
-        rate = RATE * min(1.0, i / 20)
-        for a, b, mean, square in zip(self.net.arrays(), g, self.m, self.s, strict=True):
-            b *= min(1.0, 1 / max(norm, 1e-9))
-            mean += 0.1 * (b - mean)
-            square += 0.01 * (b * b - square)
-            a -= rate * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-6)
+        i, g = self.i, [np.ascontiguousarray(a) for a in g]
+        norm = float(np.sqrt(sum(float(a.reshape(-1) @ a.reshape(-1)) for a in g)))
+        rate, scale, of_square = RATE * min(1.0, i / 20) / (1 - 0.9**i), min(1.0, 1 / max(norm, 1e-9)), 1 / (1 - 0.99**i)
+        for a, b, mean, square, moved in zip(self.net.arrays(), g, self.m, self.s, self.moved, strict=True):
+            np.multiply(b, 0.1 * scale, out=moved)
+            mean *= 0.9
+            mean += moved
+            moved *= moved
+            square *= 0.99
+            square += moved
+            np.multiply(square, of_square, out=moved)
+            np.sqrt(moved, out=moved)
+            moved += 1e-6
+            np.divide(mean, moved, out=moved)
+            moved *= rate
+            a -= moved
 
 
 def train(net: Network, stream: np.ndarray, v: Vocabulary, windows: int) -> Network:
@@ -405,21 +458,34 @@ def log_probs(net: Network, entered: np.ndarray, ids: np.ndarray, ends: np.ndarr
         load_of[k] += sizes[d]
     rank = np.argsort(-load_of, kind="stable")
     load_of, dealt = load_of[rank], [dealt[k] for k in rank]
-    place = [np.concatenate([np.arange(ends[d] - sizes[d], ends[d]) for d in lane]) for lane in dealt]
-    out, h = np.zeros(len(ids)), np.zeros((lanes, STATE), np.float32)
-    last = np.full(lanes, v.end)
+    # the words of all lanes, lane after lane
+    place = np.concatenate([np.arange(ends[d] - sizes[d], ends[d]) for lane in dealt for d in lane]) if lanes else np.zeros(0, np.int64)
+    own, begin, head = ids[place], np.cumsum(load_of) - load_of, len(v.count)
+    found, h, last = np.zeros(len(ids)), np.zeros((lanes, STATE), np.float32), np.full(lanes, v.end)
+    table, keep, held, size = net.planes(entered), net.planes(net.keep), [], 0
+
+    def emit() -> None:
+        states, targets, where = (np.concatenate(part) for part in zip(*held, strict=True))
+        found[where] = net.log_prob(states, targets, head)
+        held.clear()
+
     for at in range(0, int(load_of.max(initial=0)), WINDOW):
-        live = int((load_of > at).sum())
-        here = np.full((min(WINDOW, int(load_of[0]) - at), live), -1)
-        for k in range(live):
-            part = place[k][at : at + WINDOW]
-            here[: len(part), k] = part
-        y = np.where(here >= 0, ids[here], v.end)
+        live, t = int((load_of > at).sum()), np.arange(at, min(at + WINDOW, int(load_of[0])))[:, None]
+        real, here = t < load_of[:live], begin[:live] + t
+        y = np.where(real, own[np.minimum(here, len(own) - 1)], v.end)
         x = np.vstack([last[None, :live], y[:-1]])
-        states = net.advance(entered[x], x == v.end, h[:live])
+        states = net.advance(table.take(x.reshape(-1), axis=1).reshape(3, *x.shape, STATE), x == v.end, h[:live], keep)
         h, last = states[-1], y[-1]
-        real = here >= 0
-        out[here[real]] = net.log_prob(states[real], y[real], len(v.count))
+        every = real.all()
+        held.append((states.reshape(-1, STATE), y.reshape(-1), here.reshape(-1)) if every else (states[real], y[real], here[real]))
+        size += len(held[-1][1])
+        if size >= AT_ONCE:
+            emit()
+            size = 0
+    if held:
+        emit()
+    out = np.empty(len(ids))
+    out[place] = found
     return np.add.reduceat(out, ends - sizes) if len(ends) else np.zeros(0)
 
 
@@ -427,7 +493,7 @@ def _scored(model, learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, net = model.value, learned.value
         entered, head = net.entered(), len(v.count)
-        log_head, log_tail = np.log10(v.count + 0.5), np.log10(v.tail)
+        log_head, log_tail, log_known = np.log10(v.count + 0.5), np.log10(v.tail), np.log10(v.known_count + 0.5)
         log_all = np.log10(v.total + 0.5 * (v.distinct + 1))
         for number, block in in_blocks(batches, BLOCK):
             ids, ends, numbers, words = stream_of(only_chunk(block.column("text")), v)
@@ -438,9 +504,16 @@ def _scored(model, learned):
             base = np.bincount(owner, np.where(in_head, log_head[of_head], 0.0), len(sizes)) - sizes * log_all
             known = np.bincount(owner, in_head & (v.count[of_head] > 0), len(sizes)).astype(np.int64)
             score = log_probs(net, entered, ids, ends, v) / np.log(10) - np.bincount(owner, np.where(in_head, 0.0, log_tail[rest]), len(sizes))
-            asked, place = np.unique(numbers[~in_head], return_inverse=True)
-            width = max(1, len(asked))
-            item, times = np.unique(owner[~in_head] * width + place, return_counts=True)
+            # words of the tail: those whose counts came along, and those that are asked for
+            own, number_of = owner[~in_head], numbers[~in_head]
+            at = np.asarray(pc.fill_null(pc.index_in(words, v.known), -1))
+            more = np.bincount(own, np.append(log_known, 0.0)[at][number_of], len(sizes))
+            base, score, told = base + more, score + more, (at >= 0)[number_of]
+            known += np.bincount(own[told], minlength=len(sizes))
+            own, number_of = own[~told], number_of[~told]
+            asked = np.flatnonzero(np.bincount(number_of, minlength=len(words)))
+            place, width = np.searchsorted(asked, number_of), max(1, len(asked))
+            item, times = np.unique(own * width + place, return_counts=True)
             docs = pa.StructArray.from_arrays(
                 [block.column("doc_id").combine_chunks(), block.column("held_out").combine_chunks(), *map(pa.array, (sizes, known, base, score))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
             )
@@ -472,19 +545,30 @@ def _finished(total: int):
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From (word, n, cls): the head and the sums of TAIL classes reach the driver."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    per_class = {r["cls"]: (r["n"], r["words"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    """From (word, n, cls): the head, the sums of TAIL classes and the KNOWN words reach the driver."""
+    band = F.floor(F.log2("n") * 4).cast("int")
+    bands = counts.groupBy("cls", band.alias("band")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
     head = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()]
     if END not in (w for w, _ in head):
         ends = counts.where(F.col("word") == END).select("n").first()
         head = [*head[: HEAD - 1], (END, ends["n"] if ends else 0)]
-    n, words = (np.array([per_class.get(c, (0, 0))[i] for c in range(TAIL)], np.int64) for i in (0, 1))
+    n, words, in_band = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64), Counter()
+    for r in bands:
+        n[r["cls"]] += r["n"]
+        words[r["cls"]] += r["words"]
+        in_band[r["band"]] += r["words"]
+    total, distinct = int(n.sum()), int(words.sum())
     for w, c in head:
         if c:
             n[tail_class(w)] -= c
             words[tail_class(w)] -= 1
-    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.int64), n + 0.5 * (words + 1), *(int(x) for x in total))
+    # bands of the most frequent words, as many as hold no more than KNOWN with the head's
+    ranked = sorted(in_band, reverse=True)
+    whole = int(np.searchsorted(np.cumsum([in_band[k] for k in ranked]), KNOWN, "right"))
+    known = counts.where((band >= ranked[whole - 1]) & (F.octet_length("word") <= KNOWN_BYTES)).select("word", "n").toArrow() if whole else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    rank = {w: i for i, (w, _) in enumerate(head)}
+    known = known.filter(pc.invert(pc.is_in(known.column("word"), value_set=pa.array(rank, pa.string()))))
+    return Vocabulary(rank, np.array([c for _, c in head], np.int64), n + 0.5 * (words + 1), total, distinct, only_chunk(known.column("word")), np.asarray(known.column("n"), np.int64))
 
 
 def _trained(model, learned, turns: int):

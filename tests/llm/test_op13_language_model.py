@@ -192,3 +192,37 @@ def test_softmax_without_a_shift_is_the_same():
     assert np.allclose(shifted, bare, rtol=1e-4) and np.allclose(shifted.sum(1) * 7, 1, atol=1e-4)
     weight, bias = np.abs(x).max(0) * 0, x[0]
     assert op.near(weight, bias) and not op.near(weight, bias + 100) and not op.near(weight, bias - 200) and not op.near(weight + 200, bias)
+
+
+def test_counts_that_come_along_need_no_join(spark, monkeypatch):
+    """Frequent words outside the head are counted without being asked for; what is asked for are the others; results are those without any such words."""
+    rows = [(i, t) for i, t in enumerate([*TEXTS, "rare once", "w1 " + "x" * 200 + " " + "x" * 200, None])]
+    docs, asked, original = spark.createDataFrame(rows, "doc_id long, text string"), [], op.block_values
+    monkeypatch.setattr(op, "HEAD", 40)
+    monkeypatch.setattr(op, "block_values", lambda blocks, keys, *rest: asked.append({w for r in blocks.select(keys).collect() for w in r[keys]}) or original(blocks, keys, *rest))
+    results = []
+    for known in (0, 70, 1 << 17):
+        monkeypatch.setattr(op, "KNOWN", known)
+        got = op.score_documents(docs).collect()
+        agree(got, brute(rows))
+        results.append(sorted((r["doc_id"], r["score"]) for r in got))
+    assert np.allclose(results[0], results[1], rtol=1e-6) and np.allclose(results[0], results[2], rtol=1e-6)
+    assert len(asked[0]) > len(asked[1]) > len(asked[2]) and "x" * 200 in asked[2]
+
+
+def test_states_of_planes(small):
+    """Training and scoring step through the same states, lane by lane, as the plain equations; starting states are left as they are."""
+    v, _ = tables(TEXTS)
+    net, rng = op.Network.start(v), np.random.default_rng(5)
+    x, h = rng.integers(0, len(v.count) + op.TAIL, (7, 5)), rng.normal(0, 0.3, (5, op.STATE)).astype(np.float32)
+    x[0, 1] = x[3, 2] = x[4, 2] = v.end
+    planes, first = net.planes(net.entered()).take(x.reshape(-1), axis=1).reshape(3, 7, 5, op.STATE), h.copy()
+    advanced = net.advance(planes.copy(), x == v.end, h, net.planes(net.keep))
+    before, after, _ = net.steps(planes, x == v.end, h)
+    assert (h == first).all() and np.allclose(advanced, after, atol=1e-6)
+    for t in range(7):
+        own = np.where((x[t] == v.end)[:, None], 0, h if t == 0 else after[t - 1])
+        a, e = own @ net.keep, net.entered()[x[t]]
+        z, r = (1 / (1 + np.exp(-(e + a)[:, i * op.STATE : (i + 1) * op.STATE])) for i in (0, 1))
+        c = np.tanh(e[:, 2 * op.STATE :] + r * a[:, 2 * op.STATE :])
+        assert np.allclose(before[t], own, atol=1e-6) and np.allclose(after[t], c + z * (own - c), atol=1e-5)
