@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 FAN_BITS, LEVELS = 4, 8
 FAN = 1 << FAN_BITS
+#: Rows that a task sorts, about, where a query deals its rows by their number.
+TASK_ROWS = 250_000
 
 
 def _free(stem: str, *dfs: DataFrame) -> str:
@@ -25,6 +27,11 @@ def _free(stem: str, *dfs: DataFrame) -> str:
     return stem
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """Tasks of about TASK_ROWS each, and no fewer than there are cores; counts ``rows``, so they should be cheap (a table)."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def pieces(first: Column, after: Column) -> Column:
     """The nodes (level, node) that make up the numbers from ``first`` to before ``after``, both within FAN ** LEVELS."""
     kind = "array<struct<level: int, node: bigint>>"
@@ -42,20 +49,29 @@ def pieces(first: Column, after: Column) -> Column:
         return F.struct(F.when(last, zero).otherwise(up_a).alias("a"), F.when(last, zero).otherwise(up_b).alias("b"), F.concat(acc["out"], own).alias("out"))
 
     start = F.struct(first.cast("long").alias("a"), after.cast("long").alias("b"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda acc: acc["out"])
+    # numbers below FAN have no nodes but themselves
+    short = nodes(F.lit(0), first.cast("long"), after.cast("long"))
+    return F.when((first >= 0) & (after < FAN), short).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda acc: acc["out"]))
 
 
-def pages_in(ranges: DataFrame, pages: DataFrame, by: str = "corpus_id") -> DataFrame:
-    """Each row of ``ranges(by, start_page, end_page, ...)`` with each row of ``pages(by, page, ...)`` in its range; the tables share no other column."""
+def pages_in(ranges: DataFrame, pages: DataFrame, by: str = "corpus_id", parts: int | None = None) -> DataFrame:
+    """Each row of ``ranges(by, start_page, end_page, ...)`` with each row of ``pages(by, page, ...)`` in its range; the tables share no other column. Rows are dealt
+    to ``parts`` tasks (``tasks_for``), so that what a task sorts does not grow with the tables, or to as many as the session's shuffles have."""
     lo, hi, level, node = (_free(x, ranges, pages) for x in ("lo", "hi", "level", "node"))
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(parts, *keys) if parts else df
+
+    pages = dealt(pages, by)
     extent = pages.groupBy(by).agg(F.min("page").cast("long").alias(lo), F.max("page").cast("long").alias(hi))
     first, after = F.greatest(F.col("start_page").cast("long"), F.col(lo)) - F.col(lo), F.least(F.col("end_page").cast("long"), F.col(hi)) + 1 - F.col(lo)
-    cut = ranges.join(extent, by).where("start_page <= end_page").where(first < after)
+    cut = dealt(ranges.where("start_page <= end_page"), by).join(extent, by).where(first < after)
     cut = cut.select(*ranges.columns, F.explode(pieces(first, after)).alias(node)).select(*ranges.columns, F.col(f"{node}.level").alias(level), F.col(f"{node}.node").alias(node))
     height = F.least(F.lit(LEVELS - 1), F.expr(f"(length(bin({hi} - {lo} + 1)) - 1) div {FAN_BITS}").cast("int"))
     points = pages.join(extent, by).select(*pages.columns, lo, F.explode(F.sequence(F.lit(0), height)).alias(level))
     points = points.select(*pages.columns, level, F.expr(f"shiftright(page - {lo}, {level} * {FAN_BITS})").cast("long").alias(node))
-    return cut.join(points, [by, level, node]).drop(level, node)
+    key = [by, level, node]
+    return dealt(cut, *key).join(dealt(points, *key), key).drop(level, node)
 
 
 def coverage(ranges: DataFrame, sizes: DataFrame, by: str = "doc_id") -> DataFrame:

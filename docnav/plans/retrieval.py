@@ -390,7 +390,8 @@ def wide_ranges(spark: SparkSession, d: str) -> DataFrame:
     first = F.col("l_linenumber") - F.pmod("l_partkey", F.lit(4)).cast("int")
     last = F.when(F.col("l_returnflag") == "R", first - 1 - F.col("l_linenumber")).otherwise(first + F.pmod("l_suppkey", F.lit(3)).cast("int") + F.when(F.col("l_linestatus") == "O", (F.col("l_quantity") * 10_000_000).cast("int")).otherwise(0))
     ranges = lines.select(F.col("l_orderkey").alias("corpus_id"), F.col("l_linenumber").alias("line"), first.alias("start_page"), last.alias("end_page"))
-    found = I.pages_in(ranges, lines.select(F.col("l_orderkey").alias("corpus_id"), F.col("l_linenumber").alias("page")))
+    parts = I.tasks_for(lines)
+    found = I.pages_in(ranges, lines.select(F.col("l_orderkey").alias("corpus_id"), F.col("l_linenumber").alias("page")), parts=parts).repartition(parts, "corpus_id", "line")
     return found.groupBy(F.col("corpus_id").alias("orderkey"), "line").agg(F.count("*").alias("held"), F.sum("page").alias("numbers"))
 
 

@@ -2,10 +2,12 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docnav.operators import intervals as I
 from docnav.operators import tree as T
 from docnav.operators.retrieval import covered_by, explained, section_corpus, section_units
+from docnav.plans.retrieval import wide_ranges
 
 RANGES, PAGES = "corpus_id int, name int, start_page int, end_page int", "corpus_id int, page int, note string"
 
@@ -108,3 +110,24 @@ def test_explained_takes_repeated_rows(spark):
     sections = spark.createDataFrame([(1, "S1", "T", 1, 2), (1, "S1", "T", 1, 2), (1, "S1", "R", 1, 1)], "corpus_id int, section_id string, title string, start_page int, end_page int")
     text = explained(located, index, sections).first()["explanation"]
     assert "- p1: A\n" in text and "S1: R (pages 1-1)" in text and "p2: C [Figure 1]" in text
+
+
+def test_tasks_follow_rows(spark, monkeypatch):
+    """What a task sorts does not grow with the tables: the rows are dealt to tasks by their number, with the same result."""
+    r = random.Random(6)
+    ranges = spark.createDataFrame([(r.randrange(30), i, r.randrange(-40, 400), r.randrange(400)) for i in range(300)], "corpus_id int, name int, start_page int, end_page int")
+    pages = spark.createDataFrame([(r.randrange(30), r.randrange(400)) for _ in range(600)], "corpus_id int, page int")
+    assert Counter(I.pages_in(ranges, pages, parts=21).collect()) == Counter(I.pages_in(ranges, pages).collect())
+    few = wide_ranges(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(I, "TASK_ROWS", rows // 40)
+    many = wide_ranges(spark, "/root/testdata/sf0.001")
+    assert many.rdd.getNumPartitions() >= 40 and Counter(few.collect()) == Counter(many.collect())
+
+
+@pytest.mark.parametrize("after", [0, 1, 14, 15, 16, 17, 32, 33, 257])
+def test_pieces_cover_once(spark, after):
+    for first in (0, 1, 15, 16, 31):
+        got = spark.range(1).select(I.pieces(F.lit(first), F.lit(after)).alias("p")).first()["p"]
+        held = Counter(n for level, node in got for n in range(node * I.FAN**level, (node + 1) * I.FAN**level))
+        assert held == Counter(range(first, after))
