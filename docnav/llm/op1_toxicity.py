@@ -18,10 +18,10 @@ kinds every score is 0; an empty table gives no rows; further columns are ignore
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 BOUNDS, LEAST_ROWS = (0.4, 0.8), 40
 #: Bits of the map that tells labelled rows before they are shuffled.
 BITS = 1 << 25
-#: Words whose filter responses a worker keeps.
-MOST_CACHED = 60_000
+#: Words that a worker keeps from one group of texts to the next, characters of a group, words from which on they are hashed in numpy.
+MOST_CACHED, GROUP, MANY = 60_000, 1 << 20, 64
 _WORD = re.compile(r"\w+")
 _hash = xxhash.xxh3_64_intdigest
 OFFSETS = sum(WIDTHS)
@@ -58,6 +58,67 @@ def buckets(word: str) -> list[int]:
     return [_hash(word) % BUCKETS, *[_hash(word[:k], k) % BUCKETS if n >= k else BUCKETS for k in PREFIXES]]
 
 
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exclusive or of both halves of the products of 128 bits."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    mid = a1 * b0 + (a0 * b0 >> half)
+    rest = (mid & low) + a0 * b1
+    return a * b ^ (a1 * b1 + (mid >> half) + (rest >> half))
+
+
+def _hashes(raw: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """``_hash`` of the ``size`` bytes (one at least) of ``raw`` from each ``at``: XXH3 of up to 16 bytes in numpy, of more by its library. ``raw`` ends with 8 further bytes."""
+    out, u = np.empty(len(at), np.uint64), np.uint64
+    eight = np.ndarray(len(raw) - 7, u, raw, strides=1)
+    i = np.flatnonzero(size < 4)
+    if len(i):
+        p, n = at[i], size[i]
+        c = [raw[q].astype(u) for q in (p, p + n // 2, p + n - 1)]
+        h = (c[0] << u(16) | c[1] << u(24) | c[2] | n.astype(u) << u(8)) ^ u(0x87275A9B + seed)
+        h = (h ^ h >> u(33)) * u(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+        out[i] = h ^ h >> u(32)
+    i = np.flatnonzero((size >= 4) & (size <= 8))
+    if len(i):
+        p, n = at[i], size[i]
+        flip = (0xC73AB174C5ECD5A2 - (seed ^ int.from_bytes(seed.to_bytes(4, "little")) << 32)) % (1 << 64)
+        h = ((eight[p + n - 4] & u(0xFFFFFFFF)) + (eight[p] << u(32))) ^ u(flip)
+        h ^= (h << u(49) | h >> u(15)) ^ (h << u(24) | h >> u(40))
+        h *= u(0x9FB21C651E98DF25)
+        h ^= (h >> u(35)) + n.astype(u)
+        h *= u(0x9FB21C651E98DF25)
+        out[i] = h ^ h >> u(28)
+    i = np.flatnonzero((size > 8) & (size <= 16))
+    if len(i):
+        p, n = at[i], size[i]
+        a, b = eight[p] ^ u(0x6782737BEA4239B9 + seed), eight[p + n - 8] ^ u((0xAF56BC3B0996523A - seed) % (1 << 64))
+        h = n.astype(u) + a.byteswap() + b + _folded(a, b)
+        h = (h ^ h >> u(37)) * u(0x165667919E3779F9)
+        out[i] = h ^ h >> u(32)
+    for i in np.flatnonzero(size > 16):
+        out[i] = _hash(raw[at[i] : at[i] + size[i]].tobytes(), seed)
+    return out
+
+
+def bucket_rows(words: list[str]) -> np.ndarray:
+    """``buckets`` of each word; no word is empty."""
+    if len(words) < MANY:
+        return np.array([buckets(w) for w in words], np.int32).reshape(-1, 1 + len(PREFIXES))
+    _, offsets, data = pa.array(words, pa.large_string()).buffers()
+    ends = np.frombuffer(offsets, np.int64, len(words) + 1)
+    raw = np.zeros(ends[-1] + 8, np.uint8)
+    raw[:-8] = np.frombuffer(data, np.uint8, ends[-1])
+    letters = np.append(np.flatnonzero((raw[:-8] & 0xC0) != 0x80), ends[-1])  # where characters begin
+    first, at = np.searchsorted(letters, ends), ends[:-1]
+    n, rows = np.diff(first), np.full((len(words), 1 + len(PREFIXES)), BUCKETS, np.int32)
+    rows[:, 0] = _hashes(raw, at, np.diff(ends), 0) % np.uint64(BUCKETS)
+    for j, k in enumerate(PREFIXES):
+        i = np.flatnonzero(n >= k)
+        rows[i, 1 + j] = _hashes(raw, at[i], letters[first[i] + k] - at[i], k) % np.uint64(BUCKETS)
+    return rows
+
+
 class _Numbers(dict):
     """Numbers of words in the order in which they are first asked for."""
 
@@ -127,24 +188,43 @@ def _start(pos: np.ndarray, neg: np.ndarray, p: float, n: float) -> Network:
 
 
 class Words:
-    """Hashes of the words of texts; those of up to MOST_CACHED words are kept."""
+    """A row of numbers for each word of texts, their hashes unless ``made`` gives others; the rows of about MOST_CACHED words are kept."""
 
-    def __init__(self):
-        self.index: dict[str, int] = {}
-        self.rows = np.full((1024, 1 + len(PREFIXES)), BUCKETS, np.int32)
+    def __init__(self, made: Callable[[list[str]], np.ndarray] = bucket_rows):
+        self.made = made
+        self._clear()
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        fresh = [w for w in dict.fromkeys(words) if w not in self.index]
-        if fresh:
-            if len(self.index) + len(fresh) > MOST_CACHED:
-                self.index, fresh = {}, list(dict.fromkeys(words))
-            first = len(self.index)
-            self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+    def _clear(self) -> None:
+        self.index, self.known, self.rows = _Numbers(), 0, None
+
+    def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The rows of each text's words in order; the new words of a group of texts are looked up together."""
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size >= GROUP or i == len(texts) - 1:
+                yield from self._group(texts[first : i + 1])
+                first, size = i + 1, 0
+
+    def _group(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        found = [tokens(t) for t in texts]
+        if self.known > MOST_CACHED:
+            self._clear()
+        ends = np.cumsum([0, *map(len, found)]).tolist()
+        ids = np.fromiter(map(self.index.__getitem__, chain.from_iterable(found)), np.int64, ends[-1])
+        if len(self.index) > self.known or self.rows is None:
+            fresh = self.made(list(islice(reversed(self.index), len(self.index) - self.known))[::-1])
+            if self.rows is None:
+                self.rows = fresh
             while len(self.rows) < len(self.index):
-                self.rows = np.concatenate([self.rows, np.full_like(self.rows, BUCKETS)])
-            self.rows[first : first + len(fresh)] = [buckets(w) for w in fresh]
-        return self.rows[[self.index[w] for w in words]]
+                self.rows = np.concatenate([self.rows, np.zeros((max(1024, len(self.rows)), *fresh.shape[1:]), fresh.dtype)])
+            self.rows[self.known : len(self.index)] = fresh
+            self.known = len(self.index)
+        for first, end in zip(ends, ends[1:], strict=False):
+            yield self.rows[ids[first:end]]
+
+    def of(self, text: str | None) -> np.ndarray:
+        return next(self.each([text]))
 
 
 class Learner:
@@ -211,7 +291,7 @@ class Learner:
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Network:
     """A network of texts that lie in one process, after EPOCHS turns of each."""
     words = Words()
-    docs = [words.of(t) for t in texts]
+    docs = list(words.each(texts))
     held = {1: np.zeros(BUCKETS + 1), 0: np.zeros(BUCKETS + 1)}
     for d, label in zip(docs, y, strict=True):
         held[int(label)][np.unique(d)] += 1
@@ -227,31 +307,20 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net, self.flat = net, net.filters.transpose(1, 0, 2).reshape(DIM, -1)
-        self._clear()
+        self.words = Words(self._responses)
 
-    def _clear(self) -> None:
-        self.index, self.known = _Numbers(), 0
-        self.rows = np.zeros((1024, OFFSETS * FILTERS), np.float32)
+    def _responses(self, words: list[str]) -> np.ndarray:
+        held = bucket_rows(words).T
+        vec = self.net.table[held[0]]
+        for k in held[1:]:
+            vec += self.net.table[k]
+        return vec @ self.flat
 
-    def responses(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        if self.known > MOST_CACHED:
-            self._clear()
-        ids = list(map(self.index.__getitem__, words))
-        if len(self.index) > self.known:
-            fresh = list(islice(reversed(self.index), len(self.index) - self.known))[::-1]
-            while len(self.rows) < len(self.index):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            held = np.array([buckets(w) for w in fresh]).T
-            vec = self.net.table[held[0]]
-            for k in held[1:]:
-                vec += self.net.table[k]
-            self.rows[self.known : len(self.index)] = vec @ self.flat
-            self.known = len(self.index)
-        return self.rows[ids]
+    def scores(self, texts: list[str | None]) -> list[float]:
+        return [self.net.score(x) for x in self.words.each(texts)]
 
     def score(self, text: str | None) -> float:
-        return self.net.score(self.responses(text))
+        return self.scores([text])[0]
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -270,9 +339,9 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, toxic, n): in how many texts of each label a hash is."""
     words, n = Words(), np.zeros((2, BUCKETS + 1), np.int64)
     for batch in batches:
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+        for rows, toxic in zip(words.each(batch.column("text").to_pylist()), batch.column("toxic").to_pylist(), strict=True):
             here = np.zeros(BUCKETS + 1, bool)
-            here[words.of(text.as_py())] = True
+            here[rows] = True
             n[toxic] += here
     toxic, bucket = np.nonzero(n)
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "toxic": pa.array(toxic, pa.int32()), "n": pa.array(n[toxic, bucket])})
@@ -283,12 +352,12 @@ def _learned(model, weight: tuple[float, float]):
         words, shard, learner = Words(), None, None
 
         for batch in batches:
-            for own, text, toxic in zip(batch.column("shard").to_pylist(), batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            for own, rows, toxic in zip(batch.column("shard").to_pylist(), words.each(batch.column("text").to_pylist()), batch.column("toxic").to_pylist(), strict=True):
                 if own != shard:
                     if learner:
                         yield weight_rows(shard, learner.flat())
                     shard, learner = own, deepcopy(model.value)
-                learner.learn(words.of(text.as_py()), toxic, weight[toxic])
+                learner.learn(rows, toxic, weight[toxic])
         if learner:
             yield weight_rows(shard, learner.flat())
 
@@ -299,7 +368,7 @@ def _graded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, grid = Scorer(model.value), np.linspace(*BOUNDS, 41)
         for batch in batches:
-            grade = np.searchsorted(grid, [scorer.score(t.as_py()) for t in batch.column("text")], "right")
+            grade = np.searchsorted(grid, scorer.scores(batch.column("text").to_pylist()), "right")
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(grade, pa.int32())], ["lang", "toxic", "grade"])
 
     return run
@@ -373,7 +442,7 @@ def _score(model, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value) if model.value else None
         for batch in batches:
-            score = [scorer.score(t.as_py()) if scorer else 0.0 for t in batch.column(len(keep))]
+            score = scorer.scores(batch.column(len(keep)).to_pylist()) if scorer else [0.0] * len(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], [*keep, "score"])
 
     return run
@@ -399,7 +468,7 @@ def _accept(model):
         for batch in batches:
             if scorer:
                 at = [net.thresholds.get(x, net.thresholds[""]) for x in batch.column("lang").to_pylist()]
-                keep = [scorer.score(t.as_py()) < a for t, a in zip(batch.column("text"), at, strict=True)]
+                keep = [x < a for x, a in zip(scorer.scores(batch.column("text").to_pylist()), at, strict=True)]
                 batch = batch.filter(pa.array(keep, pa.bool_()))
             yield batch
 

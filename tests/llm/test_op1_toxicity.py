@@ -101,3 +101,28 @@ def test_features_are_those_of_pooled():
     for n in (0, 1, 2, 3, 4, 5, 60):
         x = r.normal(0, 1, (n, op.OFFSETS * op.FILTERS)).astype(np.float32)
         assert np.array_equal(net.features(x), net.pooled(x)[0])
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """The same hashes as one by one, in all lengths and scripts; the library is asked for words of more than 16 bytes only, whatever number of words a group has."""
+    r = random.Random(5)
+    words = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcxyz_09", "aé漢Ж𝒳ñ") for n in [*range(1, 20), 40, 300] for _ in range(30)]
+    assert np.array_equal(op.bucket_rows(words), [op.buckets(w) for w in words])
+    assert op.bucket_rows([]).shape == (0, 7) and np.array_equal(op.bucket_rows(words[:3]), [op.buckets(w) for w in words[:3]])
+    calls, library = [], op._hash  # noqa: SLF001
+    monkeypatch.setattr(op, "_hash", lambda *a: calls.append(a) or library(*a))
+    net = op._start(np.ones(op.BUCKETS + 1), np.ones(op.BUCKETS + 1), 20, 20)  # noqa: SLF001
+    texts = [" ".join(f"word{r.randrange(5000)}" for _ in range(100)) for _ in range(50)] + ["longer" * 4, None, ""]
+    scores = op.Scorer(net).scores(texts)
+    assert len(calls) == 1
+    assert np.allclose(scores, [op.Scorer(net).score(t) for t in texts], atol=1e-6)
+
+
+def test_groups_of_texts_and_clearing_change_no_row(monkeypatch):
+    texts = [None, "", *[x for _, x, _, _ in corpus(80)], "a", None]
+    whole = list(op.Words().each(texts))
+    assert len(whole) == len(texts) and all(np.array_equal(a, np.array([op.buckets(w) for w in op.tokens(t)], int).reshape(-1, 7)) for a, t in zip(whole, texts, strict=True))
+    monkeypatch.setattr(op, "GROUP", 700)
+    monkeypatch.setattr(op, "MOST_CACHED", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, op.Words().each(texts), strict=True))
+    assert list(op.Words().each([])) == []
