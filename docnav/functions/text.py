@@ -65,6 +65,22 @@ def references(c: Column) -> Column:
     return F.array_distinct(F.transform(F.arrays_zip(kinds.alias("0"), numbers.alias("1")), one))
 
 
+def fixed(c: Column, digits: int = 3) -> Column:
+    """A number from 0 to 10^9 with 1 to 4 decimals as C's printf writes it: Java rounds the shortest decimal that stands for a double (1.0545 up to 1.055), C the double itself, and
+    exact ties to the even digit. Fractions are cut in two at 26 bits, so that each part times 10^digits is exact, as is each comparison."""
+    unit, ten = F.lit(float(1 << 26)), F.lit(10**digits)
+    whole = F.floor(c)
+    bits = (c - whole) * unit
+    high = F.floor(bits)
+    low = (bits - high) * ten
+    kept = F.shiftright(high * ten, 26)
+    half = F.lit(1 << 25) - (high * ten - F.shiftleft(kept, 26))
+    up = (low > half) | ((low == half) & (kept % 2 == 1))
+    n = kept + F.when(up, 1).otherwise(0)
+    parts = (whole + F.floor(n / ten)).cast("string"), F.lpad((n % ten).cast("string"), digits, "0")
+    return F.concat_ws(".", *parts)
+
+
 def norm_caption(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), " +", " "))  # only spaces are left to squeeze
 

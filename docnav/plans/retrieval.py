@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docnav.functions import text as X
-from docnav.functions.text import headings, norm_quote, page_flag, references, strip, tokens
+from docnav.functions.text import fixed, headings, norm_quote, page_flag, references, strip, tokens
 from docnav.operators import intervals as I
 from docnav.operators import retrieval as R
 from docnav.operators import tree as T
@@ -111,7 +111,7 @@ def _located(spark: SparkSession, d: str) -> DataFrame:
 def region_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Sections and pages of each conversation for its question: references first, then what two queries find, then sections of the best pages."""
     text = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
-    scores = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["id"].cast("string"), F.format_string("%.3f", x["score"])))).alias(c)
+    scores = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["id"].cast("string"), fixed(x["score"])))).alias(c)
     return _located(spark, d).select(F.col("corpus_id").alias("conv_id"), text("ref_pages"), text("ref_sections"), scores("ranked_pages"), scores("ranked_sections"), text("sections"), text("anchor_pages"))
 
 

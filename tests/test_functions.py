@@ -1,5 +1,6 @@
 """Text and metric functions on small inputs with known results."""
 
+import math
 import random
 
 import pytest
@@ -30,6 +31,16 @@ def test_caption_lines(spark):
     assert len(got[5].text) == 200
 
 
+@pytest.mark.parametrize("digits", [1, 3, 4])
+def test_fixed_rounds_as_printf_does(spark, digits):
+    r = random.Random(digits)
+    ten = 10**digits
+    near = [(2 * r.randrange(4 * ten) + 1) / (2 * ten) for _ in range(2000)]
+    numbers = [0.0, 0.0005, 0.0015, 1e-9, 0.9995, 0.99951, 1.0545, 2.0, 123456789.0625, 1e9, 5e-324] + [i / 32 for i in range(130)] + near + [math.nextafter(x, s) for x in near for s in (0, 9)] + [r.random() * 3 for _ in range(2000)] + [r.random() / 1000 for _ in range(500)]
+    assert values(spark, numbers, "x double", X.fixed(F.col("x"), digits)) == [f"{x:.{digits}f}" for x in numbers]
+    assert values(spark, [None, 1.0], "x double", F.transform(F.array("x"), lambda x: X.fixed(x, digits)))[1] == [f"{1:.{digits}f}"]
+
+
 def test_lines_are_cut_as_python_does(spark):
     texts = ["a\nb", "a\r\nb\n", "", "\n", "a\x0bb\x85c d", "a\n\nb"]
     assert values(spark, texts, "s string", X.lines(F.col("s"))) == [t.splitlines() for t in texts]

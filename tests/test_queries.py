@@ -56,6 +56,23 @@ def test_evidence_of_letters_that_upper_case_makes_longer(spark, tmp_path):
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
 
 
+def test_scores_on_a_tie_are_written_as_sql_does(spark, tmp_path):
+    """Page 2 scores 0.6625, a double just below it: printf writes 0.662, Java's formatter 0.663."""
+    texts = (
+        "Be anhebleer ndor and erhaes a a, enntble is ated heer in. Heing thenly thndingtion onrean a, oneatiin relyesan thensh.",
+        "Anhain the edou edrewh. Or inhaen hahe esenou the. Thtiones thoranor inedre erntan anble hewhsh thenndth onth from thre ndhand onndble ndwhly ersh, shrehe toonattiin threon thedblehe andheinshnt thble tied, ingsh heedon "
+        "rere was ouen tionblewh it, onor anndre ofheonatin ndin ouat to the thnded ertithat anouou, of onouheou whin erwhed ndthed erble it thth ingthhe the oninnt in eaha be thin. Shth, thhere a a, orti.\nAtth.\nNdsble, erstin was the.",
+        "Intion enonat onon thst, eran, onhe anre the ernthaon thouat, ed. Ththther ertion thshrent thstble thatenst erndea ertion that orhant to from the.",
+    )
+    spark.createDataFrame([(403891, i, r, t) for i, (r, t) in enumerate(zip(("system", "user", "assistant"), texts, strict=True))], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(SQL["region_fusion"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["region_fusion"](spark, str(tmp_path))
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
+
+
 def test_decision_table_is_made_from_the_orders(spark):
     """Every combination comes, and all orders are counted."""
     got = QUERIES["decision_table"](spark, DATA).collect()
